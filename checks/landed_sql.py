@@ -11,6 +11,8 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estatescope.sources import at_least
+
 CLUSTERS = """
 SELECT '{"cluster_id":"c-' || CAST(s_suppkey AS STRING) || '"'
   || CASE s_suppkey % 8
@@ -181,7 +183,18 @@ LANDED = {
     "global_init_scripts": INIT_SCRIPTS,
 }
 
-TABLES = ("supplier", "orders", "customer", "events", "part", "lineitem")
+# The columns the landed inputs use, declared so that no file is opened to infer them.
+TABLES = {
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "events": "event_id bigint, user_id bigint, event_type string",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+    "lineitem": "l_orderkey bigint, l_linenumber int",
+}
+
+# Tables whose rows are spread over all cores if their file comes in fewer partitions.
+LARGE = ("orders", "events", "lineitem")
 
 # Submitted runs are taken as of this time: runs of the last 30 days before it.
 AS_OF_MS = 1704067200000 + 60000 * 50000
@@ -189,8 +202,13 @@ AS_OF_MS = 1704067200000 + 60000 * 50000
 
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One landed input, read from the Parquet files under ``sf_dir``."""
-    sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(Template(LANDED[name]).substitute(sources))
+    text = Template(LANDED[name])
+    for table in text.get_identifiers():
+        df = spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+        if table in LARGE:
+            df = at_least(df, spark.sparkContext.defaultParallelism)
+        df.createOrReplaceTempView(f"landed_{table}")
+    return spark.sql(text.substitute({t: f"landed_{t}" for t in TABLES}))
 
 
 def landed_cte(*names: str) -> str:

@@ -165,7 +165,7 @@ def assessment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventories = build_inventories({n: landed(spark, sf_dir, n) for n in LANDED}, AS_OF_MS)
-    return rollups.overview(spark, inventories, rules.assess_tables(inventories["tables"]))
+    return rollups.overview(spark, inventories)
 
 
 # Stored tables and the report

@@ -78,17 +78,19 @@ def submit_runs_inventory(
 ) -> DataFrame:
     """Submitted runs that started in the ``lookback_days`` before ``as_of_ms``."""
     earliest = as_of_ms - lookback_days * DAY_MS
-    return (
-        _records(raw, "submit_runs")
-        .where((F.col("r.run_type") == SUBMIT_RUN) & (F.col("r.start_time") >= earliest))
-        .select(
-            "r.run_id",
-            "r.run_name",
-            "r.creator_user_name",
-            "r.start_time",
-            F.col("r.state.life_cycle_state").alias("state_life_cycle_state"),
-            F.col("r.state.result_state").alias("state_result_state"),
-        )
+    runs = _records(raw, "submit_runs")
+    if "payload" in raw.columns:
+        # As generated columns, the filter runs on what was parsed, not on a second parse.
+        runs = runs.select(F.inline(F.array("r")))
+    else:
+        runs = runs.select("r.*")
+    return runs.where((F.col("run_type") == SUBMIT_RUN) & (F.col("start_time") >= earliest)).select(
+        "run_id",
+        "run_name",
+        "creator_user_name",
+        "start_time",
+        F.col("state.life_cycle_state").alias("state_life_cycle_state"),
+        F.col("state.result_state").alias("state_result_state"),
     )
 
 

@@ -61,7 +61,7 @@ def assessment_summary(
 ) -> DataFrame:
     """How often each finding occurs, most frequent first."""
     found = [
-        df.select(F.explode("findings").alias("finding"))
+        df.select(F.explode_outer("findings").alias("finding")).where(F.col("finding").isNotNull())
         for df in (assessed.get(t) for t in ASSESSED)
         if df is not None
     ]
@@ -105,14 +105,10 @@ def database_summary(tables_assessed: DataFrame, grants: DataFrame | None) -> Da
     return per_database.join(grants_by_database(grants), "database", "left")
 
 
-def overview(
-    spark: SparkSession,
-    inventories: Mapping[str, DataFrame | None],
-    tables_assessed: DataFrame | None,
-) -> DataFrame:
+def overview(spark: SparkSession, inventories: Mapping[str, DataFrame | None]) -> DataFrame:
     """The eight headline counts; 0 for what is missing.
 
-    One global aggregate per dataset, so only one row per dataset is exchanged.
+    One pass and one aggregate per inventory; only its counts are exchanged.
     """
     counted = {
         "external_locations": "Total Storage Locations",
@@ -122,30 +118,30 @@ def overview(
         "pipelines": "Total Pipelines",
         "udfs": "Total UDFs",
     }
+    metrics = F.array(*[F.lit(m) for m in OVERVIEW_METRICS])
     parts = [
-        spark.range(len(OVERVIEW_METRICS)).select(
-            F.get(F.array(*[F.lit(m) for m in OVERVIEW_METRICS]), F.col("id")).alias("metric"),
-            F.lit(0).cast("bigint").alias("value"),
+        spark.range(1).select(
+            F.explode(metrics).alias("metric"), F.lit(0).cast("bigint").alias("value")
         )
     ]
     for name, metric in counted.items():
         df = inventories.get(name)
         if df is not None:
-            parts.append(df.agg(F.count("*").alias("value")).select(F.lit(metric).alias("metric"), "value"))
-    if inventories.get("tables") is not None:
-        parts.append(
-            inventories["tables"]
-            .agg(F.count_distinct("catalog_schema").alias("value"))
-            .select(F.lit("Total Databases").alias("metric"), "value")
-        )
-    if tables_assessed is not None:
+            total = df.agg(F.count("*").alias("value"))
+            parts.append(total.select(F.lit(metric).alias("metric"), "value"))
+    tables = inventories.get("tables")
+    if tables is not None:
         view = is_view(F.col("table_type"))
-        parts.append(
-            tables_assessed.agg(
-                _count_if(~view).alias("Total Tables"), _count_if(view).alias("Total Views")
-            ).unpivot([], ["Total Tables", "Total Views"], "metric", "value")
-        )
-    position = F.array_position(F.array(*[F.lit(m) for m in OVERVIEW_METRICS]), F.col("metric"))
+        totals = {
+            "Total Databases": F.count_distinct("catalog_schema"),
+            "Total Tables": _count_if(~view),
+            "Total Views": _count_if(view),
+        }
+        row = tables.agg(*[count.alias(metric) for metric, count in totals.items()])
+        parts.append(row.unpivot([], list(totals), "metric", "value"))
     return (
-        _union(parts).groupBy("metric").agg(F.sum("value").alias("value")).orderBy(position)
+        _union(parts)
+        .groupBy("metric")
+        .agg(F.sum("value").alias("value"))
+        .orderBy(F.array_position(metrics, F.col("metric")))
     )

@@ -1,10 +1,15 @@
-"""Compatibility rules: inventories with a ``findings`` column."""
+"""Compatibility rules: inventories with a ``findings`` column.
+
+Lists are exploded as outer and their nulls dropped after. A plain explode adds a
+filter on the size of the list that is pushed down to where the list is made, and
+would work it out (parser included) twice.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatescope.functions.findings import (
@@ -67,20 +72,21 @@ def assess_tables(tables: DataFrame) -> DataFrame:
     )
 
 
-def _task_cluster_ids(task_clusters: Column) -> Column:
-    """Existing clusters of a job's tasks, each once in task order; null if there are none."""
-    tasks = F.from_json(task_clusters, "array<struct<existing_cluster_id: string>>")
-    ids = F.array_except(
-        tasks["existing_cluster_id"], F.array(F.lit(None).cast("string"))
-    )
-    return F.when(F.size(ids) > 0, ids)
+def _with_task_clusters(jobs: DataFrame, column: str) -> DataFrame:
+    """Existing clusters of a job's tasks, each once in task order; empty if there are none.
+
+    Never null, so that no null test of it is pushed down to run the parser again.
+    """
+    tasks = F.from_json("task_clusters", "array<struct<existing_cluster_id: string>>")
+    ids = F.array_except(tasks["existing_cluster_id"], F.array(F.lit(None).cast("string")))
+    return jobs.withColumn(column, F.coalesce(ids, F.array().cast("array<string>")))
 
 
 def _findings_by_cluster(clusters_assessed: DataFrame) -> DataFrame:
     """(cluster_id, found): the distinct findings of an id, in finding order."""
+    each = clusters_assessed.select("cluster_id", F.posexplode_outer("findings").alias("at", "finding"))
     return (
-        clusters_assessed.where(F.col("cluster_id").isNotNull())
-        .select("cluster_id", F.posexplode("findings").alias("at", "finding"))
+        each.where(F.col("finding").isNotNull())
         .groupBy("cluster_id")
         .agg(F.sort_array(F.collect_set(F.struct("at", "finding"))).alias("found"))
     )
@@ -105,11 +111,11 @@ def assess_jobs(
     if clusters_assessed is None:
         return jobs.withColumn("findings", F.array_distinct(own))
 
-    listed = jobs.withColumn("_clusters", _task_cluster_ids(F.col("task_clusters")))
-    lists = listed.where(F.col("_clusters").isNotNull()).groupBy("_clusters").agg(
-        F.count("*").alias("_jobs")
+    listed = _with_task_clusters(jobs, "_clusters")
+    lists = listed.groupBy("_clusters").agg(F.count("*").alias("_jobs"))
+    tasks = lists.select(
+        "_clusters", "_jobs", F.posexplode_outer("_clusters").alias("_task", "cluster_id")
     )
-    tasks = lists.select("_clusters", "_jobs", F.posexplode("_clusters").alias("_task", "cluster_id"))
     in_task_order = F.sort_array(F.collect_list(F.struct("_task", "found")))
     inherited = (
         salted_inner_join(tasks, _findings_by_cluster(clusters_assessed), "cluster_id")
@@ -117,7 +123,14 @@ def assess_jobs(
         .agg(F.flatten(in_task_order["found"])["finding"].alias("_inherited"))
     )
     return (
-        left_join_hot_apart(listed, inherited, key="_clusters", value="_inherited", weight="_jobs")
+        left_join_hot_apart(
+            listed,
+            inherited,
+            key="_clusters",
+            value="_inherited",
+            weight="_jobs",
+            unkeyed=F.size("_clusters") == 0,
+        )
         .withColumn(
             "findings",
             F.array_distinct(

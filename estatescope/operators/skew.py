@@ -7,7 +7,7 @@ copies that are equal in every column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -37,14 +37,14 @@ def _salted(facts: DataFrame, lookup: DataFrame, key: str, salts: int, how: str)
 
 
 def left_join_hot_apart(
-    facts: DataFrame, lookup: DataFrame, key: str, value: str, weight: str
+    facts: DataFrame, lookup: DataFrame, key: str, value: str, weight: str, unkeyed: Column
 ) -> DataFrame:
     """``facts`` with column ``value`` of ``lookup``, which has one row per key.
 
     ``weight`` is how many facts have the key. The ``HOT_KEYS`` heaviest keys are
     broadcast: that is at most so many rows, however large the lookup. Any other
     key then has under 1/HOT_KEYS of the facts and goes through a normal join.
-    Facts without a key, or settled by the broadcast, are spread by partition.
+    Facts that are ``unkeyed``, or settled by the broadcast, are spread by partition.
     """
     hot = (
         lookup.orderBy(F.desc(weight))
@@ -52,14 +52,15 @@ def left_join_hot_apart(
         .select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"))
     )
     rest = lookup.select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_slot"), F.col(value).alias("_cold_value")
+        F.col(key).alias("_cold_key"),
+        F.xxhash64(key).alias("_slot"),
+        F.col(value).alias("_cold_value"),
     )
-    settled = F.col(key).isNull() | F.col("_hot_key").isNotNull()
-    slot = F.when(settled, -1 - F.spark_partition_id()).otherwise(F.lit(0))
+    settled = unkeyed | F.col("_hot_key").isNotNull()
     return (
         facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+        .withColumn("_slot", F.when(settled, F.spark_partition_id()).otherwise(F.xxhash64(key)))
         .withColumn("_cold_key", F.when(~settled, F.col(key)))
-        .withColumn("_slot", slot)
         .join(rest, ["_cold_key", "_slot"], "left")
         .withColumn(value, F.coalesce("_hot_value", "_cold_value"))
         .drop("_hot_key", "_hot_value", "_cold_key", "_cold_value", "_slot")

@@ -46,8 +46,8 @@ def _mounted(locations: DataFrame, mounts: DataFrame | None) -> DataFrame:
     # One entry per length and first character: bounded by path length, not by rows.
     shapes = (
         mounts.where(point.isNotNull())
-        .select(F.struct(F.substring(point, 1, 1).alias("head"), F.length(point).alias("size")).alias("shape"))
-        .agg(F.collect_set("shape"))
+        .select(F.substring(point, 1, 1).alias("head"), F.length(point).alias("size"))
+        .agg(F.collect_set(F.struct("head", "size")))
         .scalar()
     )
     cut = locations.withColumn("shapes", shapes).select(
@@ -72,6 +72,7 @@ def storage_classes(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
         key="_lookup",
         value="_mounted",
         weight="n",
+        unkeyed=F.col("_lookup").isNull(),
     )
     return marked.withColumn(
         "storage_type",
@@ -94,7 +95,9 @@ def storage_summary(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
         F.when(undecided, F.lit(DBFS_ROOT)).otherwise(class_by_prefix(location)).alias("by_prefix"),
         F.when(undecided, location).alias("location"),
     ).agg(F.count("*").alias("n"))
-    mounted = _mounted(counted.where(F.col("location").isNotNull()), mounts)
+    # Decided rows have no location here and yield no pieces; filtering them out
+    # instead would be pushed below the count, which then could not be shared.
+    mounted = _mounted(counted, mounts)
     moved = mounted.select(
         F.explode(
             F.array(

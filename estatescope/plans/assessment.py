@@ -107,7 +107,7 @@ def roll_up(
         "assessment_summary": rollups.assessment_summary(spark, assessed),
         "database_summary": database_summary,
         "storage_summary": storage_summary,
-        "overview": rollups.overview(spark, inventories, tables),
+        "overview": rollups.overview(spark, inventories),
     }
 
 

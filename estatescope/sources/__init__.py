@@ -1,4 +1,5 @@
 from estatescope.sources.landed import (
+    at_least,
     combine_exports,
     empty_dataset,
     read_metadata,
@@ -6,4 +7,11 @@ from estatescope.sources.landed import (
     read_records,
 )
 
-__all__ = ["combine_exports", "empty_dataset", "read_metadata", "read_payloads", "read_records"]
+__all__ = [
+    "at_least",
+    "combine_exports",
+    "empty_dataset",
+    "read_metadata",
+    "read_payloads",
+    "read_records",
+]

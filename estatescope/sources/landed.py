@@ -38,3 +38,12 @@ def combine_exports(*exports: DataFrame) -> DataFrame:
 def empty_dataset(spark: SparkSession, kind: str) -> DataFrame:
     """An inventory with no rows and the declared columns."""
     return spark.createDataFrame([], INVENTORIES[kind])
+
+
+def at_least(df: DataFrame, partitions: int) -> DataFrame:
+    """A freshly read input, spread over tasks if it came in fewer partitions.
+
+    For exports that land as a few files that cannot be split, before the costly
+    parse. An input of many files is returned as it is, without a shuffle.
+    """
+    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df
