@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from estatescope.settings import (
     SUBMIT_RUN_LOOKBACK_DAYS,
 )
 from estatescope.sinks import SnapshotStore, write_report
+from estatescope.sinks.together import run_together
 
 # Inventory name -> landed inputs it needs.
 INPUTS = {
@@ -62,17 +64,16 @@ def store_inventories(
     stamped_at: str | None = None,
 ) -> dict[str, DataFrame | None]:
     """Each inventory as stored; what is already stored is not built again."""
-    stored: dict[str, DataFrame | None] = {}
-    for name, df in inventories.items():
+
+    def keep(name: str, df: DataFrame | None) -> DataFrame | None:
         if df is not None:
-            stored[name] = store.materialize_or_read(
-                name, lambda df=df: df, force_refresh, stamped_at
-            )
-        elif not force_refresh and store.exists(name):
-            stored[name] = store.read(name)
-        else:
-            stored[name] = None
-    return stored
+            return store.materialize_or_read(name, lambda: df, force_refresh, stamped_at)
+        return store.read(name) if not force_refresh and store.exists(name) else None
+
+    frames = run_together(
+        store.spark, [partial(keep, name, df) for name, df in inventories.items()]
+    )
+    return dict(zip(inventories, frames))
 
 
 def assess(
@@ -143,9 +144,10 @@ def run_assessment(
     stored = store_inventories(
         store, build_inventories(landed, as_of_ms, lookback_days), force_refresh, stamped_at
     )
-    assessed = {
-        name: store.keep(f"{name}_assessed", df) if df is not None else None
-        for name, df in assess(stored, min_version, disallowed).items()
-    }
+    found = {k: v for k, v in assess(stored, min_version, disallowed).items() if v is not None}
+    kept = run_together(
+        spark, [partial(store.keep, f"{name}_assessed", df) for name, df in found.items()]
+    )
+    assessed = dict(zip(found, kept))
     results = {**stored, **assessed, **roll_up(spark, stored, assessed)}
     return write_report(spark, results, report_root, fmt)

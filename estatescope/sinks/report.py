@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatescope.functions.text import as_json
+from estatescope.sinks.together import run_together
 
 # Title and dataset of each report table, in order.
 REPORT_TABLES = (
@@ -59,12 +61,16 @@ def write_report(
     fmt: str = "parquet",
 ) -> dict[str, str]:
     """Write all report tables under ``root``; folder of each dataset, in report order."""
-    folders = {}
-    for place, (title, name) in enumerate(REPORT_TABLES, start=1):
-        folder = f"{root}/{place:02d}_{title.lower().replace(' ', '_')}"
+    folders = {
+        name: f"{root}/{place:02d}_{title.lower().replace(' ', '_')}"
+        for place, (title, name) in enumerate(REPORT_TABLES, start=1)
+    }
+
+    def write(name: str) -> None:
         writer = report_table(spark, results.get(name)).write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
-        writer.save(folder)
-        folders[name] = folder
+        writer.save(folders[name])
+
+    run_together(spark, [partial(write, name) for name in folders])
     return folders
