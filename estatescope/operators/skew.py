@@ -37,7 +37,12 @@ def _salted(facts: DataFrame, lookup: DataFrame, key: str, salts: int, how: str)
 
 
 def left_join_hot_apart(
-    facts: DataFrame, lookup: DataFrame, key: str, value: str, weight: str, unkeyed: Column
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    value: str,
+    weight: str,
+    unkeyed: Column | None = None,
 ) -> DataFrame:
     """``facts`` with column ``value`` of ``lookup``, which has one row per key.
 
@@ -56,7 +61,9 @@ def left_join_hot_apart(
         F.xxhash64(key).alias("_slot"),
         F.col(value).alias("_cold_value"),
     )
-    settled = unkeyed | F.col("_hot_key").isNotNull()
+    settled = F.col("_hot_key").isNotNull()
+    if unkeyed is not None:
+        settled = settled | unkeyed
     return (
         facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
         .withColumn("_slot", F.when(settled, F.spark_partition_id()).otherwise(F.xxhash64(key)))

@@ -57,29 +57,28 @@ def _mounted(locations: DataFrame, mounts: DataFrame | None) -> DataFrame:
 
 
 def storage_classes(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
-    """``tables`` with their ``storage_type``."""
+    """``tables`` with their ``storage_type``.
+
+    Only rows that depend on the mount points are joined. The others, mostly the
+    great majority, are classified where they are read.
+    """
     _require_location(tables)
     location = F.col("location")
-    locations = tables.where(needs_mount_list(location)).groupBy("location").agg(
-        F.count("*").alias("n")
-    )
+    undecided = needs_mount_list(location)
+    decided = tables.where(~undecided).withColumn("storage_type", class_by_prefix(location))
+    rest = tables.where(undecided)
+    locations = rest.groupBy("location").agg(F.count("*").alias("n"))
     mounted = _mounted(locations, mounts).select(
-        F.col("location").alias("_lookup"), F.lit(True).alias("_mounted"), "n"
+        F.col("location").alias("_lookup"), F.lit(DBFS_MOUNT).alias("_mounted"), "n"
+    )
+    joined = left_join_hot_apart(
+        rest.withColumn("_lookup", location), mounted, key="_lookup", value="_mounted", weight="n"
     )
-    marked = left_join_hot_apart(
-        tables.withColumn("_lookup", F.when(needs_mount_list(location), location)),
-        mounted,
-        key="_lookup",
-        value="_mounted",
-        weight="n",
-        unkeyed=F.col("_lookup").isNull(),
+    return decided.unionByName(
+        joined.withColumn("storage_type", F.coalesce("_mounted", F.lit(DBFS_ROOT))).drop(
+            "_lookup", "_mounted"
+        )
     )
-    return marked.withColumn(
-        "storage_type",
-        F.when(F.col("_mounted"), F.lit(DBFS_MOUNT))
-        .when(F.col("_lookup").isNotNull(), F.lit(DBFS_ROOT))
-        .otherwise(class_by_prefix(location)),
-    ).drop("_lookup", "_mounted")
 
 
 def storage_summary(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
