@@ -25,8 +25,15 @@ def _list_text(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A folder for written tables: the one the cluster shares, or a temporary one if unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="estatescope-")
+    """A folder for written tables, under the one the cluster shares for checkpoints.
+
+    Only a local session, where all tasks see the same disk, may do without that setting.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="estatescope-")
     return f"{shared}/estatescope/{spark.conf.get('spark.app.id')}/{purpose}"
 
 

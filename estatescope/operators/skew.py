@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 HOT_KEYS = 1000
+HOT_ROWS = 10_000
 
 
 def salted_semi_join(facts: DataFrame, lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
@@ -46,13 +47,15 @@ def left_join_hot_apart(
 ) -> DataFrame:
     """``facts`` with column ``value`` of ``lookup``, which has one row per key.
 
-    ``weight`` is how many facts have the key. The ``HOT_KEYS`` heaviest keys are
-    broadcast: that is at most so many rows, however large the lookup. Any other
-    key then has under 1/HOT_KEYS of the facts and goes through a normal join.
+    ``weight`` is how many facts have the key. Of the keys with at least ``HOT_ROWS``
+    facts the ``HOT_KEYS`` heaviest are broadcast: at most so many rows, however
+    large the lookup. Any other key has under ``HOT_ROWS`` facts or under 1/HOT_KEYS
+    of them, and goes through a normal join, so no key is left out.
     Facts that are ``unkeyed``, or settled by the broadcast, are spread by partition.
     """
     hot = (
-        lookup.orderBy(F.desc(weight))
+        lookup.where(F.col(weight) >= HOT_ROWS)
+        .orderBy(F.desc(weight))
         .limit(HOT_KEYS)
         .select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"))
     )

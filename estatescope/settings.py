@@ -4,4 +4,3 @@
 MIN_RUNTIME_VERSION = "11.3"
 DISALLOWED_ACCESS_MODES = ("NO_ISOLATION", "LEGACY_SINGLE_USER")
 SUBMIT_RUN_LOOKBACK_DAYS = 30
-INVENTORY_SCHEMA = "crawler_inventory"

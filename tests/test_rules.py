@@ -144,6 +144,7 @@ def brute_force(job_rows, cluster_rows):
 
 def test_one_cluster_and_one_list_hold_a_third_of_the_jobs(spark, shuffled, monkeypatch):
     monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     rng = random.Random(7)
     cluster_rows = [
         (f"c{i}", None, None, None, rng.sample(["p", "q", "r", "s"], rng.randint(0, 3)))
@@ -166,6 +167,7 @@ def test_one_cluster_and_one_list_hold_a_third_of_the_jobs(spark, shuffled, monk
 
 def test_hot_apart_join_equals_a_left_join(spark, shuffled, monkeypatch):
     monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     keys = ["hot"] * 400 + ["warm"] * 100 + [f"k{i}" for i in range(200)] + [None] * 400
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").repartition(5)
     held = {"hot": "H", "warm": "W", **{f"k{i}": f"v{i}" for i in range(0, 200, 2)}}

@@ -66,6 +66,7 @@ def test_edges(spark, points):
 
 def test_against_brute_force_with_a_hot_location(spark, shuffled, monkeypatch):
     monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     rng = random.Random(3)
 
     def path(n):
