@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ UDF_FIELD_WORDS = (
 )
 
 
-def accessible_schemas(schemas: DataFrame) -> DataFrame:
-    """Distinct ``catalog.schema`` of (table_catalog, table_schema) rows."""
+def accessible_schemas(schemas: DataFrame, catalogs: Iterable[str] | None = None) -> DataFrame:
+    """Distinct ``catalog.schema`` of (table_catalog, table_schema) rows.
+
+    ``catalogs`` restricts the result to those; the system catalog is never included.
+    """
     catalog, schema = F.col("table_catalog"), F.col("table_schema")
+    if catalogs is not None:
+        schemas = schemas.where(catalog.isin(list(catalogs)))
     return (
         schemas.where(is_accessible_schema(catalog, schema))
         .select(qualified(catalog, schema).alias("catalog_schema"))
@@ -103,16 +110,18 @@ def _partitions_json(details: DataFrame) -> Column:
 
 
 def tables_inventory(listed: DataFrame, types: DataFrame, details: DataFrame) -> DataFrame:
-    """Listed tables with their type and storage details.
+    """One row per listed table, with its type and storage details.
 
-    Both lookups are reduced to one row per table first, so a row that landed
-    twice cannot multiply tables. That reduction and both joins use the same key,
-    so each input is shuffled once. The table name is part of the key, which
-    spreads a schema that holds a large share of all tables.
+    A schema lists a name once, so rows that landed twice are one table. All three
+    inputs are reduced to one row per table on the key of the joins: copies are
+    combined before the shuffle, and each input is shuffled once. The table name is
+    part of the key, which spreads a schema that holds a large share of the tables.
     """
     key = ["catalog_schema", "table"]
-    tables = listed.where(is_accessible_name(F.col("catalog_schema"))).select(
-        "catalog_schema", F.col("table_name").alias("table")
+    tables = (
+        listed.where(is_accessible_name(F.col("catalog_schema")))
+        .select("catalog_schema", F.col("table_name").alias("table"))
+        .distinct()
     )
     type_of = (
         types.where(is_accessible_schema(F.col("table_catalog"), F.col("table_schema")))

@@ -101,7 +101,9 @@ def roll_up(
     tables = assessed.get("tables")
     database_summary = storage_summary = None
     if tables is not None:
-        database_summary = rollups.database_summary(tables, inventories.get("grants"))
+        database_summary = rollups.database_summary(tables, inventories.get("grants")).orderBy(
+            "database"
+        )
         storage_summary = storage.storage_summary(tables, inventories.get("mounts"))
     return {
         "readiness_summary": rollups.readiness_summary(spark, assessed),

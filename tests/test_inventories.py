@@ -208,8 +208,8 @@ def test_tables(spark):
     }
 
 
-def test_repeated_lookups_do_not_multiply_tables(spark):
-    listed = spark.createDataFrame([("main.s", "a")], METADATA["table_list"])
+def test_rows_landed_twice_are_one_table(spark):
+    listed = spark.createDataFrame([("main.s", "a")] * 50, METADATA["table_list"])
     types = spark.createDataFrame([("main", "s", "a", "MANAGED")] * 50, METADATA["table_types"])
     details = details_frame(spark, [("main.s", "a", "csv", "l", 1, "[]", None)] * 50)
     assert metadata.tables_inventory(listed, types, details).count() == 1
@@ -233,6 +233,8 @@ def test_accessible_schemas(spark):
         "table_catalog string, table_schema string",
     )
     assert rows(metadata.accessible_schemas(schemas)) == [("main.s",)]
+    assert rows(metadata.accessible_schemas(schemas, ["main", "system"])) == [("main.s",)]
+    assert rows(metadata.accessible_schemas(schemas, ["other", "system"])) == []
 
 
 def test_every_inventory_has_its_declared_schema_on_empty_input(spark):
