@@ -80,8 +80,10 @@ global_init_scripts AS (
 GRANTS = """
 grants AS (
   SELECT database_name AS database, object_type, database_name AS object_name,
-    coalesce(nullif(payload->>'$.Principal', ''), nullif(payload->>'$.principal', '')) AS principal,
-    coalesce(nullif(payload->>'$.ActionType', ''), nullif(payload->>'$.action_type', '')) AS action_type
+    CASE WHEN len(payload->>'$.Principal') > 0 THEN payload->>'$.Principal'
+      ELSE payload->>'$.principal' END AS principal,
+    CASE WHEN len(payload->>'$.ActionType') > 0 THEN payload->>'$.ActionType'
+      ELSE payload->>'$.action_type' END AS action_type
   FROM fx_grants
   WHERE object_type = 'SCHEMA' AND split_part(database_name, '.', 1) <> 'system')"""
 

@@ -14,9 +14,9 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
-def first_non_empty(*texts: Column) -> Column:
-    """The first text that is neither null nor empty, else null."""
-    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+def non_empty_or(text: Column, other: Column) -> Column:
+    """The text if it is neither null nor empty, else the other one as it is."""
+    return F.coalesce(F.nullif(text, F.lit("")), other)
 
 
 def as_json(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatescope.functions.names import is_accessible_name, is_accessible_schema, qualified
-from estatescope.functions.text import as_json, first_non_empty, stripped
+from estatescope.functions.text import as_json, non_empty_or, stripped
 
 # What is recorded where the export says nothing.
 UNKNOWN_TYPE = "UNKNOWN"
@@ -54,8 +54,8 @@ def grants_inventory(grants: DataFrame) -> DataFrame:
             "database",
             "object_type",
             F.col("database").alias("object_name"),
-            first_non_empty(F.col("p1"), F.col("p2")).alias("principal"),
-            first_non_empty(F.col("a1"), F.col("a2")).alias("action_type"),
+            non_empty_or(F.col("p1"), F.col("p2")).alias("principal"),
+            non_empty_or(F.col("a1"), F.col("a2")).alias("action_type"),
         )
     )
 

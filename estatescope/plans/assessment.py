@@ -15,6 +15,7 @@ from estatescope.settings import (
 )
 from estatescope.sinks import SnapshotStore, write_report
 from estatescope.sinks.together import run_together
+from estatescope.sources import empty_dataset
 
 # Inventory name -> landed inputs it needs.
 INPUTS = {
@@ -77,38 +78,41 @@ def store_inventories(
 
 
 def assess(
+    spark: SparkSession,
     inventories: Mapping[str, DataFrame | None],
     min_version: str | None = MIN_RUNTIME_VERSION,
     disallowed: Iterable[str] | None = DISALLOWED_ACCESS_MODES,
-) -> dict[str, DataFrame | None]:
-    """Clusters, jobs and tables with their findings."""
-    clusters, jobs, tables = (inventories.get(n) for n in rollups.ASSESSED)
-    if clusters is not None:
-        clusters = rules.assess_clusters(clusters, min_version, disallowed)
-    if jobs is not None:
-        jobs = rules.assess_jobs(jobs, clusters, min_version)
-    if tables is not None:
-        tables = rules.assess_tables(tables)
-    return {"clusters": clusters, "jobs": jobs, "tables": tables}
+) -> dict[str, DataFrame]:
+    """Clusters, jobs and tables with their findings; without rows where an inventory is missing."""
+
+    def rows_of(name: str) -> DataFrame:
+        df = inventories.get(name)
+        return df if df is not None else empty_dataset(spark, name)
+
+    clusters = rules.assess_clusters(rows_of("clusters"), min_version, disallowed)
+    return {
+        "clusters": clusters,
+        "jobs": rules.assess_jobs(rows_of("jobs"), clusters, min_version),
+        "tables": rules.assess_tables(rows_of("tables")),
+    }
 
 
 def roll_up(
     spark: SparkSession,
     inventories: Mapping[str, DataFrame | None],
-    assessed: Mapping[str, DataFrame | None],
+    assessed: Mapping[str, DataFrame],
 ) -> dict[str, DataFrame | None]:
-    """The five rollups; without tables there is no database or storage summary."""
-    tables = assessed.get("tables")
-    database_summary = storage_summary = None
-    if tables is not None:
-        database_summary = rollups.database_summary(tables, inventories.get("grants")).orderBy(
-            "database"
-        )
+    """The five rollups; there is no storage summary without tables."""
+    tables = assessed["tables"]
+    storage_summary = None
+    if inventories.get("tables") is not None:
         storage_summary = storage.storage_summary(tables, inventories.get("mounts"))
     return {
         "readiness_summary": rollups.readiness_summary(spark, assessed),
         "assessment_summary": rollups.assessment_summary(spark, assessed),
-        "database_summary": database_summary,
+        "database_summary": rollups.database_summary(tables, inventories.get("grants")).orderBy(
+            "database"
+        ),
         "storage_summary": storage_summary,
         "overview": rollups.overview(spark, inventories),
     }
@@ -121,7 +125,7 @@ def build_assessment(
     disallowed: Iterable[str] | None = DISALLOWED_ACCESS_MODES,
 ) -> dict[str, DataFrame | None]:
     """Assessed clusters, jobs and tables, and the rollups over them, as lazy plans."""
-    assessed = assess(inventories, min_version, disallowed)
+    assessed = assess(spark, inventories, min_version, disallowed)
     return {**assessed, **roll_up(spark, inventories, assessed)}
 
 
@@ -146,7 +150,7 @@ def run_assessment(
     stored = store_inventories(
         store, build_inventories(landed, as_of_ms, lookback_days), force_refresh, stamped_at
     )
-    found = {k: v for k, v in assess(stored, min_version, disallowed).items() if v is not None}
+    found = assess(spark, stored, min_version, disallowed)
     kept = run_together(
         spark, [partial(store.keep, f"{name}_assessed", df) for name, df in found.items()]
     )

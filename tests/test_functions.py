@@ -91,7 +91,8 @@ def test_accessible_names(spark):
 
 def test_text_helpers(spark):
     assert values(spark, text.stripped(F.col("x")), ["\t a b \r\n", "", None]) == ["a b", "", None]
-    first = text.first_non_empty(F.col("x"), F.lit("z"))
+    first = text.non_empty_or(F.col("x"), F.lit("z"))
     assert values(spark, first, ["a", "", None]) == ["a", "z", "z"]
+    assert values(spark, text.non_empty_or(F.lit(""), F.col("x")), ["a", "", None]) == ["a", "", None]
     json = text.as_json(F.struct(F.col("x").alias("k")))
     assert values(spark, json, ["a", None]) == ['{"k":"a"}', '{"k":null}']

@@ -138,7 +138,7 @@ def test_grants(spark):
     )
     got = rows(metadata.grants_inventory(raw))
     assert {g[:3] for g in got} == {("main.s", "SCHEMA", "main.s")}
-    assert [g[3:] for g in got] == [("a", "X"), ("b", "Y"), (None, None), (None, None)]
+    assert [g[3:] for g in got] == [("a", "X"), ("b", "Y"), ("", None), (None, None)]
 
 
 def test_udfs_first_rule_per_row_and_last_row_per_field(spark):

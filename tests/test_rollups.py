@@ -98,8 +98,10 @@ def test_overview(spark):
 
 def test_assessment_of_missing_inventories(spark):
     results = build_assessment(spark, {})
-    assert [name for name, df in results.items() if df is None] == [
-        "clusters", "jobs", "tables", "database_summary", "storage_summary",
-    ]
-    assert results["readiness_summary"].count() == 3
+    assert [name for name, df in results.items() if df is None] == ["storage_summary"]
+    for name in ("clusters", "jobs", "tables"):
+        assert results[name].columns == [*empty_dataset(spark, name).columns, "findings"]
+        assert results[name].count() == 0
+    assert results["database_summary"].count() == results["assessment_summary"].count() == 0
+    assert {r.readiness for r in results["readiness_summary"].collect()} == {None}
     assert results["overview"].count() == 8

@@ -94,5 +94,8 @@ def test_run_with_few_exports_uses_what_is_stored(spark, store, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(folders["mounts"]).collect()] == [("/mnt/a", "s", "then")]
     counts = {r.metric: r.value for r in spark.read.parquet(folders["overview"]).collect()}
     assert counts["Total Storage Locations"] == 1 and counts["Total Tables"] == 0
-    assert spark.read.parquet(folders["tables"]).columns == ["info"]
+    assert spark.read.parquet(folders["storage_summary"]).columns == ["info"]
+    assert spark.read.parquet(folders["udfs"]).columns == ["info"]
+    tables = spark.read.parquet(folders["tables"])
+    assert tables.count() == 0 and tables.columns[-1] == "findings"
     assert spark.read.parquet(folders["readiness_summary"]).count() == 3
