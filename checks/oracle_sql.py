@@ -244,25 +244,45 @@ def _sql(inputs: tuple[str, ...], steps: tuple[str, ...], select: str) -> str:
     return "WITH " + landed_cte(*inputs) + "," + ",".join(steps) + "\n" + select
 
 
-def _report_counts() -> str:
-    """Rows of each report table, in report order."""
-    tables = [
-        ("Assessment Overview", "overview"), ("Readiness Summary", None),
-        ("Assessment Summary", "assessment_summary"), ("Database Summary", "database_summary"),
-        ("Tables", "tables_assessed"), ("UDFs", "udfs"), ("Storage Summary", None),
-        ("External Locations", "external_locations"), ("Mount Points", "mounts"),
-        ("Clusters", "clusters_assessed"), ("Cluster Policies", "cluster_policies"),
-        ("Jobs", "jobs_assessed"), ("Submit Runs", "submit_runs"), ("Pipelines", "pipelines"),
-        ("Global Init Scripts", "global_init_scripts"), ("Grants", "grants"),
-    ]
-    own = {
-        "Readiness Summary": "SELECT count(DISTINCT object_type) FROM all_findings",
-        "Storage Summary": "SELECT count(DISTINCT storage_type) FROM storage",
-    }
+READINESS = """
+readiness_summary AS (
+  SELECT object_type, ((2000 * ok + total) // nullif(2 * total, 0)) / 10 AS readiness FROM (
+    SELECT object_type, count(*) AS total, count(*) FILTER (len(findings) = 0) AS ok
+    FROM all_findings GROUP BY object_type))"""
+
+STORAGE_SUMMARY = """
+storage_summary AS (
+  SELECT storage_type, count(*) AS table_count FROM storage GROUP BY storage_type)"""
+
+# Report tables in order, as they are written: lists become JSON text.
+REPORT = (
+    ("Assessment Overview", "SELECT * FROM overview"),
+    ("Readiness Summary", "SELECT * FROM readiness_summary"),
+    ("Assessment Summary", "SELECT * FROM assessment_summary"),
+    ("Database Summary", "SELECT * FROM database_summary"),
+    ("Tables", "SELECT * REPLACE (CAST(to_json(findings) AS VARCHAR) AS findings) FROM tables_assessed"),
+    ("UDFs", "SELECT * FROM udfs"),
+    ("Storage Summary", "SELECT * FROM storage_summary"),
+    ("External Locations", "SELECT * FROM external_locations"),
+    ("Mount Points", "SELECT * FROM mounts"),
+    ("Clusters", "SELECT * REPLACE (CAST(to_json(findings) AS VARCHAR) AS findings) FROM clusters_assessed"),
+    ("Cluster Policies", "SELECT * FROM cluster_policies"),
+    ("Jobs", "SELECT * REPLACE (CAST(to_json(dbr_versions) AS VARCHAR) AS dbr_versions,"
+             " CAST(to_json(findings) AS VARCHAR) AS findings) FROM jobs_assessed"),
+    ("Submit Runs", "SELECT * FROM submit_runs"),
+    ("Pipelines", "SELECT * FROM pipelines"),
+    ("Global Init Scripts", "SELECT * FROM global_init_scripts"),
+    ("Grants", "SELECT * FROM grants"),
+)
+
+
+def _report() -> str:
+    """Rows of each report table, and their total length as JSON text."""
     return "\nUNION ALL ".join(
-        f"SELECT {i} AS place, '{title}' AS title, "
-        f"({own.get(title) or f'SELECT count(*) FROM {name}'}) AS row_count"
-        for i, (title, name) in enumerate(tables, start=1)
+        f"SELECT {place} AS place, '{title}' AS title, count(*) AS row_count,"
+        f" CAST(coalesce(sum(len(CAST(to_json(t) AS VARCHAR))), 0) AS BIGINT) AS text_length"
+        f" FROM ({select}) t"
+        for place, (title, select) in enumerate(REPORT, start=1)
     )
 
 
@@ -278,9 +298,9 @@ ORACLE_SQL: dict[str, str] = {
         tuple(LANDED),
         (
             *INVENTORY_STEPS, CLUSTERS_ASSESSED, JOBS_ASSESSED, TABLES_ASSESSED, STORAGE,
-            GRANT_COUNTS, DATABASE_SUMMARY, ALL_FINDINGS, OVERVIEW,
+            STORAGE_SUMMARY, GRANT_COUNTS, DATABASE_SUMMARY, ALL_FINDINGS, READINESS, OVERVIEW,
         ),
-        _report_counts(),
+        _report(),
     ),
     "clusters_inventory": _CLUSTERS,
     "cluster_policies_inventory": _sql(
@@ -342,8 +362,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "storage_summary": _sql(
         (*TABLE_INPUTS, "mounts"),
-        (TABLES, MOUNTS, STORAGE),
-        "SELECT storage_type, count(*) AS table_count FROM storage GROUP BY storage_type",
+        (TABLES, MOUNTS, STORAGE, STORAGE_SUMMARY),
+        "SELECT * FROM storage_summary",
     ),
     "grants_by_database": _sql(
         ("grants",), (GRANTS, GRANT_COUNTS), "SELECT * FROM grant_counts"
@@ -354,11 +374,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT * FROM database_summary",
     ),
     "readiness_summary": _sql(
-        RULE_INPUTS,
-        (*RULE_STEPS, ALL_FINDINGS),
-        "SELECT object_type, ((2000 * ok + total) // nullif(2 * total, 0)) / 10 AS readiness FROM ("
-        "SELECT object_type, count(*) AS total, count(*) FILTER (len(findings) = 0) AS ok"
-        " FROM all_findings GROUP BY object_type)",
+        RULE_INPUTS, (*RULE_STEPS, ALL_FINDINGS, READINESS), "SELECT * FROM readiness_summary"
     ),
     "assessment_summary": _sql(
         RULE_INPUTS, (*RULE_STEPS, ALL_FINDINGS), "SELECT * FROM assessment_summary"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,7 +209,11 @@ def materialize_or_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole assessment, stored and written; rows read back from each report table."""
+    """The whole assessment, stored and written, then read back.
+
+    Rows of each report table, and the total length of its rows as JSON text, which
+    covers every cell.
+    """
     folders = run_assessment(
         spark,
         {n: landed(spark, sf_dir, n) for n in LANDED},
@@ -217,13 +222,17 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         AS_OF_MS,
         force_refresh=True,
     )
-    counts = None
-    for place, (title, name) in enumerate(REPORT_TABLES, start=1):
-        part = spark.read.parquet(folders[name]).agg(F.count("*").alias("row_count")).select(
-            F.lit(place).alias("place"), F.lit(title).alias("title"), "row_count"
-        )
-        counts = part if counts is None else counts.unionByName(part)
-    return counts
+
+    def summed(place: int, title: str, name: str) -> DataFrame:
+        rows = spark.read.parquet(folders[name]).drop(STAMP)
+        text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        return rows.agg(
+            F.count("*").alias("row_count"),
+            F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("text_length"),
+        ).select(F.lit(place).alias("place"), F.lit(title).alias("title"), "row_count", "text_length")
+
+    parts = [summed(i, title, name) for i, (title, name) in enumerate(REPORT_TABLES, start=1)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES: dict[str, Query] = {
