@@ -105,8 +105,8 @@ def _tables_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _jobs_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = inventory.jobs_inventory(landed(spark, sf_dir, "jobs"))
-    return rules.assess_jobs(jobs, _clusters_assessed(spark, sf_dir))
+    jobs = inventory.jobs_inventory(landed(spark, sf_dir, "jobs"), keep_tasks=True)
+    return rules.assess_jobs(jobs, _clusters_assessed(spark, sf_dir)).drop("tasks")
 
 
 def _assessed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -49,17 +49,24 @@ def cluster_policies_inventory(raw: DataFrame) -> DataFrame:
     )
 
 
-def jobs_inventory(raw: DataFrame) -> DataFrame:
-    """Versions keep their first appearance; the task list becomes JSON text."""
-    return _records(raw, "jobs").select(
+def jobs_inventory(raw: DataFrame, keep_tasks: bool = False) -> DataFrame:
+    """Versions keep their first appearance; the task list becomes JSON text.
+
+    With ``keep_tasks`` the typed list stays too, as ``tasks``: rules that follow in
+    the same plan then need not parse the text again.
+    """
+    tasks = F.col("r.settings.tasks")
+    jobs = _records(raw, "jobs").select(
         "r.job_id",
         F.col("r.settings.name").alias("job_name"),
         F.col("r.creator_user_name").alias("creator"),
         _distinct_texts(F.col("r.settings.job_clusters.new_cluster.spark_version")).alias(
             "dbr_versions"
         ),
-        F.coalesce(as_json(F.col("r.settings.tasks")), F.lit("[]")).alias("task_clusters"),
+        F.coalesce(as_json(tasks), F.lit("[]")).alias("task_clusters"),
+        tasks.alias("tasks"),
     )
+    return jobs if keep_tasks else jobs.drop("tasks")
 
 
 def pipelines_inventory(raw: DataFrame) -> DataFrame:

@@ -75,9 +75,12 @@ def assess_tables(tables: DataFrame) -> DataFrame:
 def _with_task_clusters(jobs: DataFrame, column: str) -> DataFrame:
     """Existing clusters of a job's tasks, each once in task order; empty if there are none.
 
+    Taken from the typed ``tasks`` if the inventory kept them, else from the JSON text.
     Never null, so that no null test of it is pushed down to run the parser again.
     """
     tasks = F.from_json("task_clusters", "array<struct<existing_cluster_id: string>>")
+    if "tasks" in jobs.columns:
+        tasks = F.col("tasks")
     ids = F.array_except(tasks["existing_cluster_id"], F.array(F.lit(None).cast("string")))
     return jobs.withColumn(column, F.coalesce(ids, F.array().cast("array<string>")))
 

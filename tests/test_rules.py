@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estatescope.functions.versions import version_pair
 from estatescope.operators import rules, skew
+from estatescope.operators.inventory import jobs_inventory
 from estatescope.sources.schemas import INVENTORIES
 
 OLD = "not supported DBR: "
@@ -108,6 +109,21 @@ def test_assess_jobs_order_and_repeats(spark):
     assert rules.assess_jobs(df, known).columns == [*df.columns, "findings"]
 
 
+def test_kept_tasks_and_task_text_give_the_same(spark):
+    records = [
+        {"job_id": 1, "settings": {"tasks": [{"existing_cluster_id": "b"}, {"task_key": "t"}, {"existing_cluster_id": "a"}]}},
+        {"job_id": 2, "settings": {"tasks": []}},
+        {"job_id": 3},
+    ]
+    raw = spark.createDataFrame([(json.dumps(r),) for r in records], "payload string")
+    known = clusters(spark, ("a", None, None, None, ["x", "y"]), ("b", None, None, None, ["y"]))
+    want = {1: ["y", "x"], 2: [], 3: []}
+    assert found(rules.assess_jobs(jobs_inventory(raw), known)) == want
+    kept = rules.assess_jobs(jobs_inventory(raw, keep_tasks=True), known)
+    assert found(kept) == want
+    assert kept.columns[-2:] == ["tasks", "findings"]
+
+
 def test_assess_jobs_without_clusters(spark):
     df = jobs(spark, job(1, ["9.1", "9.1"], ["a"]))
     assert found(rules.assess_jobs(df, None)) == {1: [OLD + "9.1"]}
