@@ -1,13 +1,22 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
+from estatescope.llm.quality import OP7_SQL, op7_quality
 from estatescope.llm.sharding import op1_shard_rows
+from estatescope.llm.url_filter import OP5_SQL, op5_url_filter
+from estatescope.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_shard_rows": op1_shard_rows,
     "op3_mix_sources": op3_mix_sources,
+    "op5_url_filter": op5_url_filter,
+    "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": OP3_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op7_quality": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
