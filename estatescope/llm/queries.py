@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
+from estatescope.llm.packing import op10_packing
 from estatescope.llm.quality import OP7_SQL, op7_quality
 from estatescope.llm.sharding import op1_shard_rows
 from estatescope.llm.url_filter import OP5_SQL, op5_url_filter
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
