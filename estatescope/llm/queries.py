@@ -1,6 +1,8 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from estatescope.llm.lm_scoring import op2_lm_scoring
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
+from estatescope.llm.near_vectors import op9_near_vectors
 from estatescope.llm.packing import op10_packing
 from estatescope.llm.quality import OP7_SQL, op7_quality
 from estatescope.llm.sharding import op1_shard_rows
@@ -9,10 +11,12 @@ from estatescope.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_shard_rows": op1_shard_rows,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_mix_sources": op3_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
+    "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
 }
 
