@@ -124,18 +124,22 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> Dat
     groups = max(1, ceil(short.count() / group))
     # The seed makes a task that is run again deal out its rows as before.
     dealt = short.withColumn("lot", F.floor(F.rand(29) * groups).cast("long"))
+    # Long ids stay exact in pandas only in columns without nulls.
+    dealt = dealt.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         numbers, offsets = sum_of_squares(frame["length"].to_numpy(), sequence)
         return frame.assign(sequence_id=frame["lot"] * 2**32 + numbers, offset=offsets).drop(columns="lot")
 
-    schema = PIECES + ", sequence_id long, offset long"
+    schema = PIECES + ", known boolean, sequence_id long, offset long"
     full = pieces.where(F.col("length") == sequence).select(
         "*",
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    return dealt.groupBy("lot").applyInPandas(packed, schema).unionByName(full)
+    placed = dealt.groupBy("lot").applyInPandas(packed, schema)
+    doc_id = F.when(F.col("known"), F.col("doc_id")).alias("doc_id")
+    return placed.select(doc_id, *(c for c in full.columns if c != "doc_id")).unionByName(full)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,10 +205,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if file != name:
                     name, reader = file, _Reader()
                 rows.extend(reader.pieces(part))
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("page_id", "refers_to", "payload_bytes", "chunk_bytes"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            # Declared as integers at once: a column with nulls would pass through doubles.
+            columns = dict(zip(names, zip(*rows))) if rows else {c: () for c in names}
+            long = ("page_id", "refers_to", "chunk_bytes", "payload_bytes")
+            yield pd.DataFrame(
+                {c: pd.array(x, "Int64") if c in long else pd.Series(x, dtype=object) for c, x in columns.items()}
+            )
 
     lines = spark.read.text(folder, lineSep=END, pathGlobFilter="*.gz")
     pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
