@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from estatescope.llm.jaccard_join import op6_jaccard_join
 from estatescope.llm.lm_scoring import op2_lm_scoring
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
 from estatescope.llm.near_vectors import op9_near_vectors
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_mix_sources": op3_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_near_vectors": op9_near_vectors,
