@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from estatescope.llm.common import read_table, written
 
-BLOCK_TOKENS = 2_000_000
-RANGE_KEYS = 2_000_000  # keys that the messages to one task hold, about
+BLOCK_TOKENS = 1_000_000
+RANGE_KEYS = 1_000_000  # keys that the messages to one task hold, about
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 RETAINED_ROLE, DELETED_ROLE, HELD_OUT_ROLE = 0, 1, 2
 ROUNDS = 200
