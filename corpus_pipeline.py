@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from estatescope.llm.common import read_table, written
-from estatescope.llm.stages import mix
+from estatescope.llm.stages import drop_near_copies, drop_repeats, keep_quality, mix, pack_sequences
 
 STAGES = [
-    ("mix sources", mix),
+    ("quality rules", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_repeats),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack_sequences),
 ]
 
-# Shingle links, byte windows and packing are tested against brute force instead.
+# SQL cannot express packing; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import read_table, written
+from estatescope.llm.common import WORD, read_table, written
 from estatescope.llm.components import connected_components
 from estatescope.llm.repeats import BLOCK_KEYS, BLOCKS, block_row, repeated_entries
 
@@ -45,7 +45,7 @@ SAMPLE = 5_000  # documents that the order of shingles is fitted on
 FREQUENT = 15  # documents of the sample
 LEAF = 32  # points of a leaf, and nodes of a node
 
-SETS = "doc_id long, node long, n long, point binary"
+SETS = "doc_id long, body long, node long, n long, point binary"
 
 
 class _WordHashes(dict):
@@ -155,7 +155,8 @@ def jaccard_components(
     sample: int = SAMPLE,
     frequent: int = FREQUENT,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and node, a name of its set."""
+    """One row per document: doc_id, n_shingles, component_id, and names of its text (body)
+    and of its component (root, null for an empty set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     late = frequent_shingles(rows, words, sample, frequent)
 
@@ -167,15 +168,15 @@ def jaccard_components(
         keys, nodes, held = [], [], 0
         for batch in batches:
             out = []
-            for doc_id, known, text in zip(batch["doc_id"], batch["known"], batch["text"]):
+            for doc_id, known, body, text in zip(batch["doc_id"], batch["known"], batch["body"], batch["text"]):
                 doc_id = int(doc_id) if known else None
                 s = shingles(text, words, hashes)
                 if not len(s):
-                    out.append((doc_id, None, 0, None, None, None, None, None))
+                    out.append((doc_id, body, None, 0, None, None, None, None, None))
                     continue
                 node = node_of(s)
                 point = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
-                out.append((doc_id, node, len(s), point.astype("<u2" if point.max() < 65536 else "<u4").tobytes(), None, None, None, None))
+                out.append((doc_id, body, node, len(s), point.astype("<u2" if point.max() < 65536 else "<u4").tobytes(), None, None, None, None))
                 last = _in_sorted(s, late)
                 first = np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent)]
                 keys.append(first)
@@ -183,23 +184,28 @@ def jaccard_components(
                 held += len(first)
                 if held >= BLOCK_KEYS:
                     made += 1
-                    out.append((None, None, None, None, *block_row(f"{task}-{made}", np.concatenate(keys), np.concatenate(nodes)[None, :])))
+                    out.append((None, None, None, None, None, *block_row(f"{task}-{made}", np.concatenate(keys), np.concatenate(nodes)[None, :])))
                     keys, nodes, held = [], [], 0
             yield _frame(out)
         if held:
-            yield _frame([(None, None, None, None, *block_row(f"{task}-last", np.concatenate(keys), np.concatenate(nodes)[None, :]))])
+            yield _frame([(None, None, None, None, None, *block_row(f"{task}-last", np.concatenate(keys), np.concatenate(nodes)[None, :]))])
 
     def _frame(out: list[tuple]) -> pd.DataFrame:
-        names = ["doc_id", "node", "n", "point", "block", "n_keys", "keys", "payload"]
+        names = ["doc_id", "body", "node", "n", "point", "block", "n_keys", "keys", "payload"]
         columns = dict(zip(names, zip(*out))) if out else {c: () for c in names}
         # Declared as integers at once: a column with nulls would pass through doubles.
-        long = ("doc_id", "node", "n", "n_keys")
+        long = ("doc_id", "body", "node", "n", "n_keys")
         return pd.DataFrame({c: pd.array(x, "Int64") if c in long else pd.Series(x, dtype=object) for c, x in columns.items()})
 
     # Long ids stay exact only in columns without nulls.
-    told = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    told = rows.select(
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.col("doc_id").isNotNull().alias("known"),
+        F.xxhash64("text").alias("body"),
+        "text",
+    )
     both = written(told.mapInPandas(measured, f"{SETS}, {BLOCKS}"), "shingle-sets")
-    sets = both.where("block IS NULL").select("doc_id", "node", "n", "point")
+    sets = both.where("block IS NULL").select("doc_id", "body", "node", "n", "point")
     classes = sets.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point")
     )
@@ -221,9 +227,13 @@ def jaccard_components(
         "node", "least", F.coalesce("component_id", "node").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("node").alias("of_node"), "component_id")
+    named = rooted.join(smallest, "root").select(F.col("node").alias("of_node"), "component_id", "root")
     return sets.join(named, F.col("node") == F.col("of_node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node"
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "body",
+        "root",
     )
 
 
@@ -321,6 +331,27 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def distinct_documents(docs: DataFrame, **settings) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest id, all columns kept.
+
+    Rows without words are kept. Of rows that are equal in id and text one stays.
+    """
+    found = jaccard_components(docs, **settings).where("root IS NOT NULL")
+    # Nulls count as largest here.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body"))
+    chosen = found.groupBy("root").agg(first.alias("at")).select(
+        F.col("at.doc_id").alias("of_doc"), F.col("at.body").alias("of_body")
+    )
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", F.xxhash64("text").alias("body"), "text")
+    kept = rows.where(F.col("text").rlike(WORD)).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body"))
+    )
+    nth = F.row_number().over(Window.partitionBy("of_doc", "of_body").orderBy("doc_id"))
+    kept = kept.withColumn("nth", nth).where("nth = 1").select("row.*")
+    return kept.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
-    return jaccard_components(read_table(spark, sf_dir, "documents")).drop("node")
+    return jaccard_components(read_table(spark, sf_dir, "documents")).drop("body", "root")

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, word_count
+from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, word_count, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -106,9 +106,8 @@ def quality(
     limit), base_failed, kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.struct(F.col(host_col).alias("host"))
-    body = F.xxhash64(text, F.octet_length(text))
     measured = docs.select(
-        F.col(id_col).alias("doc_id"), host.alias("host"), body.alias("body"), text.alias("t")
+        F.col(id_col).alias("doc_id"), host.alias("host"), _body(text).alias("body"), text.alias("t")
     ).select("doc_id", "host", "body", *(c.alias(n) for n, c in text_metrics(F.col("t")).items()))
     lost = lost_words(docs, line_share, line_floor, text_col, host_col)
     base_failed = (F.col("n_words") < MIN_WORDS) | (
@@ -130,52 +129,65 @@ def quality(
     )
 
 
+def _body(text: Column) -> Column:
+    """A name of a text; equal texts of a host are one text."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
 def lost_words(
     docs: DataFrame, line_share: float, line_floor: int, text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """(of_host, of_body, line_words) of the texts that have lines above their host's limit."""
+    """(of_host, of_body, line_words, all_words) of the texts with lines above their host's limit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    host = F.struct(F.col(host_col).alias("host"))
-    body = F.xxhash64(text, F.octet_length(text))
+    rows = docs.select(F.struct(F.col(host_col).alias("host")).alias("host"), _body(text).alias("body"), text.alias("t"))
+    copies = rows.groupBy("host", "body").agg(F.count("*").alias("copies"))
     lines = (
-        docs.select(host.alias("host"), body.alias("body"), F.explode(F.split(text, "\n")).alias("raw"))
+        rows.select("host", "body", F.explode(F.split("t", "\n")).alias("raw"))
         .where(F.col("raw").rlike(WORD))
         .select("host", "body", F.xxhash64(normal_line(F.col("raw"))).alias("line"), word_count(F.col("raw")).alias("words"))
     )
     # A copy of a text adds the same lines again; all of its rows stand for one text.
-    held = lines.groupBy("host", "body", "line").agg(
-        F.sum("words").alias("words"), F.count("*").alias("times")
-    )
-    copies = docs.select(host.alias("host"), body.alias("body")).groupBy("host", "body").count()
-    sizes = copies.groupBy("host").count()
-    limits = sizes.select(
-        F.col("host").alias("of_host"),
-        F.greatest(F.lit(float(line_floor)), F.col("count") * line_share).alias("limit"),
+    held = written(lines.groupBy("host", "body", "line").agg(F.sum("words").alias("words")), "lines")
+    limits = copies.groupBy("host").agg(
+        F.greatest(F.lit(float(line_floor)), F.count("*") * line_share).alias("limit")
     )
     frequent = (
         held.groupBy("host", "line")
         .agg(F.count("*").alias("texts"))
         .where(F.col("texts") > line_floor)
-        .join(limits, F.col("host") == F.col("of_host"))
+        .join(limits, "host")
         .where("texts > limit")
-        .select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
-    )
-    hit = held.join(
-        frequent, (F.col("host") == F.col("of_host")) & (F.col("line") == F.col("of_line"))
+        .select("host", "line")
     )
-    many = copies.select(F.col("host").alias("c_host"), F.col("body").alias("c_body"), "count")
+    hit = held.join(frequent, ["host", "line"]).groupBy("host", "body").agg(F.sum("words").alias("hit"))
+    every = held.join(hit.select("host", "body"), ["host", "body"], "left_semi")
+    every = every.groupBy("host", "body").agg(F.sum("words").alias("every"))
     return (
-        hit.groupBy("host", "body")
-        .agg(F.sum("words").alias("words"))
-        .join(many, (F.col("host") == F.col("c_host")) & (F.col("body") == F.col("c_body")))
+        hit.join(every, ["host", "body"])
+        .join(copies, ["host", "body"])
         .select(
             F.col("host").alias("of_host"),
             F.col("body").alias("of_body"),
-            F.floor(F.col("words") / F.col("count")).cast("long").alias("line_words"),
+            F.floor(F.col("hit") / F.col("copies")).cast("long").alias("line_words"),
+            F.floor(F.col("every") / F.col("copies")).cast("long").alias("all_words"),
         )
     )
 
 
+def quality_documents(
+    docs: DataFrame, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted: float = DEPLETED
+) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, all columns as they were."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    gone = lost_words(docs, line_share, line_floor).where(F.col("line_words") > depleted * F.col("all_words"))
+    host = F.struct(F.col("source").alias("host"))
+    words = words_of(text)
+    good = (F.size(words) >= MIN_WORDS) & (100 * repeated_words(words) <= MAX_REPEAT_PERCENT * F.size(words))
+    return docs.where(good).join(
+        gone, (host == F.col("of_host")) & (_body(text) == F.col("of_body")), "left_anti"
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of every document."""
     return quality(read_table(spark, sf_dir, "documents")).drop("line_words")

@@ -6,6 +6,7 @@ from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
 from estatescope.llm.near_vectors import op9_near_vectors
 from estatescope.llm.packing import op10_packing
 from estatescope.llm.quality import OP7_SQL, op7_quality
+from estatescope.llm.repeated_windows import OP4_SQL, op4_repeated_windows
 from estatescope.llm.sharding import op1_shard_rows
 from estatescope.llm.url_filter import OP5_SQL, op5_url_filter
 from estatescope.llm.warc import OP8_SQL, op8_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_shard_rows": op1_shard_rows,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_mix_sources": op3_mix_sources,
+    "op4_repeated_windows": op4_repeated_windows,
     "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_mix_sources": OP3_SQL,
+    "op4_repeated_windows": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op7_quality": OP7_SQL,
     "op8_warc": OP8_SQL,

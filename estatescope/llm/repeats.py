@@ -50,7 +50,10 @@ def block_row(block: str, keys: np.ndarray, payload: np.ndarray) -> tuple:
 
 
 def repeated_entries(blocks: DataFrame, columns: list[str], range_keys: int = RANGE_KEYS) -> DataFrame:
-    """(key, *columns) of all entries whose key occurs more than once; ``blocks`` is a written table."""
+    """(key, *columns) of all entries whose key occurs more than once.
+
+    ``blocks`` is a written table; if it is bucketed by block, it is not shuffled.
+    """
     total = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     parts = max(1, ceil(total / range_keys))
 
