@@ -40,7 +40,8 @@ from estatescope.llm.repeats import BLOCK_KEYS, BLOCKS, block_row, repeated_entr
 
 WORDS = 5
 PERCENT = 75
-GROUPS = 64  # coordinates of a point
+GROUPS = 512  # coordinates of a point
+FOLD = 8  # that the R-tree adds up; pairs that it finds are bounded by all coordinates
 SAMPLE = 5_000  # documents that the order of shingles is fitted on
 FREQUENT = 15  # documents of the sample
 LEAF = 32  # points of a leaf, and nodes of a node
@@ -116,33 +117,46 @@ def needed_overlap(a, b, percent: int):
 
 
 class RTree:
-    """Points with sizes, packed by sorting into leaves of near points; nodes hold the largest
-    coordinate and the smallest and largest size below them."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        order = np.lexsort((points[:, points.var(axis=0).argmax()], sizes))
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        self.levels = []
-        high, small, large = self.points, self.sizes, self.sizes
-        while len(high) > LEAF:
-            at = np.arange(0, len(high), LEAF)
-            high = np.maximum.reduceat(high, at, axis=0)
-            small, large = np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)
-            self.levels.append((high, small, large))
-
-    def within(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Indexes of all points that may be linked with ``point``."""
-        at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
-        for high, small, large in [*reversed(self.levels), (self.points, self.sizes, self.sizes)]:
-            at = at[at < len(high)]
-            fits = (large[at] * 100 >= percent * size) & (small[at] * percent <= 100 * size)
-            at = at[fits]
-            bound = np.minimum(high[at], point).sum(axis=1)
-            at = at[bound >= needed_overlap(np.maximum(small[at], -(-percent * size // 100)), size, percent)]
-            if high is self.points:
-                return self.order[at]
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        return self.order[at]
+    """Points with sizes, packed into leaves; a node holds the largest of each coordinate, and
+    the smallest and largest size and label below it."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        _, place, members = np.unique(labels, return_inverse=True, return_counts=True)
+        # The most frequent label by itself, all by size, then by the widest coordinate.
+        order = np.lexsort((points[:, points.var(axis=0).argmax()], sizes, place == members.argmax()))
+        level = [points[order].astype(np.int32), *(x[order] for x in (sizes, sizes, labels, labels))]
+        self.order, self.levels = order, [level]
+        while len(level[0]) > LEAF:
+            at = np.arange(0, len(level[0]), LEAF)
+            fold = (np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+            level = [f.reduceat(x, at, axis=0) for f, x in zip(fold, level)]
+            self.levels.append(level)
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indexes of pairs with different labels that may be linked, each pair once."""
+        top = len(self.levels[-1][0])
+        yield from self._below(len(self.levels) - 1, *np.triu_indices(top), percent)
+
+    def _below(self, depth: int, a: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple]:
+        high, small, large, low_label, high_label = self.levels[depth]
+        fits = (large[a] * 100 >= percent * small[b]) & (large[b] * 100 >= percent * small[a])
+        fits &= (low_label[a] != high_label[b]) | (low_label[b] != high_label[a])
+        a, b = a[fits], b[fits]
+        # Sizes below that can be linked at all bound the overlap that is needed.
+        least = [np.maximum(small[x], -(-percent * small[y] // 100)) for x, y in ((a, b), (b, a))]
+        fits = np.minimum(high[a], high[b]).sum(axis=1) >= needed_overlap(*least, percent)
+        a, b = a[fits], b[fits]
+        if depth == 0:
+            if len(a):
+                yield self.order[a], self.order[b]
+            return
+        count = len(self.levels[depth - 1][0])
+        step = np.arange(LEAF)
+        for at in range(0, len(a), 32):
+            p = (a[at : at + 32, None, None] * LEAF + step[:, None]).repeat(LEAF, axis=2).ravel()
+            q = (b[at : at + 32, None, None] * LEAF + step).repeat(LEAF, axis=1).ravel()
+            real = (q < count) & (p <= q) if depth > 1 else (q < count) & (p < q)
+            yield from self._below(depth - 1, p[real], q[real], percent)
 
 
 def jaccard_components(
@@ -176,7 +190,7 @@ def jaccard_components(
                     continue
                 node = node_of(s)
                 point = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
-                out.append((doc_id, body, node, len(s), point.astype("<u2" if point.max() < 65536 else "<u4").tobytes(), None, None, None, None))
+                out.append((doc_id, body, node, len(s), _narrow(point), None, None, None, None))
                 last = _in_sorted(s, late)
                 first = np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent)]
                 keys.append(first)
@@ -214,15 +228,17 @@ def jaccard_components(
     points = classes.select("node", "n", "point")
     firsts = members.groupBy("key").agg(F.min("node").alias("a"))
     stars = members.join(firsts, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = verified(_not_ruled_out(stars, points, percent), rows, sets, words, percent)
+    whole = whole_sets(members, rows, sets, words)
+    links = verified(_not_ruled_out(stars, points, percent, groups), whole, percent)
     roots = connected_components(links)
     # Groups with members of different components are looked at as a whole.
     known = members.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "root", F.coalesce("component_id", "node")
     )
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    more = _tree_pairs(known.join(mixed, "key").select("key", "node", "root"), points, percent)
-    roots = connected_components(links.unionByName(verified(more, rows, sets, words, percent)))
+    mixed = written(known.join(mixed, "key").select("key", "node", "root"), "mixed-groups")
+    more = _tree_pairs(mixed, points, percent, groups)
+    roots = connected_components(links.unionByName(verified(more, whole, percent)))
     rooted = classes.select("node", "least").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "least", F.coalesce("component_id", "node").alias("root")
     )
@@ -247,11 +263,17 @@ def _members(entries: DataFrame) -> DataFrame:
     return written(distinct.join(kept.select("key"), "key"), "members")
 
 
-def _point(data: bytes, groups: int = GROUPS) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * groups else "<u4").astype(np.int64)
+def _narrow(point: np.ndarray) -> bytes:
+    """A point as little-endian bytes, as narrow as its largest coordinate allows."""
+    most = point.max()
+    return point.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
-def _not_ruled_out(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _point(data: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // groups}").astype(np.int64)
+
+
+def _not_ruled_out(pairs: DataFrame, points: DataFrame, percent: int, groups: int) -> DataFrame:
     """Pairs (a, b) whose points allow enough common shingles."""
     of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -259,33 +281,38 @@ def _not_ruled_out(pairs: DataFrame, points: DataFrame, percent: int) -> DataFra
 
     def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            bound = [np.minimum(_point(p), _point(q)).sum() for p, q in zip(f["p_a"], f["p_b"])]
+            bound = [np.minimum(_point(p, groups), _point(q, groups)).sum() for p, q in zip(f["p_a"], f["p_b"])]
             yield f.loc[np.array(bound, np.int64) >= needed_overlap(f["n_a"], f["n_b"], percent), ["a", "b"]]
 
     return sized.mapInPandas(allowed, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that are linked, by their whole sets; a written table."""
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    # One document of each class that is in a pair gives the set.
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id"))).alias("m"))
-    chosen = chosen.select("node", F.col("m.doc_id").alias("of_doc"))
+def whole_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of all classes in ``members``, as a written table: their texts are
+    moved once."""
+    wanted = members.select("node").distinct()
+    # One document of each class gives its set.
+    chosen = sets.join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("m")
+    )
+    chosen = chosen.select(F.col("node").alias("of_node"), "m.doc_id", "m.body")
+    texts = docs.withColumn("of_body", F.xxhash64("text")).join(
+        chosen.withColumnRenamed("doc_id", "of_doc"),
+        F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of_body") == F.col("body")),
+    )
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            found = [shingles(text, words, hashes) for text in batch["text"]]
-            frame = pd.DataFrame({"node": [node_of(s) for s in found], "shingles": [s.tobytes() for s in found]})
-            yield frame[frame["node"] == batch["of_node"]]
-
-    texts = docs.join(
-        chosen.select(F.col("node").alias("of_node"), "of_doc"), F.col("doc_id").eqNullSafe(F.col("of_doc"))
-    ).select("of_node", "text")
-    whole = written(texts.mapInPandas(full, "node long, shingles binary").dropDuplicates(["node"]), "whole-sets")
+            found = [shingles(text, words, hashes).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"node": batch["of_node"], "shingles": found})
+
+    found = texts.select("of_node", "text").mapInPandas(full, "node long, shingles binary")
+    return written(found.dropDuplicates(["node"]), "whole-sets")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that are linked, by their whole sets; a written table."""
     of = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,7 +327,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(linked, "a long, b long"), "links")
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int) -> DataFrame:
     """Pairs of one group and different components that the group's R-tree does not rule out."""
     # Sizes of linked sets differ by a ratio at most, so each is put into its band and the next.
     step = -np.log(percent / 100)
@@ -312,22 +339,44 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
     )
 
     def searched(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
-        band = frame["band"].iloc[0]
-        pts = np.stack([_point(p) for p in frame["point"]])
-        sizes, roots = frame["n"].to_numpy(np.int64), frame["root"].to_numpy(np.int64)
-        nodes, own = frame["node"].to_numpy(np.int64), (frame["own"] == band).to_numpy()
-        tree, a, b = RTree(pts, sizes), [], []
-        for i in np.flatnonzero(own):
-            near = tree.within(pts[i], sizes[i], percent)
-            # A pair within the band is met twice, one with the band below once.
-            near = near[(roots[near] != roots[i]) & (~own[near] | (near > i))]
-            a.append(np.full(len(near), nodes[i]))
-            b.append(nodes[near])
+        frame = frame.sort_values(["key", "band"], ignore_index=True)
+        own = (frame["own"] == frame["band"]).to_numpy()
+        points = np.stack([_point(p, groups) for p in frame["point"]]).astype(np.int32)
+        sizes, nodes, roots = (frame[c].to_numpy(np.int64) for c in ("n", "node", "root"))
+        new = (frame[["key", "band"]].diff() != 0).any(axis=1).to_numpy()
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(frame)))
+        a, b = [], []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            fits = (own[i] | own[j]) & (roots[i] != roots[j])
+            fits &= (sizes[i] * 100 >= percent * sizes[j]) & (sizes[j] * 100 >= percent * sizes[i])
+            i, j = i[fits], j[fits]
+            for at in range(0, len(i), 4096):
+                p, q = i[at : at + 4096], j[at : at + 4096]
+                bound = np.minimum(points[p], points[q]).sum(axis=1)
+                fits = bound >= needed_overlap(sizes[p], sizes[q], percent)
+                a.append(nodes[p[fits]])
+                b.append(nodes[q[fits]])
+
+        # A group that fits a leaf is a tree of one leaf; many of them are gone through at once.
+        for m in np.unique(counts[counts <= LEAF]):
+            i, j = np.triu_indices(m, 1)
+            for some in np.array_split(starts[counts == m], max(1, (counts == m).sum() * len(i) // 1_000_000)):
+                keep((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+        fold = FOLD if groups % FOLD == 0 else 1
+        for start, m in zip(starts[counts > LEAF], counts[counts > LEAF]):
+            mine = slice(start, start + m)
+            tree = RTree(points[mine].reshape(m, -1, fold).sum(axis=2), sizes[mine], roots[mine])
+            for i, j in tree.pairs(percent):
+                keep(i + start, j + start)
         empty = np.empty(0, np.int64)
         return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    found = placed.groupBy("key", "band").applyInPandas(searched, "a long, b long")
+    # A task takes several groups, each whole.
+    parts = max(1, 2 * members.count() // 20_000)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.lit(parts)))
+    found = placed.groupBy("part").applyInPandas(searched, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
