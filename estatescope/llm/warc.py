@@ -20,7 +20,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,44 +136,52 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
 
 class _Reader:
-    """Parser of one archive from its pieces between end marks, in order."""
+    """Parser of one archive. It takes the file's bytes in pieces of any size, and keeps no more
+    than one piece and one header."""
 
     def __init__(self) -> None:
         self.fields: dict[str, str] | None = None
+        self.rest = b""
         self.left = self.fed = self.total = self.skip = 0
-        self.head = self.inside = False
         self.digest = hashlib.sha256()
 
-    def pieces(self, pieces: Iterable[bytes]) -> Iterator[tuple]:
-        for piece in pieces:
+    def rows(self, piece: bytes) -> Iterator[tuple]:
+        data = self.rest + piece
+        while True:
             if self.fields is None:
-                if not piece.startswith(b"WARC/"):
-                    raise ValueError(f"no record starts where one is due: {piece[:40]!r}")
-                lines = piece.decode("utf-8", "replace").split(EOL)[1:]
-                self.fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-                self.left = int(self.fields["Content-Length"])
-                self.head = self.fields["WARC-Type"] != "continuation"
-                self.inside, self.fed = False, 0
-                if self.head:
-                    self.digest, self.total = hashlib.sha256(), 0
-                continue
-            data = (END.encode() if self.inside else b"") + piece
-            self.inside = True
-            self.left -= len(data)
-            if self.head:  # up to its blank line the block is the HTTP head
-                self.head = False
-                data = b""
-                self.skip = len(END)
-            elif self.skip:
-                data, self.skip = data[self.skip :], 0
-            self.digest.update(data)
-            self.fed += len(data)
-            self.total += len(data)
-            if self.left < 0:
-                raise ValueError("a record is longer than its Content-Length")
-            if self.left == 0:
+                end = data.find(END.encode())
+                if end < 0:
+                    break
+                self._start(data[:end])
+                data = data[end + len(END) :]
+            elif self.skip:  # the HTTP head of a first segment is no payload
+                if len(data) < self.skip:
+                    break
+                data, self.left, self.skip = data[self.skip :], self.left - self.skip, 0
+            elif self.left:
+                if not data:
+                    break
+                some = data[: self.left]
+                self.digest.update(some)
+                self.fed, self.total, self.left = self.fed + len(some), self.total + len(some), self.left - len(some)
+                data = data[len(some) :]
+            else:
+                if len(data) < len(END):
+                    break
+                if not data.startswith(END.encode()):
+                    raise ValueError("a record does not end where its Content-Length says")
                 yield self._row()
-                self.fields = None
+                data, self.fields = data[len(END) :], None
+        self.rest = data
+
+    def _start(self, header: bytes) -> None:
+        if not header.startswith(b"WARC/"):
+            raise ValueError(f"no record starts where one is due: {header[:40]!r}")
+        lines = header.decode("utf-8", "replace").split(EOL)[1:]
+        self.fields = dict(x.split(": ", 1) for x in lines if ": " in x)
+        self.left, self.fed = int(self.fields["Content-Length"]), 0
+        if self.fields["WARC-Type"] != "continuation":
+            self.digest, self.total, self.skip = hashlib.sha256(), 0, len(HTTP_HEAD)
 
     def _row(self) -> tuple:
         f = self.fields
@@ -204,7 +212,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for file, part in batch.groupby("file", sort=False)["value"]:
                 if file != name:
                     name, reader = file, _Reader()
-                rows.extend(reader.pieces(part))
+                for piece in part:
+                    rows.extend(reader.rows(piece + END.encode()))
             # Declared as integers at once: a column with nulls would pass through doubles.
             columns = dict(zip(names, zip(*rows))) if rows else {c: () for c in names}
             long = ("page_id", "refers_to", "chunk_bytes", "payload_bytes")
