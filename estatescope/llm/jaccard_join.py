@@ -228,8 +228,7 @@ def jaccard_components(
     points = classes.select("node", "n", "point")
     firsts = members.groupBy("key").agg(F.min("node").alias("a"))
     stars = members.join(firsts, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    whole = whole_sets(members, rows, sets, words)
-    links = verified(_not_ruled_out(stars, points, percent, groups), whole, percent)
+    links = verified(_not_ruled_out(stars, points, percent, groups), rows, sets, words, percent)
     roots = connected_components(links)
     # Groups with members of different components are looked at as a whole.
     known = members.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn(
@@ -238,7 +237,7 @@ def jaccard_components(
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = written(known.join(mixed, "key").select("key", "node", "root"), "mixed-groups")
     more = _tree_pairs(mixed, points, percent, groups)
-    roots = connected_components(links.unionByName(verified(more, whole, percent)))
+    roots = connected_components(links.unionByName(verified(more, rows, sets, words, percent)))
     rooted = classes.select("node", "least").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "least", F.coalesce("component_id", "node").alias("root")
     )
@@ -287,10 +286,9 @@ def _not_ruled_out(pairs: DataFrame, points: DataFrame, percent: int, groups: in
     return sized.mapInPandas(allowed, "a long, b long")
 
 
-def whole_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of all classes in ``members``, as a written table: their texts are
-    moved once."""
-    wanted = members.select("node").distinct()
+def whole_sets(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of all classes in ``pairs``, as a written table."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # One document of each class gives its set.
     chosen = sets.join(wanted, "node", "left_semi").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("m")
@@ -311,8 +309,12 @@ def whole_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
     return written(found.dropDuplicates(["node"]), "whole-sets")
 
 
-def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that are linked, by their whole sets; a written table."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    whole = whole_sets(pairs, docs, sets, words)
     of = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
