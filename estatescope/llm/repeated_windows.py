@@ -9,21 +9,23 @@ split alike and one record stands for many windows:
 1. The first digit is the window's seed: of its substrings of ``SEED`` bytes the one
    with the smallest hash (the first of these). Neighbouring windows share it, so there
    is one record per some 35 windows: the seed, and the run of starts that it serves.
-   Records whose seed no other record has are done; most are.
+   Records whose seed no other record has are done.
 2. The second digit is the whole stretch that the record's windows cover. Of records
    that are equal in it, all but the first hold only windows that start earlier too.
 3. Firsts that share their seed with another stretch are taken apart into windows, and
    the last digit is the window. All but the first of each group start earlier too.
 
-Records are packed in blocks with the text they come from, in a table bucketed by
-block, so the passes that need text read it in place. A seed, stretch or window that is
-very frequent is combined before each shuffle. Windows never cross documents. First is
-by id, then by the order in which rows with equal or null ids were read; null ids come
-last. Digits are compared by 64-bit hashes, a window by two.
-
-Null and empty texts, and texts shorter than a window, lose nothing. Very long texts
-are worked on in bounded pieces. Other columns are kept if named. An empty table gives
-no rows.
+Records are packed in blocks with the text they come from, in a table bucketed by block
+that every pass reads in place. In a pass a block sends one packed message to each
+range of digits and gets a small number back per entry. A block sends a seed or a
+window once, with its first place, so one that is very frequent has one entry per block.
+
+Windows never cross documents. First is by id, then by the order in which rows with
+equal or null ids were read; null ids come last. Digits are compared by 64-bit hashes:
+of n windows that reach the last pass, n / 2**65 is the chance that one is wrongly
+taken for a repeat. Null and empty texts, and texts shorter than a window, lose nothing.
+Very long texts are hashed in bounded pieces. Other columns are kept if named. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatescope.llm.common import read_table, shared_folder, written
-from estatescope.llm.repeats import block_row, packed, repeated_entries, unpacked
+from estatescope.llm.repeats import QUESTIONS, REPLIES, heard, packed, questions, replies, unpacked
 
 DEPTH = 100
 SEED = 32
@@ -49,8 +52,13 @@ BLOCK_BYTES = 8 << 20
 NO_ID = 2**63 - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-BLOCKS = "block string, n_keys long, keys binary, payload binary, texts binary, sizes binary, doc_ids binary, extras binary"
-ENTRY = ["stretch", "doc_id", "uid", "first", "last"]
+RANGE_KEYS = 2_000_000  # entries that the messages to one task hold, about
+LATER, SHARED = 1, 2  # bits of the answers: an equal entry comes earlier; the seed has several stretches
+
+BLOCKS = (
+    "block string, n_records long, seeds binary, stretches binary, runs binary, pieces binary, "
+    "texts binary, sizes binary, doc_ids binary, extras binary"
+)
 
 
 class Rolling:
@@ -151,20 +159,21 @@ def text_blocks(docs: DataFrame, extras: list[str], depth: int, block_bytes: int
         def flushed() -> pa.RecordBatch:
             nonlocal texts, ids, more, size, made
             block = (task << 16) + made
-            keys, columns = [], []
-            order = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            found = []
             for data, ends, number, start in _pieces(texts, depth):
                 seeds, stretch, first, last = seed_records(data, ends, rolling, depth)
                 part = np.searchsorted(ends, first, side="right")
                 shift = start[part] - np.append(0, ends)[part]
-                keys.append(seeds)
-                columns.append(
-                    np.stack([stretch.view(np.int64), order[number[part]], (block << 20) + number[part], first + shift, last + shift])
-                )
-            keys, columns = np.concatenate(keys), np.concatenate(columns, axis=1)
+                found.append((seeds, stretch, np.stack([number[part], first + shift, last + shift])))
+            runs = np.concatenate([f[2] for f in found], axis=1)
             known = np.array([[i or 0 for i in ids], [i is not None for i in ids]], np.int64)
             row = (
-                *block_row(str(block), keys, columns),
+                str(block),
+                runs.shape[1],
+                np.concatenate([f[0] for f in found]).tobytes(),
+                np.concatenate([f[1] for f in found]).tobytes(),
+                packed(np.diff(runs, axis=1, prepend=0)),
+                packed(np.array([len(f[0]) for f in found], np.int64)),
                 packed(np.frombuffer(b"".join(texts), np.uint8)),
                 packed(np.array([len(t) for t in texts], np.int64)),
                 packed(known),
@@ -186,7 +195,7 @@ def text_blocks(docs: DataFrame, extras: list[str], depth: int, block_bytes: int
             yield flushed()
 
     names = [f.split(" ")[0] for f in BLOCKS.split(", ")]
-    kinds = [pa.string(), pa.int64()] + [pa.binary()] * 6
+    kinds = [pa.string(), pa.int64()] + [pa.binary()] * 8
     rest = F.to_json(F.struct(*extras)) if extras else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long"), "text", rest.alias("extra")).mapInArrow(blocks, BLOCKS)
 
@@ -199,51 +208,155 @@ def _bucketed(df: DataFrame, purpose: str, column: str, buckets: int) -> DataFra
     return spark.table(name)
 
 
-def repeated_spans(blocks: DataFrame, depth: int) -> DataFrame:
-    """(block, uid, start, end) of what is covered by windows that start earlier too."""
-    entries = repeated_entries(blocks.select("block", "n_keys", "keys", "payload"), ENTRY)
-    place = F.struct("doc_id", "uid", "first", "last")
-    firsts = written(
-        entries.groupBy("key", "stretch").agg(F.min(place).alias("at"), F.count("*").alias("times")), "firsts"
-    )
-    block_of = F.shiftright("uid", 20).cast("string").alias("block")
-    twice = firsts.where("times > 1").select(F.col("key").alias("k"), F.col("stretch").alias("s"), "at")
-    whole = (
-        entries.join(twice, (F.col("key") == F.col("k")) & (F.col("stretch") == F.col("s")))
-        .where(place > F.col("at"))
-        .select(block_of, "uid", F.col("first").alias("start"), (F.col("last") + depth).alias("end"))
-    )
-    several = firsts.groupBy("key").agg(F.count("*").alias("stretches")).where("stretches > 1")
-    apart = firsts.join(several.select("key"), "key").select("at.*").select(block_of, "doc_id", "uid", "first", "last")
-
-    def windows(block: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        names = ["k1", "k2", "doc_id", "uid", "start"]
-        if not len(runs) or not len(block):
-            return pd.DataFrame(columns=names, dtype=np.int64)
-        rollings = [_rolling(base, depth) for base in BASES]
-        texts = _texts(block.iloc[0])
-        out = []
-        for uid, mine in runs.groupby("uid"):
-            text = texts[uid & ((1 << 20) - 1)]
-            for first, last, doc_id in zip(mine["first"], mine["last"], mine["doc_id"]):
-                data = np.frombuffer(text[first : last + depth], np.uint8)
-                at = np.arange(last - first + 1)
-                keys = [r.of(r.sums(data), at, at + depth).view(np.int64) for r in rollings]
-                out.append(np.stack([*keys, np.full(len(at), doc_id), np.full(len(at), uid), at + first]))
-        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=names)
-
-    schema = "k1 long, k2 long, doc_id long, uid long, start long"
-    text = blocks.select("block", "texts", "sizes")
-    split = written(text.groupBy("block").cogroup(apart.groupBy("block")).applyInPandas(windows, schema), "windows")
-    at = F.struct("doc_id", "uid", "start")
-    earliest = split.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("times")).where("times > 1")
-    earliest = earliest.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "at")
-    single = (
-        split.join(earliest, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
-        .where(at > F.col("at"))
-        .select(block_of, "uid", "start", (F.col("start") + depth).alias("end"))
+class _Block:
+    """What a block knows after the passes so far, worked out again from its row and answers."""
+
+    def __init__(self, row: pd.Series, answers: pd.DataFrame, depth: int, parts: tuple[int, int]) -> None:
+        self.row, self.answers, self.depth, self.parts = row, answers, depth, parts
+        self.seeds = np.frombuffer(row["seeds"], np.uint64)
+        self.stretches = np.frombuffer(row["stretches"], np.uint64)
+        runs = unpacked(row["runs"], np.int64).reshape(3, -1)
+        self.number, self.first, self.last = np.cumsum(runs, axis=1)
+        ids = unpacked(row["doc_ids"], np.int64).reshape(2, -1)
+        self.doc_id = np.where(ids[1] == 1, ids[0], NO_ID)
+        self.rank = np.empty(len(self.doc_id), np.int64)
+        self.rank[np.lexsort((np.arange(len(self.doc_id)), self.doc_id))] = np.arange(len(self.doc_id))
+
+    def _place(self, number: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """Columns whose order, over all blocks, says what comes first."""
+        return [self.doc_id[number], (int(self.row["block"]) << 20) + number, start]
+
+    def ask_seeds(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        seeds, counts = np.unique(self.seeds, return_counts=True)
+        return seeds, [counts > 1]
+
+    def ask_stretches(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """One entry for each repeated seed: its first stretch here, and whether it has others."""
+        seeds, _ = self.ask_seeds()
+        repeated = heard(self.answers, 1, seeds, self.parts[0]) > 0
+        mine = np.flatnonzero(repeated[np.searchsorted(seeds, self.seeds)]) if len(seeds) else np.empty(0, np.int64)
+        place = self.first[mine], self.rank[self.number[mine]]
+        mine = mine[np.lexsort((*place, self.stretches[mine], self.seeds[mine]))]
+        seed, stretch = self.seeds[mine], self.stretches[mine]
+        new_seed = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
+        new = new_seed | np.append(True, stretch[1:] != stretch[:-1])[: len(seed)]
+        self.later, self.firsts = mine[~new], mine[new]
+        self.seed_of = np.cumsum(new_seed[new]) - 1
+        self.chosen = np.flatnonzero(new_seed[new])
+        several = np.bincount(self.seed_of, minlength=len(self.chosen)) > 1
+        entry = self.firsts[self.chosen]
+        order = np.argsort(entry)  # in the order of places, which packs
+        self.asked, self.several = order, several
+        entry = entry[order]
+        columns = [self.stretches[entry].view(np.int64), *self._place(self.number[entry], self.first[entry]), several[order]]
+        return self.seeds[entry], columns
+
+    def ask_windows(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The first of each window of the records that are taken apart."""
+        seeds, _ = self.ask_stretches()
+        said = np.zeros(len(seeds), np.uint8)
+        said[self.asked] = heard(self.answers, 2, seeds, self.parts[0])
+        apart = ((said & SHARED > 0) | self.several)[self.seed_of]
+        gone = np.zeros(len(self.firsts), bool)
+        gone[self.chosen] = said & LATER > 0
+        self.later = np.concatenate([self.later, self.firsts[gone]])
+        keys, number, start = self._windows(np.sort(self.firsts[apart & ~gone]))
+        order = np.lexsort((start, self.rank[number], keys))
+        new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
+        self.later_windows = number[order[~new]], start[order[~new]]
+        once = np.sort(order[new])
+        self.windows = number[once], start[once]
+        return keys[once], self._place(*self.windows)
+
+    def _windows(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text number, start) of every window of ``records``."""
+        bounds = np.append(0, np.cumsum(unpacked(self.row["pieces"], np.int64)))
+        rolling, keys, numbers, starts = None, [], [], []
+        for k, (data, ends, number, start) in enumerate(_pieces(_texts(self.row), self.depth)):
+            mine = records[np.searchsorted(records, bounds[k]) : np.searchsorted(records, bounds[k + 1])]
+            if not len(mine):
+                continue
+            rolling = rolling or _rolling(BASES[1], self.depth)
+            count = self.last[mine] - self.first[mine] + 1
+            which = np.repeat(np.arange(len(mine)), count)
+            begin = self.first[mine][which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            # Texts of a piece have rising numbers; a long text is alone in its pieces but the last.
+            part = np.searchsorted(number, self.number[mine])[which]
+            at = begin - start[part] + np.append(0, ends)[part]
+            keys.append(rolling.of(rolling.sums(data), at, at + self.depth))
+            numbers.append(self.number[mine][which])
+            starts.append(begin)
+        none = np.empty(0, np.int64)
+        return np.concatenate([none.view(np.uint64), *keys]), np.concatenate([none, *numbers]), np.concatenate([none, *starts])
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, start, end) of what is covered by windows that start earlier too."""
+        keys, _ = self.ask_windows()
+        later = heard(self.answers, 3, keys, self.parts[1]) & LATER > 0
+        number = [self.number[self.later], self.later_windows[0], self.windows[0][later]]
+        start = [self.first[self.later], self.later_windows[1], self.windows[1][later]]
+        end = [self.last[self.later] + self.depth, *(s + self.depth for s in start[1:])]
+        return tuple(map(np.concatenate, (number, start, end)))
+
+
+def _is_repeated(seeds: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    _, place = np.unique(seeds, return_inverse=True)
+    return (np.bincount(place, 1 + columns[0]) > 1)[place]
+
+
+def _compared(seeds: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    stretch, doc_id, uid, first, several = columns
+    order = np.lexsort((first, uid, doc_id, stretch, seeds))
+    seed, stretch = seeds[order], stretch[order]
+    new_seed = np.append(True, seed[1:] != seed[:-1])
+    new = new_seed | np.append(True, stretch[1:] != stretch[:-1])
+    which = np.cumsum(new_seed) - 1
+    shared = np.bincount(which, new.astype(np.int64) + several[order]) > 1
+    out = np.empty(len(seeds), np.uint8)
+    out[order] = LATER * ~new + SHARED * shared[which]
+    return out
+
+
+def _is_later(keys: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    doc_id, uid, start = columns
+    order = np.lexsort((start, uid, doc_id, keys))
+    out = np.empty(len(keys), np.uint8)
+    out[order] = LATER * np.append(False, keys[order][1:] == keys[order][:-1])
+    return out
+
+
+def _passes(blocks: DataFrame, depth: int) -> tuple[DataFrame, tuple[int, int]]:
+    """The answers of all passes, and the numbers of ranges that they were asked in."""
+    records = blocks.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    parts = (max(1, ceil(records / RANGE_KEYS)), max(1, ceil(2 * records / RANGE_KEYS)))
+    small = blocks.drop("extras", "texts")
+    answers = None
+    steps = (
+        ("ask_seeds", _is_repeated, 1, small),
+        ("ask_stretches", _compared, 5, small),
+        ("ask_windows", _is_later, 3, blocks.drop("extras")),
     )
-    return whole.unionByName(single)
+
+    def asking(ask: str, phase: int):
+        def of_block(block: pd.DataFrame, so_far: pd.DataFrame | None) -> pd.DataFrame:
+            known = _Block(block.iloc[0], so_far, depth, parts)
+            return questions(block["block"].iloc[0], *getattr(known, ask)(), parts[phase == 3])
+
+        return of_block
+
+    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield asking("ask_seeds", 1)(batch.iloc[i : i + 1], None)
+
+    for phase, (ask, decide, columns, table) in enumerate(steps, 1):
+        if answers is None:
+            asked = table.mapInPandas(of_batches, QUESTIONS)
+        else:
+            asked = table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(asking(ask, phase), QUESTIONS)
+        said = written(asked.groupBy("part").applyInPandas(replies(phase, decide, columns), REPLIES), "replies")
+        answers = said if answers is None else answers.unionByName(said)
+    return answers, parts
 
 
 def _texts(block: pd.Series) -> list[bytes]:
@@ -273,23 +386,21 @@ def remove_repeats(
     ``extra``, JSON, and if asked for the text that is left. Characters that are cut go whole."""
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _bucketed(text_blocks(docs, list(extras), depth, block_bytes), "texts", "block", buckets)
-    spans = repeated_spans(blocks, depth)
+    answers, parts = _passes(blocks, depth)
     schema = (
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<long>, extra string, text string"
     )
 
-    def cut(block: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    def cut(block: pd.DataFrame, heard_so_far: pd.DataFrame) -> pd.DataFrame:
         names = [f.split(" ")[0] for f in schema.split(", ")]
-        if not len(block):
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
         row = block.iloc[0]
         texts, ids = _texts(row), unpacked(row["doc_ids"], np.int64).reshape(2, -1)
         more = json.loads(unpacked(row["extras"], np.uint8).tobytes())
-        number = (spans["uid"].to_numpy(np.int64) & ((1 << 20) - 1)) if len(spans) else np.empty(0, np.int64)
+        number, starts, ends = _Block(row, heard_so_far, depth, parts).spans()
         order = np.argsort(number, kind="stable")
         bounds = np.searchsorted(number[order], np.arange(len(texts) + 1))
-        starts, ends = (spans[c].to_numpy(np.int64)[order] if len(spans) else number for c in ("start", "end"))
+        starts, ends = starts[order], ends[order]
         out = []
         for i, text in enumerate(texts):
             mine = slice(bounds[i], bounds[i + 1])
@@ -302,8 +413,7 @@ def remove_repeats(
         frame.insert(0, "doc_id", pd.arrays.IntegerArray(ids[0].copy(), ids[1] == 0))
         return frame
 
-    held = blocks.select("block", "texts", "sizes", "doc_ids", "extras")
-    return held.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(cut, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, schema)
 
 
 def unrepeated_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:

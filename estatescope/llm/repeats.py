@@ -43,6 +43,57 @@ def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges of 64-bit keys each of ``keys`` is in."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    return np.searchsorted(bounds, keys, side="right")
+
+
+QUESTIONS = "part long, block string, keys binary, columns binary"
+REPLIES = "phase int, block string, part long, bits binary"
+
+
+def questions(block: str, keys: np.ndarray, columns: list[np.ndarray], parts: int) -> pd.DataFrame:
+    """A block's messages: keys, and columns (int64) that go with them, in the block's order."""
+    where = part_of(keys, parts)
+    order = np.argsort(where, kind="stable")
+    at = np.searchsorted(where[order], np.arange(parts + 1))
+    rows = []
+    for p in range(parts):
+        some = order[at[p] : at[p + 1]]
+        if len(some):
+            # Neighbours are alike, so steps pack well.
+            steps = np.diff(np.stack([c[some].astype(np.int64) for c in columns]), axis=1, prepend=0)
+            rows.append((p, block, keys[some].tobytes(), packed(steps)))
+    return pd.DataFrame(rows, columns=["part", "block", "keys", "columns"])
+
+
+def replies(phase: int, decide, n_columns: int):
+    """For ``applyInPandas`` by part: ``decide(keys, columns)`` gives a small number per key."""
+
+    def answer(asked: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
+        columns = [np.cumsum(unpacked(x, np.int64).reshape(n_columns, -1), axis=1) for x in asked["columns"]]
+        bits = decide(np.concatenate(keys), np.concatenate(columns, axis=1)).astype(np.uint8)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        frame = pd.DataFrame({"block": asked["block"], "part": asked["part"], "bits": [packed(x) for x in np.split(bits, ends)]})
+        frame.insert(0, "phase", phase)
+        return frame
+
+    return answer
+
+
+def heard(answers: pd.DataFrame, phase: int, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The answers to ``questions``, in the order of ``keys``."""
+    where = part_of(keys, parts)
+    order = np.argsort(where, kind="stable")
+    mine = answers[answers["phase"] == phase].sort_values("part")
+    out = np.zeros(len(keys), np.uint8)
+    if len(mine):
+        out[order] = np.concatenate([unpacked(x, np.uint8) for x in mine["bits"]])
+    return out
+
+
 def block_row(block: str, keys: np.ndarray, payload: np.ndarray) -> tuple:
     """A row of ``BLOCKS``: unsigned 64-bit ``keys`` and, per key, a column of ``payload`` (int64)."""
     steps = np.diff(payload, axis=1, prepend=0)  # near entries are alike, so steps pack well
