@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from estatescope.llm.common import written
 
-RANGE_KEYS = 2_000_000  # keys that the messages to one task hold, about
-BLOCK_KEYS = 500_000
+RANGE_KEYS = 1_000_000  # keys that the messages to one task hold, about
+BLOCK_KEYS = 250_000
 BLOCKS = "block string, n_keys long, keys binary, payload binary"
 ASKED = "part long, block string, keys binary, twice binary"
 ANSWERS = "block string, part long, repeated binary"
