@@ -47,12 +47,12 @@ from estatescope.llm.repeats import QUESTIONS, REPLIES, heard, packed, questions
 
 DEPTH = 100
 SEED = 32
-PIECE = 1 << 20  # bytes that are hashed at a time
-BLOCK_BYTES = 8 << 20
+PIECE = 1 << 19  # bytes that are hashed at a time
+BLOCK_BYTES = 4 << 20
 NO_ID = 2**63 - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-RANGE_KEYS = 2_000_000  # entries that the messages to one task hold, about
+RANGE_KEYS = 500_000  # entries that the messages to one task hold, about
 LATER, SHARED = 1, 2  # bits of the answers: an equal entry comes earlier; the seed has several stretches
 
 BLOCKS = (
