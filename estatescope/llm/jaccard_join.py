@@ -42,8 +42,9 @@ WORDS = 5
 PERCENT = 75
 GROUPS = 512  # coordinates of a point
 FOLD = 8  # that the R-tree adds up; pairs that it finds are bounded by all coordinates
-SAMPLE = 5_000  # documents that the order of shingles is fitted on
-FREQUENT = 15  # documents of the sample
+SAMPLE = 20_000  # documents that the order of shingles is fitted on
+FREQUENT = 6  # documents of the sample
+BANDED = 10_000  # members from which a group is cut by set size
 LEAF = 32  # points of a leaf, and nodes of a node
 
 SETS = "doc_id long, body long, node long, n long, point binary"
@@ -334,10 +335,12 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
     # Sizes of linked sets differ by a ratio at most, so each is put into its band and the next.
     step = -np.log(percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / step - 1e-9)
+    large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BANDED).select("key", F.lit(True).alias("cut"))
     placed = (
-        members.join(points, "node")
-        .withColumn("own", band)
-        .withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+        members.join(large, "key", "left")
+        .join(points, "node")
+        .withColumn("own", F.when(F.col("cut"), band).otherwise(0))
+        .withColumn("band", F.explode(F.when(F.col("cut"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
     )
 
     def searched(frame: pd.DataFrame) -> pd.DataFrame:
@@ -376,7 +379,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
         return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
     # A task takes several groups, each whole.
-    parts = max(1, 2 * members.count() // 20_000)
+    parts = max(1, members.count() // 20_000)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.lit(parts)))
     found = placed.groupBy("part").applyInPandas(searched, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
