@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/llm/{purpose}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Python workers get at most so much text at a time, in this session.
+
+    Texts can be very long; the default is eight times as much for each of a worker's copies.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends here."""
     spark = df.sparkSession

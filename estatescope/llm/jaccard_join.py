@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import WORD, read_table, written
+from estatescope.llm.common import WORD, read_table, small_batches, written
 from estatescope.llm.components import connected_components
 from estatescope.llm.repeats import BLOCK_KEYS, BLOCKS, block_row, repeated_entries
 
@@ -172,6 +172,7 @@ def jaccard_components(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and names of its text (body)
     and of its component (root, null for an empty set)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     late = frequent_shingles(rows, words, sample, frequent)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import read_table, written
+from estatescope.llm.common import read_table, small_batches, written
 
 BLOCK_TOKENS = 1_000_000
 RANGE_KEYS = 1_000_000  # keys that the messages to one task hold, about
@@ -266,6 +266,7 @@ def score_documents(
     range_keys: int = RANGE_KEYS,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(encoded_blocks(rows, block_tokens), "blocks")
     size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()

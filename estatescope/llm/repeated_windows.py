@@ -42,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import read_table, shared_folder, written
+from estatescope.llm.common import read_table, shared_folder, small_batches, written
 from estatescope.llm.repeats import QUESTIONS, REPLIES, heard, packed, questions, replies, unpacked
 
 DEPTH = 100
 SEED = 32
-PIECE = 1 << 19  # bytes that are hashed at a time
+PIECE = 1 << 18  # bytes that are hashed at a time
 BLOCK_BYTES = 4 << 20
 NO_ID = 2**63 - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -384,6 +384,7 @@ def remove_repeats(
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left),
     spans (removed [start, end) one after the other), ``extras``, columns of the input, as
     ``extra``, JSON, and if asked for the text that is left. Characters that are cut go whole."""
+    small_batches(docs.sparkSession)
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _bucketed(text_blocks(docs, list(extras), depth, block_bytes), "texts", "block", buckets)
     answers, parts = _passes(blocks, depth)
