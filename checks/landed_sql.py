@@ -11,8 +11,6 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatescope.sources import at_least
-
 CLUSTERS = """
 SELECT '{"cluster_id":"c-' || CAST(s_suppkey AS STRING) || '"'
   || CASE s_suppkey % 8
@@ -31,7 +29,7 @@ SELECT '{"cluster_id":"c-' || CAST(s_suppkey AS STRING) || '"'
        WHEN 3 THEN ',"data_security_mode":"SINGLE_USER"'
        ELSE '' END
   || CASE WHEN s_suppkey % 3 = 0 THEN ',"policy_id":"p-' || CAST(s_nationkey AS STRING) || '"' ELSE '' END
-  || '}' AS payload
+  || CASE WHEN s_suppkey % 17 = 5 THEN ',"cut' ELSE '}' END AS payload
 FROM $supplier
 """
 
@@ -51,13 +49,15 @@ SELECT '{"job_id":' || CAST(o_orderkey AS STRING)
         || '"},{"task_key":"t2","existing_cluster_id":"c-' || CAST(o_orderkey % 7 AS STRING)
         || '"},{"task_key":"t3","job_cluster_key":"a"}]' END
      || '}' END
-  || '}' AS payload
+  || CASE WHEN o_orderkey % 43 = 7 THEN '' ELSE '}' END AS payload
 FROM $orders
 """
 
 POLICIES = """
 SELECT 'p-' || CAST(c_custkey AS STRING) AS policy_id, c_name AS name,
-  CASE c_custkey % 8
+  CASE c_custkey % 10
+    WHEN 8 THEN '{"spark_version":{"value":"10.1.x"}} trailing'
+    WHEN 9 THEN '{"spark_version":{"value":"10.2.x"}'
     WHEN 0 THEN '{"spark_version":{"type":"fixed","value":"11.3.x-scala2.12"}}'
     WHEN 1 THEN '{"spark_version":{"type":"unlimited"}}'
     WHEN 2 THEN '{"node_type_id":{"value":"n1"}}'
@@ -92,7 +92,7 @@ SELECT '{"run_id":' || CAST(event_id AS STRING)
        WHEN 1 THEN ',"state":{"life_cycle_state":"RUNNING"}'
        WHEN 2 THEN ',"state":{"life_cycle_state":"TERMINATED","result_state":"SUCCESS"}'
        ELSE ',"state":{"life_cycle_state":"INTERNAL_ERROR","result_state":"FAILED"}' END
-  || '}' AS payload
+  || CASE WHEN event_id % 47 = 3 THEN ',"state' ELSE '}' END AS payload
 FROM $events
 """
 
@@ -139,14 +139,27 @@ SELECT CASE WHEN o_orderkey % 37 = 0 THEN 'system' ELSE 'main' END || '.brand_'
 FROM $orders
 """
 
+UDF_LIST = """
+SELECT CASE WHEN o_orderkey % 31 = 0 THEN 'system' ELSE 'main' END || '.brand_' || CAST(o_orderkey % 40 AS STRING) AS schema_name,
+  'f_' || CAST(o_orderkey AS STRING) AS function_name
+FROM $orders
+"""
+
 UDF_INFO = """
 SELECT CASE WHEN l_orderkey % 31 = 0 THEN 'system' ELSE 'main' END || '.brand_' || CAST(l_orderkey % 40 AS STRING) AS schema_name,
   'f_' || CAST(l_orderkey AS STRING) AS function_name,
   l_linenumber AS ordinal,
   CASE l_linenumber WHEN 1 THEN ' Signature ' WHEN 2 THEN 'Return Type' WHEN 3 THEN 'Deterministic'
     WHEN 4 THEN 'Body' WHEN 5 THEN 'Expression' WHEN 6 THEN 'Owner' ELSE 'deterministic body' END AS info_name,
-  ' v' || CAST(l_orderkey * 10 + l_linenumber AS STRING) || ' ' AS info_value
-FROM $lineitem
+  ' v' || CAST(l_orderkey * 10 + l_linenumber AS STRING) || ' ' AS info_value,
+  CASE WHEN l_orderkey % 23 = 0 AND l_linenumber = 1 THEN 'permission denied' ELSE NULL END AS error
+FROM $lineitem WHERE l_orderkey % 9 <> 0
+"""
+
+SCHEMAS = """
+SELECT CASE p_partkey % 19 WHEN 0 THEN 'system' WHEN 1 THEN NULL ELSE 'main' END AS table_catalog,
+  CASE WHEN p_partkey % 13 = 0 THEN '' ELSE lower(replace(p_brand, '#', '_')) || CAST(p_partkey % 7 AS STRING) END AS table_schema
+FROM $part
 """
 
 MOUNTS = """
@@ -177,12 +190,16 @@ LANDED = {
     "table_types": TABLE_TYPES,
     "table_details": TABLE_DETAILS,
     "grants": GRANTS,
+    "udf_list": UDF_LIST,
     "udf_info": UDF_INFO,
     "mounts": MOUNTS,
     "external_locations": EXTERNAL_LOCATIONS,
     "global_init_scripts": INIT_SCRIPTS,
 }
 
+# Inputs of single operators, not of the assessment.
+OTHERS = {"schemas": SCHEMAS}
+
 # The columns the landed inputs use, declared so that no file is opened to infer them.
 TABLES = {
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
@@ -193,9 +210,6 @@ TABLES = {
     "lineitem": "l_orderkey bigint, l_linenumber int",
 }
 
-# Tables whose rows are spread over all cores if their file comes in fewer partitions.
-LARGE = ("orders", "events", "lineitem")
-
 # Submitted runs are taken as of this time; 30 days before it lies between the first
 # and the last run at every scale factor, so the window always cuts.
 AS_OF_MS = 1704067200000 + 60000 * 43700
@@ -203,11 +217,9 @@ AS_OF_MS = 1704067200000 + 60000 * 43700
 
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One landed input, read from the Parquet files under ``sf_dir``."""
-    text = Template(LANDED[name])
+    text = Template({**LANDED, **OTHERS}[name])
     for table in text.get_identifiers():
         df = spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
-        if table in LARGE:
-            df = at_least(df, spark.sparkContext.defaultParallelism)
         df.createOrReplaceTempView(f"landed_{table}")
     return spark.sql(text.substitute({t: f"landed_{t}" for t in TABLES}))
 
@@ -215,4 +227,4 @@ def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def landed_cte(*names: str) -> str:
     """``WITH`` list of landed inputs, each named ``fx_<name>``."""
     views = {t: t for t in TABLES}
-    return ",\n".join(f"fx_{n} AS ({Template(LANDED[n]).substitute(views).strip()})" for n in names)
+    return ",\n".join(f"fx_{n} AS ({Template({**LANDED, **OTHERS}[n]).substitute(views).strip()})" for n in names)

@@ -14,7 +14,7 @@ clusters AS (
     payload->>'$.spark_version' AS spark_version,
     nullif(payload->>'$.data_security_mode', '') AS access_mode,
     payload->>'$.policy_id' AS policy_id
-  FROM fx_clusters)"""
+  FROM fx_clusters WHERE json_valid(payload))"""
 
 POLICIES = """
 cluster_policies AS (
@@ -32,7 +32,7 @@ job_records AS (
       lambda v: v IS NOT NULL AND v <> ''), []) AS versions,
     from_json(payload->'$.settings.tasks',
       '[{"task_key":"VARCHAR","existing_cluster_id":"VARCHAR","job_cluster_key":"VARCHAR"}]') AS tasks
-  FROM fx_jobs),
+  FROM fx_jobs WHERE json_valid(payload)),
 jobs AS (
   SELECT job_id, job_name, creator,
     list_filter(versions, lambda v, i: list_position(versions, v) = i) AS dbr_versions,
@@ -59,7 +59,7 @@ submit_runs AS (
     CAST(payload->>'$.start_time' AS BIGINT) AS start_time,
     payload->>'$.state.life_cycle_state' AS state_life_cycle_state,
     payload->>'$.state.result_state' AS state_result_state
-  FROM fx_submit_runs
+  FROM (SELECT * FROM fx_submit_runs WHERE json_valid(payload))
   WHERE payload->>'$.run_type' = 'SUBMIT_RUN'
     AND CAST(payload->>'$.start_time' AS BIGINT) >= {AS_OF_MS} - 30 * 24 * 3600 * 1000::BIGINT)"""
 
@@ -103,14 +103,24 @@ udf_rows AS (
 udf_last AS (
   SELECT schema, function_name, field, max_by(value, ordinal) AS value
   FROM udf_rows GROUP BY ALL),
-udfs AS (
+udf_said AS (
   SELECT schema, function_name,
     max(CASE WHEN field = 'input_types' THEN value END) AS input_types,
     max(CASE WHEN field = 'return_type' THEN value END) AS return_type,
     max(CASE WHEN field = 'deterministic' THEN value END) AS deterministic,
-    max(CASE WHEN field = 'body' THEN value END) AS body,
-    CAST(NULL AS VARCHAR) AS error
-  FROM udf_last GROUP BY schema, function_name)"""
+    max(CASE WHEN field = 'body' THEN value END) AS body
+  FROM udf_last GROUP BY schema, function_name),
+udf_denied AS (SELECT schema_name, function_name, max(error) AS error FROM fx_udf_info
+  WHERE error IS NOT NULL GROUP BY schema_name, function_name),
+udfs AS (
+  SELECT l.schema_name AS schema, l.function_name,
+    CASE WHEN e.error IS NULL THEN input_types END AS input_types,
+    CASE WHEN e.error IS NULL THEN return_type END AS return_type,
+    CASE WHEN e.error IS NULL THEN deterministic END AS deterministic,
+    CASE WHEN e.error IS NULL THEN body END AS body, e.error
+  FROM (SELECT DISTINCT * FROM fx_udf_list WHERE schema_name NOT LIKE 'system.%') l
+  LEFT JOIN udf_said s ON s.schema = l.schema_name AND s.function_name = l.function_name
+  LEFT JOIN udf_denied e ON e.schema_name = l.schema_name AND e.function_name = l.function_name)"""
 
 TABLES = """
 tables AS (
@@ -277,16 +287,17 @@ REPORT = (
 
 
 def _report() -> str:
-    """Rows of each report table, and their total length as JSON text."""
+    """Rows of each report table, and the sum of a number taken from the hash of each row."""
+    digest = "('0x' || substr(md5(CAST(to_json(t) AS VARCHAR)), 1, 8))::BIGINT"
     return "\nUNION ALL ".join(
         f"SELECT {place} AS place, '{title}' AS title, count(*) AS row_count,"
-        f" CAST(coalesce(sum(len(CAST(to_json(t) AS VARCHAR))), 0) AS BIGINT) AS text_length"
+        f" CAST(coalesce(sum({digest}), 0) AS BIGINT) AS row_hash_sum"
         f" FROM ({select}) t"
         for place, (title, select) in enumerate(REPORT, start=1)
     )
 
 
-_UDFS = _sql(("udf_info",), (UDFS,), "SELECT * FROM udfs")
+_UDFS = _sql(("udf_list", "udf_info"), (UDFS,), "SELECT * FROM udfs")
 _CLUSTERS = _sql(("clusters",), (CLUSTERS,), "SELECT * FROM clusters")
 _TABLES = _sql(TABLE_INPUTS, (TABLES,), "SELECT * FROM tables")
 
@@ -313,6 +324,21 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "pipelines_inventory": _sql(("pipelines",), (PIPELINES,), "SELECT * FROM pipelines"),
     "submit_runs_inventory": _sql(("submit_runs",), (RUNS,), "SELECT * FROM submit_runs"),
+    "unreadable_records": _sql(
+        ("clusters", "jobs", "submit_runs"),
+        ("one AS (SELECT 1)",),
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS kind, payload AS text FROM fx_{n} WHERE NOT json_valid(payload)"
+            for n in ("clusters", "jobs", "submit_runs")
+        ),
+    ),
+    "landed_files": _sql(
+        ("clusters", "mounts", "jobs"),
+        (CLUSTERS, MOUNTS, JOBS),
+        """SELECT 'clusters' AS kind, cluster_id AS name, spark_version AS detail FROM clusters
+        UNION ALL SELECT 'mounts', "mountPoint", source FROM mounts
+        UNION ALL SELECT 'jobs', CAST(job_id AS VARCHAR), job_name FROM jobs""",
+    ),
     "external_locations_inventory": _sql(
         ("external_locations",), (EXTERNAL_LOCATIONS,), "SELECT * FROM external_locations"
     ),
@@ -324,9 +350,9 @@ ORACLE_SQL: dict[str, str] = {
     "udfs_inventory": _UDFS,
     "tables_inventory": _TABLES,
     "accessible_schemas": _sql(
-        ("table_types",),
+        ("schemas",),
         ("one AS (SELECT 1)",),
-        "SELECT DISTINCT table_catalog || '.' || table_schema AS catalog_schema FROM fx_table_types"
+        "SELECT DISTINCT table_catalog || '.' || table_schema AS catalog_schema FROM fx_schemas"
         " WHERE table_catalog NOT IN ('system') AND len(table_schema) > 0",
     ),
     "unsupported_versions": _sql(

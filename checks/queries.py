@@ -5,7 +5,6 @@ Lists leave as text joined with ``; ``, because array values are compared as tex
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +16,7 @@ from estatescope.operators import inventory, metadata, rollups, rules, storage
 from estatescope.plans import build_inventories, run_assessment
 from estatescope.sinks import REPORT_TABLES, SnapshotStore
 from estatescope.sinks.snapshots import STAMP
+from estatescope.sources import read_metadata, read_payloads, read_records, unreadable_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,15 +26,9 @@ def _list_text(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A folder for written tables, under the one the cluster shares for checkpoints.
-
-    Only a local session, where all tasks see the same disk, may do without that setting.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="estatescope-")
+    """A folder for written tables that all executors share: under the one the cluster names
+    for checkpoints, else under the warehouse. One root per session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared}/estatescope/{spark.conf.get('spark.app.id')}/{purpose}"
 
 
@@ -78,7 +72,9 @@ def mounts_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udfs_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.udfs_inventory(landed(spark, sf_dir, "udf_info"))
+    return metadata.udfs_inventory(
+        landed(spark, sf_dir, "udf_list"), landed(spark, sf_dir, "udf_info")
+    )
 
 
 def tables_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +86,36 @@ def tables_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accessible_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.accessible_schemas(landed(spark, sf_dir, "table_types"))
+    return metadata.accessible_schemas(landed(spark, sf_dir, "schemas"))
+
+
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncated records, which no inventory lists."""
+    kinds = ("clusters", "jobs", "submit_runs")
+    return reduce(
+        DataFrame.unionByName, [unreadable_records(landed(spark, sf_dir, k), k) for k in kinds]
+    )
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs written as files, with blank lines, and read back by each reader."""
+    root = _shared_folder(spark, "landed_files")
+    for kind in ("clusters", "jobs"):
+        # Each record is followed by a blank line and a null.
+        lines = landed(spark, sf_dir, kind).select(F.concat("payload", F.lit("\n\nnull")))
+        lines.write.mode("overwrite").text(f"{root}/{kind}")
+    landed(spark, sf_dir, "mounts").write.mode("overwrite").parquet(f"{root}/mounts")
+    clusters = inventory.clusters_inventory(read_records(spark, "clusters", f"{root}/clusters"))
+    jobs = inventory.jobs_inventory(read_payloads(spark, f"{root}/jobs"))
+    mounts = metadata.mounts_inventory(read_metadata(spark, "mounts", f"{root}/mounts"))
+    parts = (("clusters", clusters, "cluster_id", "spark_version"), ("mounts", mounts, "mountPoint", "source"), ("jobs", jobs, "job_id", "job_name"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.select(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.col(detail).alias("detail"))
+            for kind, df, name, detail in parts
+        ],
+    )
 
 
 # Rules
@@ -211,8 +236,8 @@ def materialize_or_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole assessment, stored and written, then read back.
 
-    Rows of each report table, and the total length of its rows as JSON text, which
-    covers every cell.
+    Rows of each report table, and the sum of 32 bits of each row's hash as JSON text:
+    it does not depend on the order of rows, and a changed or swapped cell changes it.
     """
     folders = run_assessment(
         spark,
@@ -226,10 +251,11 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     def summed(place: int, title: str, name: str) -> DataFrame:
         rows = spark.read.parquet(folders[name]).drop(STAMP)
         text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
         return rows.agg(
             F.count("*").alias("row_count"),
-            F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("text_length"),
-        ).select(F.lit(place).alias("place"), F.lit(title).alias("title"), "row_count", "text_length")
+            F.coalesce(F.sum(digest), F.lit(0)).cast("long").alias("row_hash_sum"),
+        ).select(F.lit(place).alias("place"), F.lit(title).alias("title"), "row_count", "row_hash_sum")
 
     parts = [summed(i, title, name) for i, (title, name) in enumerate(REPORT_TABLES, start=1)]
     return reduce(DataFrame.unionByName, parts)
@@ -252,6 +278,8 @@ QUERIES: dict[str, Query] = {
     "udfs_inventory": udfs_inventory,
     "tables_inventory": tables_inventory,
     "accessible_schemas": accessible_schemas,
+    "unreadable_records": unreadable,
+    "landed_files": landed_files,
     "unsupported_versions": unsupported_versions,
     "disallowed_access_modes": disallowed_access_modes,
     "clusters_assessed": clusters_assessed,

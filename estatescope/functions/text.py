@@ -22,3 +22,15 @@ def non_empty_or(text: Column, other: Column) -> Column:
 def as_json(value: Column) -> Column:
     """JSON text that keeps null fields."""
     return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def is_json(text: Column) -> Column:
+    """True if the whole text is one JSON value; text after it, or a missing end, is not.
+
+    The parser stops after a first value. Put inside an object and inside a list, the
+    text must leave both well closed, with one entry.
+    """
+    kept = {"columnNameOfCorruptRecord": "bad"}
+    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, bad string", kept)
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    return F.coalesce(inside.isNotNull() & inside["bad"].isNull() & (F.size(listed) == 1), F.lit(False))

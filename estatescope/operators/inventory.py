@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatescope.functions.text import as_json
+from estatescope.functions.text import as_json, is_json
 from estatescope.settings import SUBMIT_RUN_LOOKBACK_DAYS
-from estatescope.sources.schemas import RECORDS
+from estatescope.sources.landed import parsed
 
 # The kind of run that is inventoried; milliseconds of a day.
 SUBMIT_RUN = "SUBMIT_RUN"
@@ -18,10 +18,12 @@ DAY_MS = 86_400_000
 
 
 def _records(raw: DataFrame, kind: str) -> DataFrame:
-    """Landed records as one struct column ``r``: typed columns, or a JSON ``payload``."""
-    if "payload" in raw.columns:
-        return raw.select(F.from_json("payload", RECORDS[kind]).alias("r"))
-    return raw.select(F.struct("*").alias("r"))
+    """Landed records as one struct column ``r``: typed columns, or a JSON ``payload``.
+
+    A payload that cannot be read is no object and gives no row.
+    """
+    typed = parsed(raw, kind) if "payload" in raw.columns else raw
+    return typed.select(F.struct("*").alias("r"))
 
 
 def _distinct_texts(values: Column) -> Column:
@@ -41,7 +43,8 @@ def clusters_inventory(raw: DataFrame) -> DataFrame:
 
 def cluster_policies_inventory(raw: DataFrame) -> DataFrame:
     """The pinned version is null for a bad definition or one without that key."""
-    pinned = F.get_json_object("r.definition", "$.spark_version.value")
+    definition = F.col("r.definition")
+    pinned = F.when(is_json(definition), F.get_json_object(definition, "$.spark_version.value"))
     return _records(raw, "cluster_policies").select(
         "r.policy_id",
         F.col("r.name").alias("policy_name"),
@@ -85,12 +88,7 @@ def submit_runs_inventory(
 ) -> DataFrame:
     """Submitted runs that started in the ``lookback_days`` before ``as_of_ms``."""
     earliest = as_of_ms - lookback_days * DAY_MS
-    runs = _records(raw, "submit_runs")
-    if "payload" in raw.columns:
-        # As generated columns, the filter runs on what was parsed, not on a second parse.
-        runs = runs.select(F.inline(F.array("r")))
-    else:
-        runs = runs.select("r.*")
+    runs = _records(raw, "submit_runs").select("r.*")
     return runs.where((F.col("run_type") == SUBMIT_RUN) & (F.col("start_time") >= earliest)).select(
         "run_id",
         "run_name",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from estatescope.functions.names import is_accessible_name, is_accessible_schema, qualified
 from estatescope.functions.text import as_json, non_empty_or, stripped
+from estatescope.sources.schemas import METADATA
 
 # What is recorded where the export says nothing.
 UNKNOWN_TYPE = "UNKNOWN"
@@ -72,14 +73,30 @@ def _udf_field(info_name: Column) -> Column:
     return field
 
 
-def udfs_inventory(info: DataFrame) -> DataFrame:
-    """One row per described function; the last row that sets a field wins.
+def udfs_inventory(listed: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """One row per listed function, with what its description says; nulls where it says nothing.
 
     ``info`` has one key/value row per (schema_name, function_name, ordinal), and
-    optionally the text of a failed description in ``error``. The maximum of
-    (ordinal, value) is combined before the shuffle, so a function with very many
-    rows costs no more there than any other.
+    optionally the text of a failed description in ``error``, which then is all there
+    is. The last row that sets a field wins. The maximum of (ordinal, value) is combined
+    before the shuffle, so a function with very many rows costs no more there than any
+    other, and both sides are one row per function on the key of the join.
     """
+    key = ["schema", "function_name"]
+    functions = (
+        listed.where(is_accessible_name(F.col("schema_name")))
+        .select(F.col("schema_name").alias("schema"), "function_name")
+        .distinct()
+    )
+    fields = ["input_types", "return_type", "deterministic", "body", "error"]
+    if info is None:
+        return functions.select(*key, *(F.lit(None).cast("string").alias(f) for f in fields))
+    described = _described(info)
+    said = [F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields[:-1]]
+    return functions.join(described, key, "left").select(*key, *said, "error")
+
+
+def _described(info: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in info.columns else F.lit(None).cast("string")
     rows = info.where(is_accessible_name(F.col("schema_name"))).select(
         F.col("schema_name").alias("schema"),
@@ -109,14 +126,20 @@ def _partitions_json(details: DataFrame) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(NO_PARTITIONS))
 
 
-def tables_inventory(listed: DataFrame, types: DataFrame, details: DataFrame) -> DataFrame:
+def tables_inventory(
+    listed: DataFrame, types: DataFrame | None = None, details: DataFrame | None = None
+) -> DataFrame:
     """One row per listed table, with its type and storage details.
 
+    Without ``types`` all types are unknown; without ``details`` nothing is described.
     A schema lists a name once, so rows that landed twice are one table. All three
     inputs are reduced to one row per table on the key of the joins: copies are
     combined before the shuffle, and each input is shuffled once. The table name is
     part of the key, which spreads a schema that holds a large share of the tables.
     """
+    spark = listed.sparkSession
+    types = spark.createDataFrame([], METADATA["table_types"]) if types is None else types
+    details = spark.createDataFrame([], METADATA["table_details"]) if details is None else details
     key = ["catalog_schema", "table"]
     tables = (
         listed.where(is_accessible_name(F.col("catalog_schema")))

@@ -20,7 +20,7 @@ from estatescope.functions.findings import (
     location_finding,
     version_finding,
 )
-from estatescope.operators.skew import left_join_hot_apart, salted_inner_join
+from estatescope.operators.skew import inner_join_hot_apart, left_join_hot_apart
 from estatescope.settings import DISALLOWED_ACCESS_MODES, MIN_RUNTIME_VERSION
 
 
@@ -121,14 +121,16 @@ def assess_jobs(
     )
     in_task_order = F.sort_array(F.collect_list(F.struct("_task", "found")))
     inherited = (
-        salted_inner_join(tasks, _findings_by_cluster(clusters_assessed), "cluster_id")
+        inner_join_hot_apart(tasks, _findings_by_cluster(clusters_assessed), "cluster_id")
         .groupBy("_clusters", "_jobs")
         .agg(F.flatten(in_task_order["found"])["finding"].alias("_inherited"))
     )
+    # Every list, also one that inherits nothing: a healthy list can be the most frequent.
+    known = lists.join(inherited.drop("_jobs"), "_clusters", "left")
     return (
         left_join_hot_apart(
             listed,
-            inherited,
+            known,
             key="_clusters",
             value="_inherited",
             weight="_jobs",

@@ -1,8 +1,10 @@
-"""Left joins that stay even when one key holds a large share of the rows.
+"""Joins that stay even when one key holds a large share of the rows, matched or not.
 
-Salts come from the number of the input partition, not from a random number or
-from the row: it is the same when a lost task is run again, and it also spreads
-copies that are equal in every column.
+A key is heavy if it has more rows than an even share of a shuffle partition. There
+are fewer such keys than partitions, so what the lookup says of them, also that it
+says nothing, is small enough to broadcast; nothing else is capped, copied or salted.
+Rows that need no match are spread by the number of the input partition: it is the
+same when a lost task is run again, and also spreads rows that are equal throughout.
 """
 
 from __future__ import annotations
@@ -10,61 +12,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-HOT_KEYS = 1000
-HOT_ROWS = 10_000
 
-
-def salted_semi_join(facts: DataFrame, lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Rows of ``facts`` whose key is in ``lookup`` (far smaller, one row per key)."""
-    return _salted(facts, lookup, key, salts, "left_semi")
-
-
-def salted_inner_join(
-    facts: DataFrame, lookup: DataFrame, key: str, salts: int = SALTS
-) -> DataFrame:
-    """Inner join of ``facts`` with a far smaller ``lookup`` of one row per key."""
-    return _salted(facts, lookup, key, salts, "inner")
-
-
-def _salted(facts: DataFrame, lookup: DataFrame, key: str, salts: int, how: str) -> DataFrame:
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        facts.where(F.col(key).isNotNull())
-        .withColumn("_salt", F.spark_partition_id() % salts)
-        .join(lookup.withColumn("_salt", every_salt), [key, "_salt"], how)
-        .drop("_salt")
-    )
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def left_join_hot_apart(
     facts: DataFrame,
-    lookup: DataFrame,
+    known: DataFrame,
     key: str,
     value: str,
     weight: str,
     unkeyed: Column | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``facts`` with column ``value`` of ``lookup``, which has one row per key.
+    """``facts`` with column ``value`` of ``known``.
 
-    ``weight`` is how many facts have the key. Of the keys with at least ``HOT_ROWS``
-    facts the ``HOT_KEYS`` heaviest are broadcast: at most so many rows, however
-    large the lookup. Any other key has under ``HOT_ROWS`` facts or under 1/HOT_KEYS
-    of them, and goes through a normal join, so no key is left out.
-    Facts that are ``unkeyed``, or settled by the broadcast, are spread by partition.
+    ``known`` has one row for each key that the facts have: its ``weight``, the number
+    of facts, and its ``value``, null where there is no match. Facts that are
+    ``unkeyed``, or settled by a heavy key, are spread; the others go through a normal
+    join with the values that there are.
     """
-    hot = (
-        lookup.where(F.col(weight) >= HOT_ROWS)
-        .orderBy(F.desc(weight))
-        .limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"))
+    partitions = partitions or _partitions(facts)
+    total = known.agg(F.sum(weight)).scalar()
+    hot = known.where(F.col(weight) * partitions > total).select(
+        F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value")
     )
-    rest = lookup.select(
+    rest = known.where(F.col(value).isNotNull()).select(
         F.col(key).alias("_cold_key"),
         F.xxhash64(key).alias("_slot"),
         F.col(value).alias("_cold_value"),
     )
-    settled = F.col("_hot_key").isNotNull()
+    settled = F.col("_hot_key").isNotNull() | F.col(key).isNull()
     if unkeyed is not None:
         settled = settled | unkeyed
     return (
@@ -75,3 +54,19 @@ def left_join_hot_apart(
         .withColumn(value, F.coalesce("_hot_value", "_cold_value"))
         .drop("_hot_key", "_hot_value", "_cold_key", "_cold_value", "_slot")
     )
+
+
+def inner_join_hot_apart(
+    facts: DataFrame, lookup: DataFrame, key: str, partitions: int | None = None
+) -> DataFrame:
+    """Inner join of ``facts`` with a ``lookup`` of one row per key."""
+    others = [c for c in lookup.columns if c != key]
+    found = lookup.select(F.col(key), F.struct(F.lit(True).alias("_met"), *others).alias("_found"))
+    counted = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    known = counted.join(found, key, "left")
+    joined = left_join_hot_apart(facts, known, key, "_found", "_n", partitions=partitions)
+    return (
+        joined.where(F.col("_found").isNotNull())
+        .withColumns({c: F.col("_found")[c] for c in others})
+        .drop("_found")
+    )

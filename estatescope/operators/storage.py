@@ -17,24 +17,27 @@ from estatescope.functions.paths import (
     class_by_prefix,
     needs_mount_list,
 )
-from estatescope.operators.skew import left_join_hot_apart, salted_semi_join
+from estatescope.operators.skew import inner_join_hot_apart, left_join_hot_apart
 
 
-def _pieces(text: Column, shapes: Column) -> Column:
-    """Parts of a text that have one of the (head, size) shapes, each once."""
+def _pieces(text: Column, sizes_by_head: Column) -> Column:
+    """Parts of a text that begin with a head and have one of its sizes, each once.
 
-    def of_shape(shape: Column) -> Column:
-        last = F.length(text) - shape["size"] + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>")
-        )
-        fitting = F.filter(
-            starts,
-            lambda at: (shape["size"] == 0) | (F.substring(text, at, F.lit(1)) == shape["head"]),
-        )
-        return F.transform(fitting, lambda at: F.substring(text, at, shape["size"]))
+    The text is gone through once; sizes are cut only where a head stands.
+    """
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))
+    none = F.array().cast("array<int>")
+
+    def at(start: Column) -> Column:
+        sizes = F.coalesce(F.try_element_at(sizes_by_head, F.substring(text, start, F.lit(1))), none)
+        fitting = F.filter(sizes, lambda n: start + n - 1 <= F.length(text))
+        return F.transform(fitting, lambda n: F.substring(text, start, n))
 
-    return F.array_distinct(F.flatten(F.transform(shapes, of_shape)))
+    # An empty mount point occurs in every text, but not in a null.
+    empty = F.when(text.isNotNull() & F.map_contains_key(sizes_by_head, F.lit("")), F.array(F.lit("")))
+    empty = F.coalesce(empty, F.array().cast("array<string>"))
+    found = F.coalesce(F.flatten(F.transform(starts, at)), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(found, empty))
 
 
 def _mounted(locations: DataFrame, mounts: DataFrame | None) -> DataFrame:
@@ -44,41 +47,41 @@ def _mounted(locations: DataFrame, mounts: DataFrame | None) -> DataFrame:
     point = F.col("mountPoint")
     points = mounts.where(point.isNotNull()).select(point.alias("piece")).distinct()
     # One entry per length and first character: bounded by path length, not by rows.
-    shapes = (
+    sizes_by_head = (
         mounts.where(point.isNotNull())
-        .select(F.substring(point, 1, 1).alias("head"), F.length(point).alias("size"))
-        .agg(F.collect_set(F.struct("head", "size")))
+        .groupBy(F.substring(point, 1, 1).alias("head"))
+        .agg(F.collect_set(F.length(point)).alias("sizes"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("head", "sizes"))))
         .scalar()
     )
-    cut = locations.withColumn("shapes", shapes).select(
-        "location", "n", F.explode(_pieces(F.col("location"), F.col("shapes"))).alias("piece")
+    cut = locations.withColumn("sizes", sizes_by_head).select(
+        "location", "n", F.explode(_pieces(F.col("location"), F.col("sizes"))).alias("piece")
     )
-    return salted_semi_join(cut, points, "piece").select("location", "n").distinct()
+    return inner_join_hot_apart(cut, points, "piece").select("location", "n").distinct()
 
 
 def storage_classes(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
     """``tables`` with their ``storage_type``.
 
-    Only rows that depend on the mount points are joined. The others, mostly the
-    great majority, are classified where they are read.
+    Only locations that depend on the mount points are looked up, each once; the
+    tables are read for the count of those locations and for the join.
     """
     _require_location(tables)
     location = F.col("location")
-    undecided = needs_mount_list(location)
-    decided = tables.where(~undecided).withColumn("storage_type", class_by_prefix(location))
-    rest = tables.where(undecided)
-    locations = rest.groupBy("location").agg(F.count("*").alias("n"))
-    mounted = _mounted(locations, mounts).select(
-        F.col("location").alias("_lookup"), F.lit(DBFS_MOUNT).alias("_mounted"), "n"
-    )
+    undecided = F.coalesce(needs_mount_list(location), F.lit(False))
+    locations = tables.where(undecided).groupBy("location").agg(F.count("*").alias("n"))
+    mounted = _mounted(locations, mounts).select("location", F.lit(DBFS_MOUNT).alias("_mounted"))
+    known = locations.join(mounted, "location", "left").withColumnRenamed("location", "_lookup")
     joined = left_join_hot_apart(
-        rest.withColumn("_lookup", location), mounted, key="_lookup", value="_mounted", weight="n"
-    )
-    return decided.unionByName(
-        joined.withColumn("storage_type", F.coalesce("_mounted", F.lit(DBFS_ROOT))).drop(
-            "_lookup", "_mounted"
-        )
+        tables.withColumn("_lookup", F.when(undecided, location)),
+        known,
+        key="_lookup",
+        value="_mounted",
+        weight="n",
     )
+    by_mount = F.coalesce("_mounted", F.lit(DBFS_ROOT))
+    storage_type = F.when(undecided, by_mount).otherwise(class_by_prefix(location))
+    return joined.withColumn("storage_type", storage_type).drop("_lookup", "_mounted")
 
 
 def storage_summary(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:

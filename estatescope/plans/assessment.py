@@ -17,7 +17,8 @@ from estatescope.sinks import SnapshotStore, write_report
 from estatescope.sinks.together import run_together
 from estatescope.sources import empty_dataset
 
-# Inventory name -> landed inputs it needs.
+# Inventory name -> landed inputs it is made of. The first is what it lists and is
+# needed; without one of the others the inventory has less to say.
 INPUTS = {
     "clusters": ("clusters",),
     "cluster_policies": ("cluster_policies",),
@@ -25,7 +26,7 @@ INPUTS = {
     "pipelines": ("pipelines",),
     "submit_runs": ("submit_runs",),
     "tables": ("table_list", "table_types", "table_details"),
-    "udfs": ("udf_info",),
+    "udfs": ("udf_list", "udf_info"),
     "grants": ("grants",),
     "mounts": ("mounts",),
     "external_locations": ("external_locations",),
@@ -38,7 +39,7 @@ def build_inventories(
     as_of_ms: int,
     lookback_days: int = SUBMIT_RUN_LOOKBACK_DAYS,
 ) -> dict[str, DataFrame | None]:
-    """The eleven inventories; ``None`` where an input was not landed."""
+    """The eleven inventories; ``None`` where what they list was not landed."""
     build: dict[str, Callable[..., DataFrame]] = {
         "clusters": inventory.clusters_inventory,
         "cluster_policies": inventory.cluster_policies_inventory,
@@ -53,7 +54,7 @@ def build_inventories(
         "global_init_scripts": inventory.init_scripts_inventory,
     }
     return {
-        name: build[name](*[landed[i] for i in inputs]) if set(inputs) <= set(landed) else None
+        name: build[name](*[landed.get(i) for i in inputs]) if inputs[0] in landed else None
         for name, inputs in INPUTS.items()
     }
 

@@ -1,17 +1,19 @@
 from estatescope.sources.landed import (
-    at_least,
     combine_exports,
     empty_dataset,
+    parsed,
     read_metadata,
     read_payloads,
     read_records,
+    unreadable_records,
 )
 
 __all__ = [
-    "at_least",
     "combine_exports",
     "empty_dataset",
+    "parsed",
     "read_metadata",
     "read_payloads",
     "read_records",
+    "unreadable_records",
 ]

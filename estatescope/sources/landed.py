@@ -7,22 +7,59 @@ take either. Metadata row sets land as tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatescope.sources.schemas import INVENTORIES, METADATA, RECORDS
 
 
+CORRUPT = "_unreadable"
+
+
 def read_records(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
-    """Typed records of one object type; only the columns a plan uses are parsed."""
-    return spark.read.schema(RECORDS[kind]).json(list(paths))
+    """Typed records of one object type, without lines that cannot be read."""
+    return parsed(read_payloads(spark, *paths), kind)
 
 
 def read_payloads(spark: SparkSession, *paths: str) -> DataFrame:
-    """One raw JSON record per row, in a string column ``payload``."""
-    return spark.read.text(list(paths)).select(F.col("value").alias("payload"))
+    """One raw JSON record per row, in a string column ``payload``; blank lines are none."""
+    lines = spark.read.text(list(paths)).select(F.col("value").alias("payload"))
+    return lines.where(_is_record_text())
+
+
+def _is_record_text() -> Column:
+    return F.col("payload").rlike(r"\S") & ~F.col("payload").rlike(r"^\s*null\s*$")
+
+
+def _parsed(payloads: DataFrame, kind: str) -> tuple[DataFrame, Column]:
+    """Typed columns, the text where it was not read in full, and whether nothing was read.
+
+    The columns are generated, so filters on them run on what was parsed and do not
+    parse again.
+    """
+    r = F.from_json(
+        "payload", f"{RECORDS[kind]}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}
+    )
+    rows = payloads.where(_is_record_text()).select(F.inline(F.array(r)))
+    fields = [c for c in rows.columns if c != CORRUPT]
+    # A field of another type is null beside others; a broken text leaves nothing.
+    nothing = F.col(CORRUPT).isNotNull() & F.coalesce(*(F.col(c).cast("string") for c in fields)).isNull()
+    return rows, nothing
+
+
+def parsed(payloads: DataFrame, kind: str) -> DataFrame:
+    """Typed columns of the payloads that can be read."""
+    rows, nothing = _parsed(payloads, kind)
+    return rows.where(~nothing).drop(CORRUPT)
+
+
+def unreadable_records(payloads: DataFrame, kind: str) -> DataFrame:
+    """(kind, text) of the payloads that cannot be read."""
+    rows, nothing = _parsed(payloads, kind)
+    return rows.where(nothing).select(F.lit(kind).alias("kind"), F.col(CORRUPT).alias("text"))
 
 
 def read_metadata(spark: SparkSession, kind: str, *paths: str, fmt: str = "parquet") -> DataFrame:
@@ -30,8 +67,14 @@ def read_metadata(spark: SparkSession, kind: str, *paths: str, fmt: str = "parqu
     return spark.read.format(fmt).schema(METADATA[kind]).load(list(paths))
 
 
-def combine_exports(*exports: DataFrame) -> DataFrame:
-    """All rows of several exports of one kind; a column an export lacks is null."""
+def combine_exports(*exports: DataFrame, origins: Sequence[str] = ()) -> DataFrame:
+    """All rows of several exports of one kind; a column an export lacks is null.
+
+    The exports must be of one workspace: names and ids are only unique in theirs, so
+    an assessment is of one. ``origins``, if given, names where each comes from.
+    """
+    if len(set(origins)) > 1:
+        raise ValueError(f"exports of several workspaces are assessed one by one: {sorted(set(origins))}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), exports)
 
 
@@ -39,11 +82,3 @@ def empty_dataset(spark: SparkSession, kind: str) -> DataFrame:
     """An inventory with no rows and the declared columns."""
     return spark.createDataFrame([], INVENTORIES[kind])
 
-
-def at_least(df: DataFrame, partitions: int) -> DataFrame:
-    """A freshly read input, spread over tasks if it came in fewer partitions.
-
-    For exports that land as a few files that cannot be split, before the costly
-    parse. An input of many files is returned as it is, without a shuffle.
-    """
-    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df

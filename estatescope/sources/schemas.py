@@ -39,6 +39,7 @@ METADATA = {
         "catalog_schema string, table_name string, format string, location string, "
         "size_in_bytes bigint, partition_columns string, error string"
     ),
+    "udf_list": "schema_name string, function_name string",
     "udf_info": (
         "schema_name string, function_name string, ordinal int, "
         "info_name string, info_value string, error string"

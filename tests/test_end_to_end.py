@@ -78,9 +78,7 @@ def session(**conf):
 
 
 def test_written_tables_go_to_the_shared_folder():
-    on_cluster = session(spark_checkpoint_dir="hdfs:///c", spark_master="yarn", spark_app_id="a1")
+    on_cluster = session(spark_checkpoint_dir="hdfs:///c", spark_app_id="a1")
     assert queries._shared_folder(on_cluster, "x") == "hdfs:///c/estatescope/a1/x"
-    local = session(spark_master="local[4]", spark_app_id="a1")
-    assert queries._shared_folder(local, "x").endswith("/estatescope/a1/x")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        queries._shared_folder(session(spark_master="yarn", spark_app_id="a1"), "x")
+    without = session(spark_sql_warehouse_dir="file:/w", spark_app_id="a1")
+    assert queries._shared_folder(without, "x") == "file:/w/estatescope/a1/x"

@@ -3,17 +3,19 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from estatescope.functions.text import is_json
 from estatescope.operators import inventory, metadata
 from estatescope.plans import build_inventories
 from estatescope.sources import (
-    at_least,
     combine_exports,
     empty_dataset,
     read_metadata,
     read_payloads,
     read_records,
+    unreadable_records,
 )
 from estatescope.sources.schemas import INVENTORIES, METADATA, RECORDS
 
@@ -156,18 +158,28 @@ def test_udfs_first_rule_per_row_and_last_row_per_field(spark):
             row(7, "Owner", "me"),
             row(1, "Owner", "me", function="g"),
             row(1, None, None, function="h", error="denied"),
+            row(2, "Body", "kept back", function="h"),
             row(1, "Body", "x", schema="system.s"),
             row(10, "body", "late", function="i"),
             row(9, "body", "early", function="i"),
         ],
         METADATA["udf_info"],
     )
-    got = sorted(rows(metadata.udfs_inventory(raw)))
+    listed = raw.select("schema_name", "function_name").union(
+        spark.createDataFrame([("main.s", "j"), ("main.s", "j"), ("system.s", "k")], METADATA["udf_list"])
+    )
+    listed = listed.where("function_name <> 'i' OR schema_name = 'system.s'").union(
+        spark.createDataFrame([("main.s", "i")], METADATA["udf_list"])
+    )
+    nothing = [("main.s", n, None, None, None, None, None) for n in "fghij"]
+    assert sorted(rows(metadata.udfs_inventory(listed))) == nothing
+    got = sorted(rows(metadata.udfs_inventory(listed, raw)))
     assert got == [
         ("main.s", "f", "x int", "bigint", "yes", "second", None),
         ("main.s", "g", None, None, None, None, None),
         ("main.s", "h", None, None, None, None, "denied"),
         ("main.s", "i", None, None, None, "late", None),
+        ("main.s", "j", None, None, None, None, None),
     ]
 
 
@@ -276,8 +288,40 @@ def test_metadata_reader_and_combined_exports(spark, tmp_path):
     assert both.schema["source"].dataType == T.StringType()
 
 
-def test_at_least_only_spreads_inputs_of_few_partitions(spark):
-    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 6)
-    assert at_least(few, 4).rdd.getNumPartitions() == 4
-    assert at_least(many, 4) is many
-    assert at_least(few, 4).count() == 100
+def test_exports_of_two_workspaces_are_refused(spark):
+    one = spark.createDataFrame([("/mnt/a", "s")], METADATA["mounts"])
+    assert combine_exports(one, one, origins=["w1", "w1"]).count() == 2
+    with pytest.raises(ValueError, match="several workspaces"):
+        combine_exports(one, one, origins=["w1", "w2"])
+
+
+def test_broken_and_blank_lines_are_no_objects(spark, tmp_path):
+    path = str(tmp_path / "jobs.json")
+    good = '{"job_id": 1, "settings": {"name": "n"}}'
+    (tmp_path / "jobs.json").write_text("\n".join([good, "", "  ", '{"job_id": 2, "sett', "null", "[1]", "{}", '{"job_id": "x", "creator_user_name": "u"}']))
+    typed, raw = read_records(spark, "jobs", path), read_payloads(spark, path)
+    want = [(1, "n", None), (None, None, None), (None, None, "u")]
+    for source in (typed, raw):
+        got = inventory.jobs_inventory(source).select("job_id", "job_name", "creator").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r.text for r in unreadable_records(raw, "jobs").collect()} == {'{"job_id": 2, "sett', "[1]"}
+    assert {r.kind for r in unreadable_records(raw, "jobs").collect()} == {"jobs"}
+
+
+@pytest.mark.parametrize("have", [(), ("types",), ("details",)])
+def test_tables_are_listed_whatever_lookup_is_missing(spark, have):
+    listed = spark.createDataFrame([("main.a", "t"), ("main.a", "u")], METADATA["table_list"])
+    given = {
+        "types": spark.createDataFrame([("main", "a", "t", "EXTERNAL")], METADATA["table_types"]),
+        "details": details_frame(spark, [("main.a", "t", "delta", "s3://b", 7, "[]", None)]),
+    }
+    got = {r.table: (r.table_type, r.format, r.size) for r in metadata.tables_inventory(listed, **{k: given[k] for k in have}).collect()}
+    kind = "EXTERNAL" if "types" in have else "UNKNOWN"
+    assert got == {"t": (kind, "delta", 7) if "details" in have else (kind, None, 0), "u": ("UNKNOWN", None, 0)}
+
+
+def test_json_is_taken_whole(spark):
+    texts = {'{"a":1}': True, ' [1] ': True, '"x"': True, "null": True, "1": True, '{"a":1} x': False, '{"a":1': False,
+             "": False, " ": False, "1, 2": False, '{"a":1}],[{"b":2}': False, "1} x": False, "a": False, None: False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.ok for r in df.select("t", is_json(F.col("t")).alias("ok")).collect()} == texts

@@ -12,7 +12,7 @@ from estatescope.operators import metadata, rules, storage
 from estatescope.sources.schemas import INVENTORIES, METADATA
 
 SF_DIR = "/root/testdata/sf0.001"
-STORED = ("snapshot_write", "snapshot_read", "materialize_or_read", "report_tables")
+STORED = ("snapshot_write", "snapshot_read", "materialize_or_read", "report_tables", "landed_files")
 
 
 def plan(df, mode="formatted"):
@@ -31,10 +31,20 @@ def test_no_python_and_no_nested_loops(spark, shuffled, key):
 
 @pytest.mark.parametrize(
     "key",
-    ["clusters_inventory", "jobs_inventory", "pipelines_inventory", "clusters_assessed", "mounts_inventory"],
-)
+    [
+        "clusters_inventory", "cluster_policies_inventory", "jobs_inventory", "pipelines_inventory",
+        "submit_runs_inventory", "external_locations_inventory", "init_scripts_inventory",
+        "grants_inventory", "mounts_inventory", "clusters_assessed", "unsupported_versions",
+        "disallowed_access_modes", "unreadable_records",
+    ],
+)
 def test_projections_do_not_shuffle(spark, key):
-    assert "hashpartitioning" not in plan(QUERIES[key](spark, SF_DIR))
+    assert "Exchange" not in plan(QUERIES[key](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("key", [k for k in QUERIES if k not in STORED])
+def test_nothing_is_dealt_round_robin(spark, key):
+    assert "RoundRobinPartitioning" not in plan(QUERIES[key](spark, SF_DIR))
 
 
 def test_records_are_parsed_once(spark):
@@ -75,7 +85,9 @@ def test_unkeyed_and_hot_facts_are_spread(spark, shuffled, tmp_path):
     text = plan(rules.assess_jobs(jobs, rules.assess_clusters(clusters)), "simple")
     assert "hashpartitioning(_cold_key" in text
     assert all("_slot" in line for line in text.splitlines() if "hashpartitioning(_cold_key" in line)
-    assert text.count("BroadcastExchange") == 1 and "TakeOrderedAndProject(limit=1000" in text
+    # Only heavy keys are broadcast.
+    joins = [line for line in text.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("_hot_key" in line for line in joins)
 
 
 def test_counts_and_findings_are_worked_out_once(spark, shuffled):
@@ -86,10 +98,10 @@ def test_counts_and_findings_are_worked_out_once(spark, shuffled):
         assert "ReusedExchange" in plan(df, "simple"), key
 
 
-def test_decided_locations_are_not_shuffled(spark, shuffled, tmp_path):
+def test_storage_classes_read_their_input_for_the_count_and_the_join(spark, shuffled, tmp_path):
     tables = stored(spark, tmp_path, "tables", INVENTORIES)
     mounts = stored(spark, tmp_path, "mounts", INVENTORIES)
-    text = plan(storage.storage_classes(tables, mounts), "simple")
-    decided = text.split("Union")[1].splitlines()[1:4]
-    assert any("FileScan" in line for line in decided)
-    assert not any("Exchange" in line for line in decided)
+    df = storage.storage_classes(tables, mounts)
+    df.collect()
+    final = plan(df, "simple").split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet [location") <= 2

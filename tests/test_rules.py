@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from estatescope.functions.versions import version_pair
@@ -158,9 +159,7 @@ def brute_force(job_rows, cluster_rows):
     return result
 
 
-def test_one_cluster_and_one_list_hold_a_third_of_the_jobs(spark, shuffled, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+def test_one_cluster_and_one_list_hold_a_third_of_the_jobs(spark, shuffled):
     rng = random.Random(7)
     cluster_rows = [
         (f"c{i}", None, None, None, rng.sample(["p", "q", "r", "s"], rng.randint(0, 3)))
@@ -181,28 +180,48 @@ def test_one_cluster_and_one_list_hold_a_third_of_the_jobs(spark, shuffled, monk
     assert found(rules.assess_jobs(df, clusters(spark, *cluster_rows))) == brute_force(job_rows, cluster_rows)
 
 
-def test_hot_apart_join_equals_a_left_join(spark, shuffled, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    keys = ["hot"] * 400 + ["warm"] * 100 + [f"k{i}" for i in range(200)] + [None] * 400
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_hot_apart_join_equals_a_left_join(spark, shuffled, partitions):
+    keys = ["hot"] * 400 + ["healthy"] * 400 + ["warm"] * 100 + [f"k{i}" for i in range(200)] + [None] * 400
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").repartition(5)
     held = {"hot": "H", "warm": "W", **{f"k{i}": f"v{i}" for i in range(0, 200, 2)}}
-    weight = {k: keys.count(k) for k in held}
-    lookup = spark.createDataFrame([(k, v, weight[k]) for k, v in held.items()], "k string, v string, n int")
-    got = skew.left_join_hot_apart(facts, lookup, "k", "v", "n", unkeyed=F.col("k").isNull())
+    known = [(k, held.get(k), keys.count(k)) for k in set(keys) if k is not None]
+    lookup = spark.createDataFrame(known, "k string, v string, n int")
+    got = skew.left_join_hot_apart(facts, lookup, "k", "v", "n", partitions=partitions)
     assert {r.i: r.v for r in got.collect()} == {i: held.get(k) for i, k in enumerate(keys)}
     assert got.count() == len(keys)
 
 
-def test_salted_joins_equal_plain_joins(spark, shuffled):
+def test_inner_join_with_hot_keys_equals_a_plain_join(spark, shuffled):
     facts = spark.range(0, 1000, 1, 7).select(
         "id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     )
-    lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3), ("none", 4)], "k string, v int")
-    inner = skew.salted_inner_join(facts, lookup, "k").select("id", "k", "v")
-    assert sorted(inner.collect()) == sorted(facts.join(lookup, "k").select("id", "k", "v").collect())
-    semi = skew.salted_semi_join(facts, lookup.select("k"), "k")
-    assert sorted(semi.select("id").collect()) == sorted(facts.join(lookup, "k", "left_semi").select("id").collect())
+    lookup = spark.createDataFrame([("hot", 1), ("k3", None), ("k6", 3), ("none", 4)], "k string, v int")
+    inner = skew.inner_join_hot_apart(facts, lookup, "k").select("id", "k", "v")
+    assert sorted(map(str, inner.collect())) == sorted(map(str, facts.join(lookup, "k").select("id", "k", "v").collect()))
+    semi = skew.inner_join_hot_apart(facts, lookup.select("k"), "k")
+    assert semi.columns == ["id", "k"]
+    assert sorted(semi.collect()) == sorted(facts.join(lookup, "k", "left_semi").select("id", "k").collect())
+
+
+@pytest.mark.parametrize("inherits", [True, False])
+def test_a_list_with_most_jobs_does_not_fill_a_partition(spark, shuffled, inherits):
+    """Without help from adaptive execution, whether the list's clusters have findings or not."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        n = 8000
+        rows = spark.range(0, n, 1, 16).select(
+            F.when(F.col("id") % 5 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), "id")).alias("k")
+        )
+        known = rows.groupBy("k").agg(F.count("*").alias("n"))
+        value = F.when(F.lit(inherits) | (F.col("k") != "hot"), F.lit("x"))
+        got = skew.left_join_hot_apart(rows, known.withColumn("v", value), "k", "v", "n")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2.5 * n / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_findings_are_never_null_nor_repeated(spark):

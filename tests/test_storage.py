@@ -2,26 +2,16 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from estatescope.operators import skew, storage
+from estatescope.operators import storage
 
 EXTERNAL = ["s3://b", "s3a://b", "abfss://c@a/x", "wasbs://c@a", "gs://b", "adl://a"]
 
 
-def by_hand(location, points):
-    if not location:
-        return "UNSUPPORTED"
-    if any(location.startswith(p) for p in ("s3://", "s3a://", "abfss://", "wasbs://", "gs://", "adl://")):
-        return "EXTERNAL"
-    if location.startswith(("dbfs:/mnt/", "/mnt/")):
-        return "DBFS_MOUNT"
-    if location.startswith(("dbfs:/", "file:/dbfs/")):
-        return "DBFS_MOUNT" if any(p is not None and p in location for p in points) else "DBFS_ROOT"
-    return "UNSUPPORTED"
-
-
 def tables(spark, locations):
     return spark.createDataFrame([(i, x) for i, x in enumerate(locations)], "i int, location string")
 
@@ -30,43 +20,53 @@ def mounts(spark, points):
     return spark.createDataFrame([(p, "s") for p in points], "mountPoint string, source string")
 
 
-def check(spark, locations, points):
+def check(spark, locations, points, want):
+    """``want``: the class of each location, in order."""
     df, at = tables(spark, locations).repartition(4), mounts(spark, points)
-    want = {i: by_hand(x, points) for i, x in enumerate(locations)}
     classes = storage.storage_classes(df, at)
     assert classes.columns == ["i", "location", "storage_type"]
     got = [(r.i, r.storage_type) for r in classes.collect()]
-    assert len(got) == len(locations) and dict(got) == want
+    assert sorted(got) == list(enumerate(want))
     counts = {r.storage_type: r.table_count for r in storage.storage_summary(df, at).collect()}
-    assert counts == {c: list(want.values()).count(c) for c in set(want.values())}
-
-
-EDGES = [
-    *EXTERNAL, None, "", "S3://b", "s3n://b", "dbfs:/mnt", "dbfs:/mnt/x", "/mnt", "/mnt/x", "dbfs:/", "dbfs:",
-    "file:/dbfs/", "file:/dbfs/mnt/x", "file:/dbfs/vol/n3/t", "dbfs:/vol/n3", "dbfs:/vol/n", "dbfs:/VOL/n3",
-    "dbfs:/vol/n33/x", "dbfs:/a/é/b", "dbfs:/a/日本/b", "hdfs:/vol/n3",
-]
+    assert counts == {c: list(want).count(c) for c in set(want)}
+
+
+# Locations with their class where there are no mount points.
+EDGES = {
+    **dict.fromkeys(EXTERNAL, "EXTERNAL"),
+    **dict.fromkeys([None, "", "S3://b", "s3n://b", "/mnt", "dbfs:", "hdfs:/vol/n3"], "UNSUPPORTED"),
+    **dict.fromkeys(["dbfs:/mnt/x", "/mnt/x"], "DBFS_MOUNT"),
+    **dict.fromkeys(
+        [
+            "dbfs:/mnt", "dbfs:/", "file:/dbfs/", "file:/dbfs/mnt/x", "file:/dbfs/vol/n3/t", "dbfs:/vol/n3",
+            "dbfs:/vol/n", "dbfs:/VOL/n3", "dbfs:/vol/n33/x", "dbfs:/a/é/b", "dbfs:/a/日本/b",
+        ],
+        "DBFS_ROOT",
+    ),
+}
+ROOTS = {k for k, v in EDGES.items() if v == "DBFS_ROOT"}
+N3 = {"file:/dbfs/vol/n3/t", "dbfs:/vol/n3", "dbfs:/vol/n33/x"}
 
 
 @pytest.mark.parametrize(
-    "points",
+    "points, mounted",
     [
-        [],
-        ["/vol/n3"],
-        ["/vol/n3", "/vol/n3", "/vol", "/nothing"],
-        ["é/b", "本", None],
-        [""],
-        ["dbfs:/vol/n33/x/longer/than/any", ":/v"],
-        [None],
+        ([], set()),
+        (["/vol/n3"], N3),
+        (["/vol/n3", "/vol/n3", "/vol", "/nothing"], N3 | {"dbfs:/vol/n"}),
+        (["é/b", "本", None], {"dbfs:/a/é/b", "dbfs:/a/日本/b"}),
+        ([""], ROOTS),
+        (["dbfs:/vol/n33/x/longer/than/any", ":/v"], {"dbfs:/vol/n3", "dbfs:/vol/n", "dbfs:/vol/n33/x"}),
+        ([None], set()),
     ],
 )
-def test_edges(spark, points):
-    check(spark, EDGES, points)
+def test_edges(spark, points, mounted):
+    want = ["DBFS_MOUNT" if x in mounted else c for x, c in EDGES.items()]
+    check(spark, list(EDGES), points, want)
 
 
-def test_against_brute_force_with_a_hot_location(spark, shuffled, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+def test_against_sql_with_hot_locations(spark, shuffled):
+    """One location with a mount point and one without hold half of the tables."""
     rng = random.Random(3)
 
     def path(n):
@@ -75,7 +75,16 @@ def test_against_brute_force_with_a_hot_location(spark, shuffled, monkeypatch):
     points = ["/" + path(rng.randint(1, 2)) for _ in range(25)] + ["b/a", "ab/"]
     locations = ["dbfs:/hot/ab/a"] * 300 + ["dbfs:/cold"] * 200
     locations += [rng.choice(["dbfs:/", "file:/dbfs/", "s3://", ""]) + path(rng.randint(1, 4)) for _ in range(500)]
-    check(spark, locations, points)
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"i": range(len(locations)), "location": locations}))
+    con.register("p", pd.DataFrame({"point": points}))
+    want = con.execute(
+        """SELECT CASE regexp_extract(location, '^([a-z0-9]+:/)')
+             WHEN '' THEN 'UNSUPPORTED' WHEN 's3:/' THEN 'EXTERNAL'
+             ELSE coalesce((SELECT max('DBFS_MOUNT') FROM p WHERE contains(location, point)), 'DBFS_ROOT') END
+           FROM t ORDER BY i"""
+    ).fetchall()
+    check(spark, locations, points, [w for (w,) in want])
 
 
 def test_missing_mounts_are_no_mounts(spark):
