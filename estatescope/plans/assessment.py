@@ -145,16 +145,14 @@ def run_assessment(
 ) -> dict[str, str]:
     """Store the inventories, assess them as stored, and write the report.
 
-    The assessed datasets are stored as well: each feeds several rollups and a
-    report table. Returns the folder of each report table.
+    Findings of clusters and tables are projections of what is stored and are not stored
+    again. Those of jobs take a join and feed several rollups, so they are stored as well.
+    Returns the folder of each report table.
     """
     stored = store_inventories(
         store, build_inventories(landed, as_of_ms, lookback_days), force_refresh, stamped_at
     )
     found = assess(spark, stored, min_version, disallowed)
-    kept = run_together(
-        spark, [partial(store.keep, f"{name}_assessed", df) for name, df in found.items()]
-    )
-    assessed = dict(zip(found, kept))
+    assessed = {**found, "jobs": store.keep("jobs_assessed", found["jobs"])}
     results = {**stored, **assessed, **roll_up(spark, stored, assessed)}
     return write_report(spark, results, report_root, fmt)
