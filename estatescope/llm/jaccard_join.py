@@ -402,7 +402,7 @@ def distinct_documents(docs: DataFrame, **settings) -> DataFrame:
     kept = rows.where(F.col("text").rlike(WORD)).join(
         chosen, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body"))
     )
-    nth = F.row_number().over(Window.partitionBy("of_doc", "of_body").orderBy("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("of_doc", "of_body").orderBy(F.xxhash64("row")))
     kept = kept.withColumn("nth", nth).where("nth = 1").select("row.*")
     return kept.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)))
 

@@ -186,7 +186,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     joined = marked.join(shares.withColumnRenamed("draw", "of_draw"), F.col("draw") == F.col("of_draw"))
     twin = Window.partitionBy("of_draw")
     n = F.count("*").over(twin)
-    nth = F.row_number().over(twin.orderBy("of_draw"))
+    nth = F.row_number().over(twin.orderBy(F.xxhash64("row")))
     joined = joined.withColumn(
         "mine",
         F.floor(F.col("mix_copies") / n).cast("int") + F.when(nth <= F.col("mix_copies") % n, 1).otherwise(0),
