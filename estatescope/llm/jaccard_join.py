@@ -45,8 +45,10 @@ FOLD = 8  # that the R-tree adds up; pairs that it finds are bounded by all coor
 SAMPLE = 20_000  # documents that the order of shingles is fitted on
 FREQUENT = 6  # documents of the sample
 BANDED = 10_000  # members from which a group is cut by set size
+FIRST_KEYS = 8  # of a member's groups, that tell where a pair is reported
 LEAF = 32  # points of a leaf, and nodes of a node
 
+NO_KEY = np.iinfo(np.int64).max
 SETS = "doc_id long, body long, node long, n long, point binary"
 
 
@@ -337,9 +339,14 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
     step = -np.log(percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / step - 1e-9)
     large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BANDED).select("key", F.lit(True).alias("cut"))
+    # A pair meets in every group that it shares. It is reported in the one with the smallest
+    # key, as far as the first few of each member's keys tell; these hold the smallest
+    # shared key if they share any.
+    keys = F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS)
+    first_keys = members.groupBy("node").agg(keys.alias("keys"))
     placed = (
         members.join(large, "key", "left")
-        .join(points, "node")
+        .join(points.join(first_keys, "node"), "node")
         .withColumn("own", F.when(F.col("cut"), band).otherwise(0))
         .withColumn("band", F.explode(F.when(F.col("cut"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
     )
@@ -352,6 +359,10 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
         new = (frame[["key", "band"]].diff() != 0).any(axis=1).to_numpy()
         starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(frame)))
+        here = frame["key"].to_numpy(np.int64)
+        keys = np.full((len(frame), FIRST_KEYS), NO_KEY)
+        for i, mine in enumerate(frame["keys"]):
+            keys[i, : len(mine)] = mine
         a, b = [], []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -362,6 +373,10 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
                 p, q = i[at : at + 4096], j[at : at + 4096]
                 bound = np.minimum(points[p], points[q]).sum(axis=1)
                 fits = bound >= needed_overlap(sizes[p], sizes[q], percent)
+                p, q = p[fits], q[fits]
+                shared = (keys[p][:, :, None] == keys[q][:, None, :]).any(axis=2)
+                least = np.where(shared, keys[p], NO_KEY).min(axis=1)
+                fits = (least == here[p]) | (least == NO_KEY)
                 a.append(nodes[p[fits]])
                 b.append(nodes[q[fits]])
 
