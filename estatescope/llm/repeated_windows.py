@@ -47,8 +47,8 @@ from estatescope.llm.repeats import QUESTIONS, REPLIES, heard, packed, questions
 
 DEPTH = 100
 SEED = 32
-PIECE = 1 << 18  # bytes that are hashed at a time
-BLOCK_BYTES = 4 << 20
+PIECE = 1 << 17  # bytes that are hashed at a time
+BLOCK_BYTES = 2 << 20
 NO_ID = 2**63 - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
