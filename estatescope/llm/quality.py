@@ -6,10 +6,11 @@ Each line is normalised (A-Z lower-cased, digits made equal, white space joined)
 hashed; for each host the distinct texts that hold the line are counted, so exact
 copies of one text count once and do not condemn each other. A line that is in more
 than ``line_limit(host)`` texts of its host is taken away, and a document that loses
-more than ``depleted`` of its words that way is rejected.
+more than ``depleted`` of its words that way is rejected. The clean text of a document
+is its other lines in their order; the base rules look at the text as it came.
 
-Lines are reduced to one row per host, text and line before they are counted, and the
-count is joined back per text, so a line or a text that a third of all documents share
+Lines are reduced to one row per host, text and line before they are counted, and what
+is found is joined back per text, so a line or a text that a third of all documents share
 is combined before the shuffle. A null text has no words; a null host is a host of its
 own. Repeated rows and ids get a row each. An empty table gives no rows. Other columns
 are not looked at.
@@ -93,6 +94,30 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(lower_ascii(joined), "[0-9]", "0")
 
 
+def _among(value: Column, table: Column) -> Column:
+    """Whether ``value`` is in the sorted array ``table``, which is not empty; by halving."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(table).cast("double"))).cast("int"))
+
+    def halved(span: Column) -> Column:
+        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        up = F.get(table, mid) <= value
+        return F.struct(F.when(up, mid).otherwise(span["lo"]).alias("lo"), F.when(up, span["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi"))
+    return F.aggregate(halvings, start, lambda span, _: halved(span), lambda span: F.get(table, span["lo"]) == value)
+
+
+def clean_text(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose hashes are in the sorted array ``gone``; null: none is."""
+    frequent = lambda x: x.rlike(WORD) & _let(_line(x), lambda h: _among(h, gone))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~frequent(x))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(lines, "\n"))
+
+
+def _line(raw: Column) -> Column:
+    return F.xxhash64(normal_line(raw))
+
+
 def quality(
     docs: DataFrame,
     line_share: float = LINE_SHARE,
@@ -103,12 +128,12 @@ def quality(
     host_col: str = "source",
 ) -> DataFrame:
     """One row per document: doc_id, the metrics, line_words (words on lines above the
-    limit), base_failed, kept."""
+    limit), base_failed, kept, clean_text (the text without those lines)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.struct(F.col(host_col).alias("host"))
     measured = docs.select(
-        F.col(id_col).alias("doc_id"), host.alias("host"), _body(text).alias("body"), text.alias("t")
-    ).select("doc_id", "host", "body", *(c.alias(n) for n, c in text_metrics(F.col("t")).items()))
+        F.col(id_col).alias("doc_id"), host.alias("host"), _body(text).alias("body"), text.alias("t"), F.col(text_col).alias("raw")
+    ).select("doc_id", "host", "body", "raw", *(c.alias(n) for n, c in text_metrics(F.col("t")).items()))
     lost = lost_words(docs, line_share, line_floor, text_col, host_col)
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -126,6 +151,7 @@ def quality(
         "line_words",
         "base_failed",
         (~F.col("base_failed") & (F.col("line_words") <= depleted * F.col("n_words"))).alias("kept"),
+        clean_text(F.col("raw"), F.col("gone")).alias("clean_text"),
     )
 
 
@@ -137,14 +163,15 @@ def _body(text: Column) -> Column:
 def lost_words(
     docs: DataFrame, line_share: float, line_floor: int, text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """(of_host, of_body, line_words, all_words) of the texts with lines above their host's limit."""
+    """(of_host, of_body, line_words, all_words, gone) of the texts with lines above their host's
+    limit; ``gone`` has the hashes of those lines, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(F.col(host_col).alias("host")).alias("host"), _body(text).alias("body"), text.alias("t"))
     copies = rows.groupBy("host", "body").agg(F.count("*").alias("copies"))
     lines = (
         rows.select("host", "body", F.explode(F.split("t", "\n")).alias("raw"))
         .where(F.col("raw").rlike(WORD))
-        .select("host", "body", F.xxhash64(normal_line(F.col("raw"))).alias("line"), word_count(F.col("raw")).alias("words"))
+        .select("host", "body", _line(F.col("raw")).alias("line"), word_count(F.col("raw")).alias("words"))
     )
     # A copy of a text adds the same lines again; all of its rows stand for one text.
     held = written(lines.groupBy("host", "body", "line").agg(F.sum("words").alias("words")), "lines")
@@ -159,7 +186,9 @@ def lost_words(
         .where("texts > limit")
         .select("host", "line")
     )
-    hit = held.join(frequent, ["host", "line"]).groupBy("host", "body").agg(F.sum("words").alias("hit"))
+    hit = held.join(frequent, ["host", "line"]).groupBy("host", "body").agg(
+        F.sum("words").alias("hit"), F.array_sort(F.collect_list("line")).alias("gone")
+    )
     every = held.join(hit.select("host", "body"), ["host", "body"], "left_semi")
     every = every.groupBy("host", "body").agg(F.sum("words").alias("every"))
     return (
@@ -170,6 +199,7 @@ def lost_words(
             F.col("body").alias("of_body"),
             F.floor(F.col("hit") / F.col("copies")).cast("long").alias("line_words"),
             F.floor(F.col("every") / F.col("copies")).cast("long").alias("all_words"),
+            "gone",
         )
     )
 
@@ -177,20 +207,26 @@ def lost_words(
 def quality_documents(
     docs: DataFrame, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted: float = DEPLETED
 ) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, all columns as they were."""
+    """Rows of ``docs`` that the rules keep, without the lines above their host's limit.
+
+    Where lines went, text and n_chars are those of the clean text; all else is as it was.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    gone = lost_words(docs, line_share, line_floor).where(F.col("line_words") > depleted * F.col("all_words"))
+    lost = lost_words(docs, line_share, line_floor)
     host = F.struct(F.col("source").alias("host"))
     words = words_of(text)
     good = (F.size(words) >= MIN_WORDS) & (100 * repeated_words(words) <= MAX_REPEAT_PERCENT * F.size(words))
-    return docs.where(good).join(
-        gone, (host == F.col("of_host")) & (_body(text) == F.col("of_body")), "left_anti"
-    )
+    found = docs.where(good).select(F.struct(*docs.columns).alias("row"), host.alias("host"), _body(text).alias("body"))
+    found = found.join(lost, (F.col("host") == F.col("of_host")) & (F.col("body") == F.col("of_body")), "left")
+    kept = found.where(F.col("gone").isNull() | (F.col("line_words") <= depleted * F.col("all_words")))
+    kept = kept.select("row", "gone", clean_text(F.col("row.text"), F.col("gone")).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return kept.select(*(F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(new.get(c, F.col("row")[c])).alias(c) for c in docs.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdict of every document."""
-    return quality(read_table(spark, sf_dir, "documents")).drop("line_words")
+    return quality(read_table(spark, sf_dir, "documents")).drop("line_words", "clean_text")
 
 
 OP7_SQL = r"""

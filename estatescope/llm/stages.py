@@ -13,7 +13,7 @@ from estatescope.llm.repeated_windows import unrepeated_documents
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their frequent lines."""
     return quality_documents(docs)
 
 

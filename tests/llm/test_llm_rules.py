@@ -95,6 +95,45 @@ def test_quality_stage_keeps_the_same_rows(spark):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
 
+def brute_clean(rows, limit):
+    """(id, text without the lines of more than ``limit`` texts of their host) of each row."""
+    import re
+
+    space = "[ \\t-\\r]+"
+    norm = lambda x: re.sub("[0-9]", "0", re.sub(space, " ", x).strip(" ").lower())
+    held = {}
+    for _, text, _, host in rows:
+        for x in (text or "").split("\n"):
+            held.setdefault((host, norm(x)), set()).add(text)
+    gone = lambda host, x: norm(x) and len(held[host, norm(x)]) > limit(host)
+    return [(i, t and "\n".join(x for x in t.split("\n") if not gone(h, x))) for i, t, _, h in rows]
+
+
+def boilerplate_rows():
+    """Clean texts with frequent lines at the top, within and at the end, some of them often;
+    one text is very long, a third of all rows is one text, hosts differ."""
+    prose = lambda i, m: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k // 26)}{chr(97 + k % 26)}{m}" for k in range(70))
+    rows = []
+    for i in range(90):
+        lines = [f"Share  {i} this", prose(i, "a"), "", " \t", "share 7 THIS ", prose(i, "b"), "Share 1 this" if i % 2 else "own", ""]
+        rows.append((i, "\n".join(lines), "en", "h" if i < 60 else "other" if i < 75 else None))
+    rows.append((1000, "\n".join(f"share {k} this\n{prose(k, 'q')}" for k in range(600)), "en", "h"))
+    return rows + [(2000 + i, f"{prose(7, 'z')}\nshare 5 this", "en", "h") for i in range(45)]
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    rows = boilerplate_rows()
+    want = dict(brute_clean(rows, lambda host: 20))
+    assert sum(want[r[0]] != r[1] for r in rows) == 106  # the 60, the long one and the copies
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in quality_documents(docs).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert {r["doc_id"]: r["clean_text"] for r in quality(docs).collect()} == want
+    awkward = sorted(map(repr, ((r["doc_id"], r["clean_text"]) for r in quality(documents(spark)).collect())))
+    assert awkward == sorted(repr((i, t)) for i, t, _, _ in DOCUMENTS)
+
+
 HTML = "<p>é\r\n\r\nWARC/1.1\r\n\r\n" * 20
 PAGES = [
     (2, "http://a/", HTML),
