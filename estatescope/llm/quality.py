@@ -5,7 +5,7 @@ three-word windows that the document repeats. The cross-document rule looks at l
 Each line is normalised (A-Z lower-cased, digits made equal, white space joined) and
 hashed; for each host the distinct texts that hold the line are counted, so exact
 copies of one text count once and do not condemn each other. A line that is in more
-than ``line_limit(host)`` texts of its host is taken away, and a document that loses
+than 20 texts of its host, however large the host is, is taken away, and a document that loses
 more than ``depleted`` of its words that way is rejected. The clean text of a document
 is its other lines in their order; the base rules look at the text as it came.
 
@@ -28,8 +28,9 @@ from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, word_co
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-LINE_SHARE = 0.1  # of the host's texts
+LINE_SHARE = 0.0  # of the host's texts; above 0 the limit rises with the host
 LINE_FLOOR = 20  # texts
+SQL_LINE_SHARE = 0.1  # in OP7_SQL
 DEPLETED = 0.5  # of the document's words
 
 
@@ -175,17 +176,11 @@ def lost_words(
     )
     # A copy of a text adds the same lines again; all of its rows stand for one text.
     held = written(lines.groupBy("host", "body", "line").agg(F.sum("words").alias("words")), "lines")
-    limits = copies.groupBy("host").agg(
-        F.greatest(F.lit(float(line_floor)), F.count("*") * line_share).alias("limit")
-    )
-    frequent = (
-        held.groupBy("host", "line")
-        .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") > line_floor)
-        .join(limits, "host")
-        .where("texts > limit")
-        .select("host", "line")
-    )
+    frequent = held.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_floor)
+    if line_share > 0:
+        limits = copies.groupBy("host").agg((F.count("*") * line_share).alias("limit"))
+        frequent = frequent.join(limits, "host").where("texts > limit")
+    frequent = frequent.select("host", "line")
     hit = held.join(frequent, ["host", "line"]).groupBy("host", "body").agg(
         F.sum("words").alias("hit"), F.array_sort(F.collect_list("line")).alias("gone")
     )
@@ -225,8 +220,8 @@ def quality_documents(
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics and verdict of every document."""
-    return quality(read_table(spark, sf_dir, "documents")).drop("line_words", "clean_text")
+    """Metrics and verdict of every document, with the limit of OP7_SQL: a tenth of a host's texts."""
+    return quality(read_table(spark, sf_dir, "documents"), SQL_LINE_SHARE).drop("line_words", "clean_text")
 
 
 OP7_SQL = r"""

@@ -134,6 +134,16 @@ def test_frequent_lines_leave_the_texts(spark):
     assert awkward == sorted(repr((i, t)) for i, t, _, _ in DOCUMENTS)
 
 
+def test_the_limit_of_lines_is_the_same_for_a_large_host(spark):
+    """One line in 4 % of 1,000 texts of a host, one in as many as may be."""
+    word = lambda i, k: f"w{chr(97 + i // 100)}{chr(97 + i // 10 % 10)}{chr(97 + i % 10)}{chr(97 + k)}"
+    prose = lambda i: "\n".join(" ".join(f"{word(i, k)}{m}" for k in range(26)) for m in "abc")
+    more = lambda i: "\nread our terms" * (i < 40) + "\nsee the chart" * (i < 20)
+    docs = documents(spark, [(i, prose(i) + more(i), "en", "h") for i in range(1000)])
+    got = {r["doc_id"]: r["text"] for r in quality_documents(docs).collect()}
+    assert got == {i: prose(i) + "\nsee the chart" * (i < 20) for i in range(1000)}
+
+
 HTML = "<p>é\r\n\r\nWARC/1.1\r\n\r\n" * 20
 PAGES = [
     (2, "http://a/", HTML),
