@@ -14,7 +14,9 @@ Then, over classes: (1) in every group of classes that share such a shingle each
 paired with the smallest; pairs that the points do not rule out are verified on whole
 sets and links joined into components. (2) Groups that still hold several components
 build an R-tree over their points, cut by set size, and look up each point; pairs from
-different components that survive are verified, and the components are final. Pairs
+different components that survive are verified, and the components are final. Large
+groups are dealt into blocks, large components into blocks of their own, and each pair
+of blocks that holds two components has a tree; so a tree's size is bounded. Pairs
 inside a component need no look: a dense group of n copies costs n comparisons. No
 links between different components are lost.
 
@@ -45,6 +47,7 @@ FOLD = 8  # that the R-tree adds up; pairs that it finds are bounded by all coor
 SAMPLE = 20_000  # documents that the order of shingles is fitted on
 FREQUENT = 6  # documents of the sample
 BANDED = 10_000  # members from which a group is cut by set size
+BLOCK = 4096  # members of a block, about, into which larger groups are cut
 FIRST_KEYS = 8  # of a member's groups, that tell where a pair is reported
 LEAF = 32  # points of a leaf, and nodes of a node
 
@@ -121,29 +124,33 @@ def needed_overlap(a, b, percent: int):
 
 class RTree:
     """Points with sizes, packed into leaves; a node holds the largest of each coordinate, and
-    the smallest and largest size and label below it."""
+    the smallest and largest size, label and side below it. Without sides all pairs count."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray | None = None) -> None:
         _, place, members = np.unique(labels, return_inverse=True, return_counts=True)
-        # The most frequent label by itself, all by size, then by the widest coordinate.
-        order = np.lexsort((points[:, points.var(axis=0).argmax()], sizes, place == members.argmax()))
-        level = [points[order].astype(np.int32), *(x[order] for x in (sizes, sizes, labels, labels))]
+        self.sided = sides is not None
+        sides = sides if self.sided else np.zeros(len(sizes), np.int64)
+        # Each side by itself, the most frequent label too, all by size, then by the widest coordinate.
+        order = np.lexsort((points[:, points.var(axis=0).argmax()], sizes, place == members.argmax(), sides))
+        level = [points[order].astype(np.int32), *(x[order] for x in (sizes, sizes, labels, labels, sides, sides))]
         self.order, self.levels = order, [level]
         while len(level[0]) > LEAF:
             at = np.arange(0, len(level[0]), LEAF)
-            fold = (np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+            fold = (np.maximum, *(np.minimum, np.maximum) * 3)
             level = [f.reduceat(x, at, axis=0) for f, x in zip(fold, level)]
             self.levels.append(level)
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Indexes of pairs with different labels that may be linked, each pair once."""
+        """Indexes of pairs with different labels and sides that may be linked, each pair once."""
         top = len(self.levels[-1][0])
         yield from self._below(len(self.levels) - 1, *np.triu_indices(top), percent)
 
     def _below(self, depth: int, a: np.ndarray, b: np.ndarray, percent: int) -> Iterator[tuple]:
-        high, small, large, low_label, high_label = self.levels[depth]
+        high, small, large, low_label, high_label, low_side, high_side = self.levels[depth]
         fits = (large[a] * 100 >= percent * small[b]) & (large[b] * 100 >= percent * small[a])
         fits &= (low_label[a] != high_label[b]) | (low_label[b] != high_label[a])
+        if self.sided:
+            fits &= (low_side[a] != high_side[b]) | (low_side[b] != high_side[a])
         a, b = a[fits], b[fits]
         # Sizes below that can be linked at all bound the overlap that is needed.
         least = [np.maximum(small[x], -(-percent * small[y] // 100)) for x, y in ((a, b), (b, a))]
@@ -333,31 +340,77 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(linked, "a long, b long"), "links")
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int) -> DataFrame:
-    """Pairs of one group and different components that the group's R-tree does not rule out."""
+def _in_blocks(placed: DataFrame, block: int) -> DataFrame:
+    """Members of groups (key, band) as often as they meet a block of their group, with the two
+    blocks that meet, lo and hi, and their own, side.
+
+    A component with more than ``block`` members of a group is dealt into blocks of its own,
+    the others together into further ones. Blocks of one component do not meet.
+    """
+    group = ["key", "band"]
+    sizes = placed.groupBy(*group, "root").agg(F.count("*").alias("r"))
+    alone = F.col("r") > block
+    others = F.sum(F.when(alone, 0).otherwise(F.col("r"))).over(Window.partitionBy(*group))
+    sizes = sizes.withColumn("blocks", F.ceil(F.when(alone, F.col("r")).otherwise(others) / block)).select(
+        F.col("key").alias("of_key"), F.col("band").alias("of_band"), F.col("root").alias("of_root"), "blocks", alone.alias("alone")
+    )
+    # A name is a hash; two blocks of one name would be one block, which loses no pair.
+    dealt = F.when(F.col("alone"), F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks"))).otherwise(
+        F.xxhash64(F.pmod(F.xxhash64("root"), "blocks"))
+    )
+    same = (F.col("key") == F.col("of_key")) & (F.col("band") == F.col("of_band")) & (F.col("root") == F.col("of_root"))
+    sided = placed.join(sizes, same).withColumn("side", dealt).drop("of_key", "of_band", "of_root", "blocks", "alone")
+    sided = written(sided, "blocks")
+    blocks = sided.groupBy(*group, "side").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    of = lambda c: blocks.select(*group, F.col("side").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}"))
+    meet = of("lo").join(of("hi"), group).where(
+        (F.col("lo") <= F.col("hi")) & (F.least("least_lo", "least_hi") != F.greatest("most_lo", "most_hi"))
+    )
+    meet = meet.withColumn("side", F.explode(F.array_distinct(F.array("lo", "hi")))).select(*group, "side", "lo", "hi")
+    return sided.join(meet, [*group, "side"])
+
+
+def _tree_groups(members: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Members of the groups of which each has a tree, told by key, band, lo and hi."""
     # Sizes of linked sets differ by a ratio at most, so each is put into its band and the next.
     step = -np.log(percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / step - 1e-9)
-    large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BANDED).select("key", F.lit(True).alias("cut"))
+    large = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > min(block, BANDED))
+    cut = F.coalesce(F.col("m") > BANDED, F.lit(False))
+    placed = (
+        members.join(large, "key", "left")
+        .join(sizes, "node")
+        .withColumn("own", F.when(cut, band).otherwise(0))
+        .withColumn("band", F.explode(F.when(cut, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
+        .withColumn("big", F.coalesce(F.col("m") > block, F.lit(False)))
+        .select("key", "node", "root", "own", "band", "big")
+    )
+    whole = placed.where("NOT big")
+    for c in ("side", "lo", "hi"):
+        whole = whole.withColumn(c, F.lit(0).cast("long"))
+    blocks = _in_blocks(placed.where("big"), block)
+    return written(whole.unionByName(blocks).drop("big"), "tree-groups")
+
+
+def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int, block: int | None = None) -> DataFrame:
+    """Pairs of one group and different components that the group's R-tree does not rule out."""
     # A pair meets in every group that it shares. It is reported in the one with the smallest
     # key, as far as the first few of each member's keys tell; these hold the smallest
     # shared key if they share any.
     keys = F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS)
     first_keys = members.groupBy("node").agg(keys.alias("keys"))
-    placed = (
-        members.join(large, "key", "left")
-        .join(points.join(first_keys, "node"), "node")
-        .withColumn("own", F.when(F.col("cut"), band).otherwise(0))
-        .withColumn("band", F.explode(F.when(F.col("cut"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
-    )
+    trees = _tree_groups(members, points.select("node", "n"), percent, block or BLOCK)
+    placed = trees.join(points.join(first_keys, "node"), "node")
 
     def searched(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "band"], ignore_index=True)
+        unit = ["key", "band", "lo", "hi"]
+        frame = frame.sort_values(unit, ignore_index=True)
         own = (frame["own"] == frame["band"]).to_numpy()
         points = np.stack([_point(p, groups) for p in frame["point"]]).astype(np.int32)
-        sizes, nodes, roots = (frame[c].to_numpy(np.int64) for c in ("n", "node", "root"))
-        new = (frame[["key", "band"]].diff() != 0).any(axis=1).to_numpy()
-        starts = np.flatnonzero(new)
+        sizes, nodes, roots, sides = (frame[c].to_numpy(np.int64) for c in ("n", "node", "root", "side"))
+        alone = (frame["lo"] == frame["hi"]).to_numpy()
+        at = frame[unit].to_numpy(np.int64)
+        starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
         counts = np.diff(np.append(starts, len(frame)))
         here = frame["key"].to_numpy(np.int64)
         keys = np.full((len(frame), FIRST_KEYS), NO_KEY)
@@ -366,7 +419,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
         a, b = [], []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            fits = (own[i] | own[j]) & (roots[i] != roots[j])
+            fits = (own[i] | own[j]) & (roots[i] != roots[j]) & (alone[i] | (sides[i] != sides[j]))
             fits &= (sizes[i] * 100 >= percent * sizes[j]) & (sizes[j] * 100 >= percent * sizes[i])
             i, j = i[fits], j[fits]
             for at in range(0, len(i), 4096):
@@ -388,15 +441,17 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
         fold = FOLD if groups % FOLD == 0 else 1
         for start, m in zip(starts[counts > LEAF], counts[counts > LEAF]):
             mine = slice(start, start + m)
-            tree = RTree(points[mine].reshape(m, -1, fold).sum(axis=2), sizes[mine], roots[mine])
+            tree = RTree(
+                points[mine].reshape(m, -1, fold).sum(axis=2), sizes[mine], roots[mine], None if alone[start] else sides[mine]
+            )
             for i, j in tree.pairs(percent):
                 keep(i + start, j + start)
         empty = np.empty(0, np.int64)
         return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    # A task takes several groups, each whole.
-    parts = max(1, members.count() // 20_000)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.lit(parts)))
+    # A task takes several groups or pairs of blocks, each whole.
+    parts = max(1, trees.count() // 20_000)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(parts)))
     found = placed.groupBy("part").applyInPandas(searched, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -107,6 +107,38 @@ def test_one_document_of_each_component_stays(spark):
     assert ids == sorted(map(str, [1, 4, 5, 6, 7, 8, 10, 11, 11, None, 2**62 + 1]))
 
 
+def test_trees_of_large_groups_are_bounded_and_lose_no_pair(spark, monkeypatch):
+    """Groups of near copies in one component with strays, and of several components."""
+    rng, groups = np.random.default_rng(5), 16
+    rows, points = [], []
+    for key, roots in enumerate([[1] * 400 + [2], [3] * 90 + [4] * 70 + list(range(10, 60)), [5] * 300, [6] * 9 + [7]]):
+        base = rng.integers(3, 9, groups)
+        for root in roots:
+            node = len(points)
+            rows.append((key, node, root))
+            point = base + rng.integers(0, 3, groups)
+            points.append((node, int(point.sum()), jaccard_join._narrow(point)))
+    rows.append((2, 0, 1))  # a node of two groups
+    members = spark.createDataFrame(rows, "key long, node long, root long")
+    sets = spark.createDataFrame(points, "node long, n long, point binary")
+    trees = jaccard_join._tree_groups(members, sets.select("node", "n"), 75, 32).toPandas()
+    assert trees.groupby(["key", "band", "lo", "hi"]).size().max() <= 160
+    assert len(trees[trees.key == 0]) <= 401 + 14  # the component's blocks meet the stray's only
+    at = {node: jaccard_join._point(p, groups) for node, _, p in points}
+    want = set()
+    for key in range(4):
+        mine = [(node, root) for k, node, root in rows if k == key]
+        for x, (a, p) in enumerate(mine):
+            for b, q in mine[:x]:
+                n, m = at[a].sum(), at[b].sum()
+                if p != q and 4 * min(n, m) >= 3 * max(n, m) and np.minimum(at[a], at[b]).sum() >= jaccard_join.needed_overlap(n, m, 75):
+                    want.add((min(a, b), max(a, b)))
+    for banded in (10_000, 100):
+        monkeypatch.setattr(jaccard_join, "BANDED", banded)
+        got = [tuple(r) for r in jaccard_join._tree_pairs(members, sets, 75, groups, block=32).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_tree_rules_out_no_linked_pair():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (500, 16))
