@@ -46,6 +46,7 @@ GROUPS = 512  # coordinates of a point
 FOLD = 8  # that the R-tree adds up; pairs that it finds are bounded by all coordinates
 SAMPLE = 20_000  # documents that the order of shingles is fitted on
 FREQUENT = 6  # documents of the sample
+MOST = 500_000  # frequent shingles that the order knows, 8 bytes each
 BANDED = 10_000  # members from which a group is cut by set size
 BLOCK = 4096  # members of a block, about, into which larger groups are cut
 FIRST_KEYS = 8  # of a member's groups, that tell where a pair is reported
@@ -96,8 +97,11 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def frequent_shingles(docs: DataFrame, words: int, sample: int, least: int) -> np.ndarray:
-    """Shingles of at least ``least`` of about ``sample`` documents; fewer than sample words / least."""
+def frequent_shingles(docs: DataFrame, words: int, sample: int, least: int, most: int = MOST) -> np.ndarray:
+    """Shingles of at least ``least`` of about ``sample`` documents, the ``most`` most frequent ones.
+
+    Rows of equal id and text are one document.
+    """
     every = max(1, docs.count() // sample)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,8 +110,10 @@ def frequent_shingles(docs: DataFrame, words: int, sample: int, least: int) -> n
             for text in batch["text"]:
                 yield pd.DataFrame({"s": shingles(text, words, hashes).view(np.int64)})
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    some = some.select("doc_id", "text").dropDuplicates().select("text")
     counted = some.mapInPandas(listed, "s long").groupBy("s").count().where(F.col("count") >= least)
+    counted = counted.orderBy(F.desc("count"), "s").limit(most)
     return np.sort(counted.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -139,6 +139,17 @@ def test_trees_of_large_groups_are_bounded_and_lose_no_pair(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_sample_is_bounded_for_a_repeated_id(spark):
+    hit = next(i for i in range(1000) if spark.range(i, i + 1).selectExpr("pmod(xxhash64(id), 10) = 0").first()[0])
+    rows = [(hit, f"a b c d e {i} f g h i{i}") for i in range(400)] + [(hit, "x y z w v")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frequent = lambda *how: jaccard_join.frequent_shingles(docs, 5, *how)
+    assert not len(frequent(80, 300))  # all 800 rows were sampled by their id
+    every = frequent(800, 1)
+    counts = {s: 400 for s in jaccard_join.shingles("a b c d e", 5, jaccard_join._WordHashes())}
+    assert len(every) > 401 and frequent(800, 1, 1).tolist() == list(counts)
+
+
 def test_tree_rules_out_no_linked_pair():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (500, 16))
