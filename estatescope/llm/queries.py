@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
+from estatescope.llm.alignment import op11_alignment
 from estatescope.llm.jaccard_join import op6_jaccard_join
 from estatescope.llm.lm_scoring import op2_lm_scoring
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE_SQL = {
