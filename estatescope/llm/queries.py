@@ -8,6 +8,7 @@ from estatescope.llm.near_vectors import op9_near_vectors
 from estatescope.llm.packing import op10_packing
 from estatescope.llm.quality import OP7_SQL, op7_quality
 from estatescope.llm.repeated_windows import OP4_SQL, op4_repeated_windows
+from estatescope.llm.secret_scan import OP12_SQL, op12_secret_scan
 from estatescope.llm.sharding import op1_shard_rows
 from estatescope.llm.url_filter import OP5_SQL, op5_url_filter
 from estatescope.llm.warc import OP8_SQL, op8_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_near_vectors": op9_near_vectors,
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_url_filter": OP5_SQL,
     "op7_quality": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op12_secret_scan": OP12_SQL,
 }
