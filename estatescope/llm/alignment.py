@@ -6,10 +6,11 @@ the same bytes, and the byte offsets where tokens of both end cut them into grou
 
 Finding these offsets is a merge of two sorted lists of ends. Binary searches along
 evenly spaced diagonals of the merge cut it into pieces of equal work, whatever the
-shares of A and B; equal ends are never parted. Pieces are rows of a written table and
-are merged without knowledge of each other: each gives the token numbers of the stops
-that it sees. A group that crosses a piece's border is stitched where the pieces of a
-document come together, as the tokens between one piece's last and a later piece's first stop.
+shares of A and B; equal ends are never parted. Pieces are rows that are merged without
+knowledge of each other: each gives the token numbers of the stops that it sees, and is
+written with its ids. A group that crosses a piece's border is stitched where the pieces
+of a document come together: it has the tokens between one piece's last stop and the next
+stop in a later piece.
 
 A token pair is linked where its tokens share a group, and its count is the number of
 documents that hold it linked. Counts need a row per pair and batch of documents, not one per link.
@@ -41,12 +42,17 @@ from estatescope.llm.repeats import packed, unpacked
 PIECES = "piece_bpe_32k.model"
 WORK = 16_384  # ends of A and B together in a piece
 FREQUENT = 1_000_000  # pairs that every task knows, 16 bytes each
-LINKS = 1 << 22  # links that are listed at a time
-HELD = 1 << 21  # distinct pairs that a task gathers before it passes them on
+LINKS = 1 << 19  # links that are listed at a time
+HELD = 1 << 20  # distinct pairs that a task gathers before it passes them on
 
 TOKENS = "row long, piece int, pieces int, a_at long, b_at long, a_begin long, b_begin long, a_ids binary, b_ids binary"
-ALIGNED = "row long, piece int, pieces int, a_ids binary, b_ids binary, a_stops binary, b_stops binary"
+MERGED = "row long, piece int, pieces int, a_at long, b_at long, a_ids binary, b_ids binary, a_steps binary, b_steps binary"
 SCORES = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
+NO_PAIR = -1
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def byte_tokens(path: str | None = None) -> tuple:
@@ -141,41 +147,45 @@ def linked(a_ids: np.ndarray, b_ids: np.ndarray, a_stops: np.ndarray, b_stops: n
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``keys`` in order, and the sums of their ``values``."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[at], np.add.reduceat(values, at) if len(at) else values
 
 
-def token_pieces(
-    docs: DataFrame,
-    work: int = WORK,
-    a_path: str | None = None,
-    b_path: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """The tokens of all documents in pieces of equal work, as a written table."""
-    small_batches(docs.sparkSession)
-    names = ["doc_id", *(c.split()[0] for c in TOKENS.split(", "))]
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Packed numbers of one, two or four bytes, as few as they fit; the first byte is their width."""
+    most = numbers.max(initial=0)
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + packed(numbers.astype(f"<u{width}"))
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return unpacked(data[1:], f"<u{data[0]}")
+
+
+def token_pieces(docs: DataFrame, work: int, a_path: str | None, b_path: str | None, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and the tokens of all documents in pieces of equal work: where a piece begins in
+    tokens (at) and bytes (begin), and its ids."""
     long, short = pa.int64(), pa.int32()
+    names = ["doc_id", *_names(TOKENS)]
     kinds = [long, long, short, short, long, long, long, long, pa.binary(), pa.binary()]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         (encode_a, a_bytes), (encode_b, b_bytes) = byte_tokens(a_path), piece_tokens(b_path)
-        a_length, b_length = (np.array([len(x) for x in t]) for t in (a_bytes, b_bytes))
+        a_length, b_length = _lengths(a_bytes), _lengths(b_bytes)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, value in zip(batch.column(0), batch.column(1)):
                 text, row = value.as_py(), row + 1
-                a, b = ([], []) if not text else (encode_a(text), encode_b(text))
+                a, b = (encode_a(text), encode_b(text)) if text else ([], [])
                 data = b" " + (text or "").encode()
                 if b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
                     a, b = [], []
-                a, b = np.array(a, "<u4"), np.array(b, "<u4")
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
                 a_ends, b_ends = np.cumsum(a_length[a]), np.cumsum(b_length[b])
                 i, j = cuts(a_ends, b_ends, work)
                 for k in range(len(i) - 1):
@@ -186,98 +196,109 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(lists, kinds)], names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(texts.mapInArrow(encoded, f"doc_id long, {TOKENS}"), "token-pieces")
-
-
-def _narrow(ids: np.ndarray) -> bytes:
-    """Packed ids, two bytes each where they fit; the first byte is their width."""
-    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
-    return kind[2].encode() + packed(ids.astype(kind))
-
+    return texts.mapInArrow(encoded, f"doc_id long, {TOKENS}")
 
-def _ids(data: bytes) -> np.ndarray:
-    return unpacked(data[1:], "<u" + data[:1].decode())
 
+def _lengths(table: list[bytes]) -> np.ndarray:
+    return np.array([len(x) for x in table], np.int64)
 
-def merged(pieces: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """Each piece by itself: its ids (32 bits) and stops (64 bits, counted from the document's start)."""
 
-    a_length, b_length = (np.array([len(x) for x in t], np.int32) for t in (byte_tokens(a_path)[1], piece_tokens(b_path)[1]))
+def merged(pieces: DataFrame, a_path: str | None, b_path: str | None) -> DataFrame:
+    """Each piece by itself: its ids, and the tokens from stop to stop, the first from where it begins."""
+    a_length, b_length = _lengths(byte_tokens(a_path)[1]), _lengths(piece_tokens(b_path)[1])
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = ([], [], [], [])
-            for f in batch.itertuples(index=False):
-                a, b = _ids(f.a_ids), _ids(f.b_ids)
-                i, j = stops(f.a_begin + np.cumsum(a_length[a], dtype=np.int64), f.b_begin + np.cumsum(b_length[b], dtype=np.int64))
-                for column, x in zip(columns, (a.astype("<u4"), b.astype("<u4"), i + f.a_at, j + f.b_at)):
-                    column.append(x.tobytes())
-            names = ["a_ids", "b_ids", "a_stops", "b_stops"]
-            yield batch[["row", "piece", "pieces"]].assign(**dict(zip(names, columns)))
+            of = {name: batch.column(name) for name in ("a_ids", "b_ids")}
+            steps = [[], []]
+            for f in zip(*(batch.column(c).to_pylist() for c in ("a_begin", "b_begin", "a_ids", "b_ids"))):
+                a_begin, b_begin, a, b = f
+                found = stops(a_begin + np.cumsum(a_length[_wide(a)]), b_begin + np.cumsum(b_length[_wide(b)]))
+                for side, x in zip(steps, found):
+                    side.append(_narrow(np.diff(x, prepend=0)))
+            kept = [batch.column(c) for c in ("doc_id", "row", "piece", "pieces", "a_at", "b_at")]
+            arrays = [*kept, of["a_ids"], of["b_ids"], *(pa.array(x, pa.binary()) for x in steps)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *_names(MERGED)])
 
-    return pieces.select(*(c.split()[0] for c in TOKENS.split(", "))).mapInPandas(merge, ALIGNED)
+    return pieces.mapInArrow(merge, f"doc_id long, {MERGED}")
 
 
-def aligned(pieces: DataFrame, **paths: str | None) -> DataFrame:
-    """Whole documents: the pieces of a document put together, which closes the groups across their borders."""
+def alignments(
+    docs: DataFrame,
+    work: int = WORK,
+    a_path: str | None = None,
+    b_path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The merged pieces of all documents, as a written table: no text is encoded twice."""
+    small_batches(docs.sparkSession)
+    pieces = token_pieces(docs, work, a_path, b_path, id_col, text_col)
+    return written(merged(pieces, a_path, b_path), "alignments")
 
-    def stitch(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("piece")
-        whole = {c: [b"".join(frame[c])] for c in ("a_ids", "b_ids", "a_stops", "b_stops")}
-        return pd.DataFrame({"row": frame["row"].iloc[:1].to_numpy(), "piece": [0], "pieces": [1], **whole})
 
-    alone = merged(pieces.where("pieces = 1"), **paths)
-    several = merged(pieces.where("pieces > 1"), **paths)
-    return alone.unionByName(several.groupBy("row").applyInPandas(stitch, ALIGNED))
+def _rows(table: DataFrame) -> DataFrame:
+    """``table`` with all pieces of a document after each other; only documents of several are moved."""
+    table = table.select(*_names(MERGED))
+    several = table.where("pieces > 1").repartition("row").sortWithinPartitions("row", "piece")
+    return table.where("pieces = 1").unionByName(several)
 
 
-def _document(f) -> tuple[np.ndarray, ...]:
-    return (
-        np.frombuffer(f.a_ids, "<u4"), np.frombuffer(f.b_ids, "<u4"), np.frombuffer(f.a_stops, "<i8"), np.frombuffer(f.b_stops, "<i8"),
-    )
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(row, A ids, B ids, A stops, B stops) of whole documents, one at a time.
 
+    Pieces are put together by their numbers of tokens; so a group may begin in one piece
+    and end in a later one.
+    """
+    parts = []
+    for batch in batches:
+        for f in batch.itertuples(index=False):
+            i, j = (at + np.cumsum(_wide(x), dtype=np.int64) for at, x in ((f.a_at, f.a_steps), (f.b_at, f.b_steps)))
+            parts.append((_wide(f.a_ids).astype(np.int64), _wide(f.b_ids).astype(np.int64), i, j))
+            if len(parts) == f.pieces:
+                yield f.row, *(parts[0] if f.pieces == 1 else map(np.concatenate, zip(*parts)))
+                parts = []
 
-def alignment_groups(docs: DataFrame, work: int = WORK, id_col: str = "doc_id", text_col: str = "text", **paths) -> DataFrame:
-    """One row per group: doc_id, row (one number per document), nth (from 0), a_ids, b_ids."""
-    pieces = token_pieces(docs, work, id_col=id_col, text_col=text_col, **paths)
+
+def alignment_groups(table: DataFrame) -> DataFrame:
+    """One row per group of ``alignments``: doc_id, row (a number of its own for each document),
+    nth (from 0), a_ids, b_ids."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for f in batch.itertuples(index=False):
-                a, b, i, j = _document(f)
-                if not len(i):
-                    continue
+        for row, a, b, i, j in _documents(batches):
+            if len(i):
                 sides = [np.split(x.astype(np.int32), s[:-1]) for x, s in ((a, i), (b, j))]
-                yield pd.DataFrame({"row": f.row, "nth": np.arange(len(i)), "a_ids": sides[0], "b_ids": sides[1]})
+                yield pd.DataFrame({"row": row, "nth": np.arange(len(i)), "a_ids": sides[0], "b_ids": sides[1]})
 
-    groups = aligned(pieces, **paths).mapInPandas(listed, "row long, nth long, a_ids array<int>, b_ids array<int>")
-    ids = pieces.where("piece = 0").select("row", "doc_id")
+    groups = _rows(table).mapInPandas(listed, "row long, nth long, a_ids array<int>, b_ids array<int>")
+    ids = table.where("piece = 0").select("row", "doc_id")
     return ids.join(groups, "row").select("doc_id", "row", "nth", "a_ids", "b_ids")
 
 
-def pair_counts(documents: DataFrame, held: int = HELD) -> DataFrame:
-    """(pair, docs) of all linked pairs of aligned documents, as a written table."""
+def pair_counts(table: DataFrame, held: int = HELD) -> DataFrame:
+    """(pair, docs): in how many documents of ``alignments`` each pair is linked; a written table."""
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, new, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        none = np.empty(0, np.int64)
+        keys, counts, new, size = none, none, [], 0
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
-            return summed(np.concatenate([keys, *new]), np.concatenate([counts, np.ones(size, np.int64)]))
-
-        for batch in batches:
-            for f in batch.itertuples(index=False):
-                new.append(linked(*_document(f))[0])
-                size += len(new[-1])
-                if size > held:
-                    keys, counts = folded()
-                    new, size = [], 0
-                    if len(keys) > held:
-                        yield pd.DataFrame({"pair": keys, "docs": counts})
-                        keys = counts = np.empty(0, np.int64)
+            fresh, times = np.unique(np.concatenate([none, *new]), return_counts=True)
+            return summed(np.concatenate([keys, fresh]), np.concatenate([counts, times]))
+
+        for _, *document in _documents(batches):
+            new.append(linked(*document)[0])
+            size += len(new[-1])
+            if size > held:
+                keys, counts = folded()
+                new, size = [], 0
+                if len(keys) > held:
+                    yield pd.DataFrame({"pair": keys, "docs": counts})
+                    keys = counts = none
         keys, counts = folded()
         yield pd.DataFrame({"pair": keys, "docs": counts})
 
-    found = documents.mapInPandas(gathered, "pair long, docs long")
+    found = _rows(table).mapInPandas(gathered, "pair long, docs long")
     return written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
 
 
@@ -289,50 +310,57 @@ def frequent_pairs(counts: DataFrame, most: int = FREQUENT) -> pd.DataFrame:
     return counts.where(F.col("docs") >= least).toPandas().sort_values("pair", ignore_index=True)
 
 
-def _scored(documents: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+def _scored(table: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     """Sums per document, in one or more rows each: row, SCORES, groups_sha256."""
     known = frequent_pairs(counts, most)
     keys, docs = known["pair"].to_numpy(np.int64), known["docs"].to_numpy(np.int64)
     best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("best"))
+    best = written(best, "best")
     tops = best.toPandas()  # one row per id of the vocabulary at most
     top = np.zeros(int(tops["a"].max()) + 1 if len(tops) else 1, np.int64)
     top[tops["a"].to_numpy(np.int64)] = tops["best"].to_numpy(np.int64)
-    told = documents.sparkSession.sparkContext.broadcast((keys, docs, top))
+    told = table.sparkSession.sparkContext.broadcast((keys, docs, top))
+    names = ["row", *_names(SCORES), "groups_sha256", "pair", "times"]
 
     def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, docs, top = told.value
-        texts = [str(i) for i in range(1 << 16)]
-        written_out = np.array([t + mark for mark in ",|;" for t in texts], object)
-        for batch in batches:
-            rows, rest = [], []
-            for f in batch.itertuples(index=False):
-                a, b, i, j = _document(f)
-                pairs, times = linked(a, b, i, j)
-                at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
-                found = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-                n, t = docs[at[found]], times[found]
-                n_best = int(t[n == top[pairs[found] >> 32]].sum())
-                digest = hashlib.sha256(_spelt(a, b, i, j, written_out).encode()).hexdigest() if len(i) else ""
-                rows.append((f.row, len(a), len(b), len(i), int(times.sum()), n_best, int((n * t).sum()), digest))
-                if not found.all():
-                    rest.append(pd.DataFrame({"row": f.row, "pair": pairs[~found], "times": times[~found]}))
-            names = ["row", *(c.split()[0] for c in SCORES.split(", ")), "groups_sha256"]
-            yield pd.concat([pd.DataFrame(rows, columns=names), *rest]).reindex(columns=[*names, "pair", "times"]).astype(
-                {c: "Int64" for c in [*names[:-1], "pair", "times"]}
-            )
-
-    both = documents.mapInPandas(looked_up, f"row long, {SCORES}, groups_sha256 string, pair long, times long")
+        texts = np.array([f"{i}{mark}" for mark in ",|;" for i in range(1 << 16)], object)
+        rows, rest, size = [], [], 0
+
+        def made() -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=names)
+            if not rest:
+                return frame
+            missed = pd.concat([pd.DataFrame({"row": r, "pair": p, "times": t}) for r, p, t in rest])
+            missed = missed.reindex(columns=names, fill_value=0).assign(groups_sha256=None)
+            return pd.concat([frame, missed]) if rows else missed
+
+        for row, a, b, i, j in _documents(batches):
+            pairs, times = linked(a, b, i, j)
+            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            found = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            n, t = docs[at[found]], times[found]
+            n_best = int(t[n == top[pairs[found] >> 32]].sum())
+            digest = hashlib.sha256(_spelt(a, b, i, j, texts).encode()).hexdigest() if len(i) else ""
+            rows.append((row, len(a), len(b), len(i), int(times.sum()), n_best, int((n * t).sum()), digest, NO_PAIR, 0))
+            if not found.all():
+                rest.append((row, pairs[~found], times[~found]))
+                size += len(rest[-1][1])
+            if len(rows) >= 1000 or size > HELD:
+                yield made()
+                rows, rest, size = [], [], 0
+        if rows:
+            yield made()
+
+    both = _rows(table).mapInPandas(looked_up, f"row long, {SCORES}, groups_sha256 string, pair long, times long")
     both = written(both, "scores")
-    rare = both.where("pair IS NOT NULL").select("row", "pair", "times")
-    tops = tops.astype("int64") if len(tops) else pd.DataFrame({"a": [0], "best": [0]})
-    best = documents.sparkSession.createDataFrame(tops, "a long, best long")
-    rare = rare.join(counts, "pair").join(F.broadcast(best), F.shiftright("pair", 32) == F.col("a"))
-    rare = rare.select(
+    rare = both.where(F.col("pair") != NO_PAIR).select("row", "pair", "times").join(counts, "pair")
+    rare = rare.join(F.broadcast(best), F.shiftright("pair", 32) == F.col("a")).select(
         "row",
         F.when(F.col("docs") == F.col("best"), F.col("times")).otherwise(0).alias("n_best"),
         (F.col("docs") * F.col("times")).alias("count_sum"),
     )
-    settled = both.where("pair IS NULL").drop("pair", "times")
+    settled = both.where(F.col("pair") == NO_PAIR).drop("pair", "times")
     return settled.unionByName(rare, allowMissingColumns=True)
 
 
@@ -342,38 +370,28 @@ def _spelt(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, texts: np
     if max(a.max(), b.max()) >= size:
         groups = zip(np.split(a, i[:-1]), np.split(b, j[:-1]))
         return ";".join("|".join(",".join(map(str, side.tolist())) for side in group) for group in groups)
-    codes = np.empty(len(a) + len(b), np.int64)
-    ends_a, ends_b = a.astype(np.int64), b.astype(np.int64)
-    ends_a[i - 1] += size
-    ends_b[j - 1] += 2 * size
+    a, b = a.copy(), b.copy()
+    a[i - 1] += size
+    b[j - 1] += 2 * size
     # Before the A tokens of a group stand the B tokens of those before, and before its B tokens all its A tokens.
-    codes[np.arange(len(a)) + np.repeat(np.append(0, j[:-1]), np.diff(i, prepend=0))] = ends_a
-    codes[np.arange(len(b)) + np.repeat(i, np.diff(j, prepend=0))] = ends_b
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + np.repeat(np.append(0, j[:-1]), np.diff(i, prepend=0))] = a
+    codes[np.arange(len(b)) + np.repeat(i, np.diff(j, prepend=0))] = b
     return "".join(texts[codes].tolist())[:-1]
 
 
-def alignment_scores(
-    docs: DataFrame,
-    work: int = WORK,
-    most: int = FREQUENT,
-    a_path: str | None = None,
-    b_path: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def alignment_scores(docs: DataFrame, most: int = FREQUENT, **settings) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair has the
-    highest count of its A id), count_sum (of its links), groups_sha256."""
-    pieces = token_pieces(docs, work, a_path, b_path, id_col, text_col)
-    documents = aligned(pieces, a_path=a_path, b_path=b_path)
-    scored = _scored(documents, pair_counts(documents), most)
-    ids = pieces.where("piece = 0").select("row", "doc_id")
-    sums = [c.split()[0] for c in SCORES.split(", ")]
+    highest count of its A id), count_sum (of its links), groups_sha256; ``settings`` as for ``alignments``."""
+    table = alignments(docs, **settings)
+    scored = _scored(table, pair_counts(table), most)
+    ids = table.where("piece = 0").select("row", "doc_id")
     return (
         ids.unionByName(scored, allowMissingColumns=True)
         .groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
-            *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums),
+            *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _names(SCORES)),
             F.coalesce(F.max("groups_sha256"), F.lit("")).alias("groups_sha256"),
         )
         .drop("row")

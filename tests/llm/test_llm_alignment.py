@@ -89,14 +89,14 @@ def test_awkward_texts_in_pieces(spark, work, most):
 def test_groups(spark):
     rows = [(i, t, "en", "z") for i, t in enumerate(ODD)]
     found = defaultdict(list)
-    for r in sorted(alignment.alignment_groups(documents(spark, rows), work=32).collect(), key=lambda r: r.nth):
+    for r in sorted(alignment.alignment_groups(alignment.alignments(documents(spark, rows), work=32)).collect(), key=lambda r: r.nth):
         found[r.doc_id].append((list(r.a_ids), list(r.b_ids)))
     assert dict(found) == {i: whole(t) for i, t in enumerate(ODD) if whole(t)}
 
 
 def test_empty_table(spark):
     assert alignment.alignment_scores(documents(spark, [])).count() == 0
-    assert alignment.alignment_groups(documents(spark, [])).count() == 0
+    assert alignment.alignment_groups(alignment.alignments(documents(spark, []))).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(5))
