@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
 from estatescope.llm.alignment import op11_alignment
+from estatescope.llm.centroid_clustering import OP13_SQL, op13_centroids
 from estatescope.llm.jaccard_join import op6_jaccard_join
 from estatescope.llm.lm_scoring import op2_lm_scoring
 from estatescope.llm.mixing import OP3_SQL, op3_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
     "op12_secret_scan": op12_secret_scan,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op7_quality": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op12_secret_scan": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }
