@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from checks.landed_sql import AS_OF_MS, LANDED, landed
 from estatescope.operators import inventory, metadata, rollups, rules, storage
+from estatescope.operators.kept import kept
 from estatescope.plans import build_inventories, run_assessment
 from estatescope.sinks import REPORT_TABLES, SnapshotStore
 from estatescope.sinks.snapshots import STAMP
@@ -188,12 +189,19 @@ def database_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _assessed_once(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict]:
+    """As ``_assessed``, with the jobs written and their tally measured on the way."""
+    assessed = _assessed(spark, sf_dir)
+    jobs = kept(assessed["jobs"], "jobs-assessed", **rollups.tally())
+    return {**assessed, "jobs": jobs.rows}, {"jobs": jobs.metrics}
+
+
 def readiness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.readiness_summary(spark, _assessed(spark, sf_dir))
+    return rollups.readiness_summary(spark, *_assessed_once(spark, sf_dir))
 
 
 def assessment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.assessment_summary(spark, _assessed(spark, sf_dir))
+    return rollups.assessment_summary(spark, _assessed_once(spark, sf_dir)[0])
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,23 +34,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def readiness_summary(spark: SparkSession, assessed: Mapping[str, DataFrame | None]) -> DataFrame:
+def tally() -> dict[str, Column]:
+    """What the readiness of an assessed inventory is made of: aggregates over its rows. They can
+    be measured while the rows are written."""
+    return {"total": F.count("*"), "ok": _count_if(F.size("findings") == 0)}
+
+
+def readiness_summary(
+    spark: SparkSession,
+    assessed: Mapping[str, DataFrame | None],
+    tallies: Mapping[str, Mapping[str, int]] | None = None,
+) -> DataFrame:
     """Percentage of objects without findings, per object type, to one decimal.
 
     Worked out in whole numbers, halves rounded up. Null where there are no objects.
+    Inventories whose ``tallies`` were measured are not read.
     """
 
-    def tally(object_type: str) -> DataFrame:
-        df = assessed.get(object_type)
-        kind = F.lit(object_type).alias("object_type")
+    def tallied(object_type: str) -> DataFrame:
+        kind, df = F.lit(object_type).alias("object_type"), assessed.get(object_type)
+        known = (tallies or {}).get(object_type)
         if df is None:
-            nothing = F.lit(0).cast("bigint")
-            return spark.range(1).select(kind, nothing.alias("total"), nothing.alias("ok"))
-        return df.agg(
-            F.count("*").alias("total"), _count_if(F.size("findings") == 0).alias("ok")
-        ).select(kind, "total", "ok")
+            known = {"total": 0, "ok": 0}
+        if known is not None:
+            numbers = (F.lit(known[n] or 0).cast("bigint").alias(n) for n in ("total", "ok"))
+            return spark.range(1).select(kind, *numbers)
+        return df.agg(*(c.alias(n) for n, c in tally().items())).select(kind, "total", "ok")
 
-    return _union([tally(t) for t in ASSESSED]).select(
+    return _union([tallied(t) for t in ASSESSED]).select(
         "object_type",
         F.expr("((2000 * ok + total) div nullif(2 * total, 0)) / 10").alias("readiness"),
     )

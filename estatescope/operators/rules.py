@@ -20,6 +20,7 @@ from estatescope.functions.findings import (
     location_finding,
     version_finding,
 )
+from estatescope.operators.kept import kept
 from estatescope.operators.skew import inner_join_hot_apart, left_join_hot_apart
 from estatescope.settings import DISALLOWED_ACCESS_MODES, MIN_RUNTIME_VERSION
 
@@ -104,7 +105,8 @@ def assess_jobs(
 
     What a job inherits depends only on its list of clusters, so each distinct
     list is resolved once: it is exploded, joined with the clusters that have
-    findings, put back in task order, and joined to all jobs with that list.
+    findings, put back in task order, and joined to all jobs with that list. Lists, the
+    clusters' findings, and what each list inherits are written tables, made when this is called.
     """
     own = F.filter(
         F.transform(F.col("dbr_versions"), lambda v: version_finding(v, min_version)),
@@ -115,25 +117,30 @@ def assess_jobs(
         return jobs.withColumn("findings", F.array_distinct(own))
 
     listed = _with_task_clusters(jobs, "_clusters")
-    lists = listed.groupBy("_clusters").agg(F.count("*").alias("_jobs"))
+    # From here on the lists are read as written: the jobs are read for them and for the last join.
+    lists = kept(listed.groupBy("_clusters").agg(F.count("*").alias("_jobs")), "task-lists").rows
     tasks = lists.select(
         "_clusters", "_jobs", F.posexplode_outer("_clusters").alias("_task", "cluster_id")
     )
     in_task_order = F.sort_array(F.collect_list(F.struct("_task", "found")))
+    found = kept(_findings_by_cluster(clusters_assessed), "cluster-findings")
     inherited = (
-        inner_join_hot_apart(tasks, _findings_by_cluster(clusters_assessed), "cluster_id")
+        inner_join_hot_apart(tasks, found, "cluster_id")
         .groupBy("_clusters", "_jobs")
         .agg(F.flatten(in_task_order["found"])["finding"].alias("_inherited"))
     )
     # Every list, also one that inherits nothing: a healthy list can be the most frequent.
-    known = lists.join(inherited.drop("_jobs"), "_clusters", "left")
+    known = kept(
+        lists.join(inherited.drop("_jobs"), "_clusters", "left"), "inherited", total=F.sum("_jobs")
+    )
     return (
         left_join_hot_apart(
             listed,
-            known,
+            known.rows,
             key="_clusters",
             value="_inherited",
             weight="_jobs",
+            total=known.metrics["total"] or 0,
             unkeyed=F.size("_clusters") == 0,
         )
         .withColumn(

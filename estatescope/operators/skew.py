@@ -5,6 +5,10 @@ are fewer such keys than partitions, so what the lookup says of them, also that
 says nothing, is small enough to broadcast; nothing else is capped, copied or salted.
 Rows that need no match are spread by the number of the input partition: it is the
 same when a lost task is run again, and also spreads rows that are equal throughout.
+
+What is known of the keys is a written table (``kept``): the heavy ones and the others
+are two reads of it, and the total is measured while it is written, so the plans
+behind it are not part of the join's.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estatescope.operators.kept import Kept, kept
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -23,19 +29,21 @@ def left_join_hot_apart(
     key: str,
     value: str,
     weight: str,
+    total: int | None = None,
     unkeyed: Column | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """``facts`` with column ``value`` of ``known``.
 
     ``known`` has one row for each key that the facts have: its ``weight``, the number
-    of facts, and its ``value``, null where there is no match. Facts that are
-    ``unkeyed``, or settled by a heavy key, are spread; the others go through a normal
-    join with the values that there are.
+    of facts, and its ``value``, null where there is no match; ``total`` is the sum of the
+    weights, and is worked out if it is not given. Facts that are ``unkeyed``, or settled
+    by a heavy key, are spread; the others go through a normal join with the values that
+    there are.
     """
     partitions = partitions or _partitions(facts)
-    total = known.agg(F.sum(weight)).scalar()
-    hot = known.where(F.col(weight) * partitions > total).select(
+    every = known.agg(F.sum(weight)).scalar() if total is None else F.lit(total)
+    hot = known.where(F.col(weight) * partitions > every).select(
         F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value")
     )
     rest = known.where(F.col(value).isNotNull()).select(
@@ -57,14 +65,23 @@ def left_join_hot_apart(
 
 
 def inner_join_hot_apart(
-    facts: DataFrame, lookup: DataFrame, key: str, partitions: int | None = None
+    facts: DataFrame, lookup: DataFrame | Kept, key: str, partitions: int | None = None
 ) -> DataFrame:
-    """Inner join of ``facts`` with a ``lookup`` of one row per key."""
+    """Inner join of ``facts`` with a ``lookup`` of one row per key.
+
+    A written lookup that Spark broadcasts is joined as it is. Otherwise ``facts`` are read
+    twice, for the number of each key and for the join.
+    """
+    if isinstance(lookup, Kept):
+        if lookup.broadcasts:
+            return facts.join(lookup.rows, key)
+        lookup = lookup.rows
     others = [c for c in lookup.columns if c != key]
     found = lookup.select(F.col(key), F.struct(F.lit(True).alias("_met"), *others).alias("_found"))
     counted = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    known = counted.join(found, key, "left")
-    joined = left_join_hot_apart(facts, known, key, "_found", "_n", partitions=partitions)
+    known = kept(counted.join(found, key, "left"), "known", total=F.sum("_n"))
+    total = known.metrics["total"] or 0
+    joined = left_join_hot_apart(facts, known.rows, key, "_found", "_n", total, partitions=partitions)
     return (
         joined.where(F.col("_found").isNotNull())
         .withColumns({c: F.col("_found")[c] for c in others})

@@ -102,14 +102,18 @@ def roll_up(
     spark: SparkSession,
     inventories: Mapping[str, DataFrame | None],
     assessed: Mapping[str, DataFrame],
+    tallies: Mapping[str, Mapping[str, int]] | None = None,
 ) -> dict[str, DataFrame | None]:
-    """The five rollups; there is no storage summary without tables."""
+    """The five rollups; there is no storage summary without tables.
+
+    ``tallies`` are those that were measured while assessed inventories were stored.
+    """
     tables = assessed["tables"]
     storage_summary = None
     if inventories.get("tables") is not None:
         storage_summary = storage.storage_summary(tables, inventories.get("mounts"))
     return {
-        "readiness_summary": rollups.readiness_summary(spark, assessed),
+        "readiness_summary": rollups.readiness_summary(spark, assessed, tallies),
         "assessment_summary": rollups.assessment_summary(spark, assessed),
         "database_summary": rollups.database_summary(tables, inventories.get("grants")).orderBy(
             "database"
@@ -146,13 +150,15 @@ def run_assessment(
     """Store the inventories, assess them as stored, and write the report.
 
     Findings of clusters and tables are projections of what is stored and are not stored
-    again. Those of jobs take a join and feed several rollups, so they are stored as well.
+    again. Those of jobs take a join and feed several rollups, so they are stored as well, and
+    their tally is measured on the way.
     Returns the folder of each report table.
     """
     stored = store_inventories(
         store, build_inventories(landed, as_of_ms, lookback_days), force_refresh, stamped_at
     )
     found = assess(spark, stored, min_version, disallowed)
-    assessed = {**found, "jobs": store.keep("jobs_assessed", found["jobs"])}
-    results = {**stored, **assessed, **roll_up(spark, stored, assessed)}
+    jobs, jobs_tally = store.measured("jobs_assessed", found["jobs"], **rollups.tally())
+    assessed = {**found, "jobs": jobs}
+    results = {**stored, **assessed, **roll_up(spark, stored, assessed, {"jobs": jobs_tally})}
     return write_report(spark, results, report_root, fmt)

@@ -7,8 +7,9 @@ from contextlib import redirect_stdout
 
 import pytest
 
+from checks import queries
 from checks.queries import QUERIES
-from estatescope.operators import metadata, rules, storage
+from estatescope.operators import kept, metadata, rules, skew, storage
 from estatescope.sources.schemas import INVENTORIES, METADATA
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -61,7 +62,7 @@ def stored(spark, tmp_path, kind, schemas):
 
 def test_stored_tables_are_pruned_and_filtered_at_the_scan(spark, tmp_path):
     tables = stored(spark, tmp_path, "tables", INVENTORIES)
-    text = plan(storage.storage_summary(tables, None))
+    text = plan(storage.counted_locations(tables))
     assert "ReadSchema: struct<location:string>" in text
     details = stored(spark, tmp_path, "table_details", METADATA)
     listed = stored(spark, tmp_path, "table_list", METADATA)
@@ -90,18 +91,48 @@ def test_unkeyed_and_hot_facts_are_spread(spark, shuffled, tmp_path):
     assert joins and all("_hot_key" in line for line in joins)
 
 
-def test_counts_and_findings_are_worked_out_once(spark, shuffled):
-    for key in ("storage_summary", "storage_classes", "jobs_assessed"):
-        df = QUERIES[key](spark, SF_DIR)
-        df.collect()
-        # Only a plan that has run shows reused exchanges.
-        assert "ReusedExchange" in plan(df, "simple"), key
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of all tables that operators write in between."""
+    plans = []
 
+    def noted(df, purpose, **metrics):
+        plans.append(plan(df))
+        return kept.kept(df, purpose, **metrics)
 
-def test_storage_classes_read_their_input_for_the_count_and_the_join(spark, shuffled, tmp_path):
-    tables = stored(spark, tmp_path, "tables", INVENTORIES)
-    mounts = stored(spark, tmp_path, "mounts", INVENTORIES)
-    df = storage.storage_classes(tables, mounts)
-    df.collect()
-    final = plan(df, "simple").split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet [location") <= 2
+    for module in (rules, skew, storage, queries):
+        monkeypatch.setattr(module, "kept", noted)
+    return plans
+
+
+def scans(texts, location):
+    """How often the files of a folder are read."""
+    return sum(line.startswith("Location:") and location in line for text in texts for line in text.splitlines())
+
+
+def test_jobs_are_read_for_their_lists_and_for_the_join(spark, written):
+    df = QUERIES["jobs_assessed"](spark, SF_DIR)
+    texts = [*written, plan(df)]
+    assert scans(texts, "/orders.parquet") == 2 and scans(texts, "/supplier.parquet") == 1
+    assert sum(plan_text.count("from_json(") for plan_text in written) + plan(df, "simple").count("from_json(") <= 4
+
+
+@pytest.mark.parametrize("key", ["storage_classes", "storage_summary"])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_tables_are_read_for_the_count_and_the_join(spark, written, request, key, broadcast):
+    if not broadcast:
+        request.getfixturevalue("shuffled")
+    df = QUERIES[key](spark, SF_DIR)
+    texts = [*written, plan(df)]
+    # Each assembly reads listing, types and details, which are made of one table.
+    assert scans(texts, "/part.parquet") <= (6 if key == "storage_classes" else 3)
+    assert scans(texts, "/supplier.parquet") <= 5
+
+
+def test_rollups_do_not_run_the_rules_again(spark, written):
+    for key in ("readiness_summary", "assessment_summary"):
+        written.clear()
+        df = QUERIES[key](spark, SF_DIR)
+        # The jobs are read twice for what is written; no rollup reads them.
+        assert scans([plan(df)], "/orders.parquet") == 0
+        assert scans(written, "/orders.parquet") <= 2, key

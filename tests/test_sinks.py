@@ -61,6 +61,66 @@ def test_a_failed_build_is_raised_and_keeps_what_is_stored(spark, store):
     assert store.read("t").count() == 3
 
 
+def breaking(spark, n):
+    """Rows of which the last partition cannot be read."""
+    return spark.range(0, n, 1, 4).select(
+        F.when(F.col("id") < n - 1, F.col("id")).otherwise(F.raise_error(F.lit("broken record")).cast("long")).alias("id")
+    )
+
+
+def test_a_write_that_breaks_halfway_keeps_what_is_stored(spark, store, tmp_path):
+    before = store.write("t", spark.range(3))
+    files = sorted(p.name for p in (tmp_path / "db").iterdir())
+    for _ in range(2):
+        with pytest.raises(Exception, match="broken record"):
+            store.write("t", breaking(spark, 100))
+        assert store.read("t").count() == before.count() == 3
+    assert sorted(p.name for p in (tmp_path / "db").iterdir()) == files
+    assert spark.sql(f"SHOW TABLES IN {store.schema}").count() == 1
+    with pytest.raises(Exception, match="broken record"):
+        store.write("u", breaking(spark, 10))
+    assert not store.exists("u")
+
+
+def test_readers_of_the_former_snapshot_go_on_reading(spark, store, tmp_path):
+    first = store.keep("t", spark.range(3))
+    store.keep("t", spark.range(5))
+    assert first.count() == 3 and store.read("t").count() == 5
+    store.keep("t", spark.range(7))
+    assert store.read("t").count() == 7
+    # The current snapshot and the former one.
+    assert len(list((tmp_path / "db").iterdir())) == 2
+
+
+def test_refreshes_at_the_same_time_leave_a_whole_snapshot(spark, store):
+    from estatescope.sinks.together import run_together
+
+    store.keep("t", spark.range(1))
+    run_together(spark, [lambda n=n: store.keep("t", spark.range(0, n, 1, 4)) for n in (1000, 2000, 3000)])
+    assert store.read("t").count() in (1000, 2000, 3000)
+    assert store.keep("t", spark.range(2)).count() == 2
+
+
+def test_a_snapshot_may_change_its_columns(spark, store):
+    store.keep("t", spark.range(3))
+    store.keep("t", spark.range(4).selectExpr("id AS other", "'x' AS text"))
+    assert store.read("t").columns == ["other", "text"] and store.read("t").count() == 4
+
+
+def test_measured_while_written(spark, store):
+    stored, seen = store.measured("t", spark.range(5), total=F.count("*"), most=F.max("id"))
+    assert stored.count() == 5 and seen == {"total": 5, "most": 4}
+    _, seen = store.measured("t", spark.range(0), total=F.count("*"), most=F.max("id"))
+    assert seen == {"total": 0, "most": None}
+
+
+def test_snapshots_without_a_root_lie_in_the_schemas_folder(spark, store, tmp_path):
+    own = SnapshotStore(spark, schema=store.schema)
+    own.keep("t", spark.range(3))
+    assert own.keep("t", spark.range(4)).count() == 4
+    assert all(p.name.startswith("t_") for p in (tmp_path / "db").iterdir())
+
+
 def test_flat_cells(spark):
     df = spark.range(1).select(
         F.array(F.lit("a"), F.lit('"')).alias("list"),
