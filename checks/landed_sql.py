@@ -162,6 +162,10 @@ SELECT CASE p_partkey % 19 WHEN 0 THEN 'system' WHEN 1 THEN NULL ELSE 'main' END
 FROM $part
 """
 
+OLD_MOUNTS = """
+SELECT '/mnt/old' || CAST(c_custkey AS STRING) AS mount_point FROM $customer
+"""
+
 MOUNTS = """
 SELECT CASE WHEN s_suppkey % 3 = 0 THEN '/vol/n' ELSE '/mnt/n' END || CAST(s_suppkey AS STRING) AS mount_point,
   'abfss://c@' || lower(s_name) || '/' AS source
@@ -198,7 +202,7 @@ LANDED = {
 }
 
 # Inputs of single operators, not of the assessment.
-OTHERS = {"schemas": SCHEMAS}
+OTHERS = {"schemas": SCHEMAS, "old_mounts": OLD_MOUNTS}
 
 # The columns the landed inputs use, declared so that no file is opened to infer them.
 TABLES = {

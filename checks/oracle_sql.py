@@ -349,6 +349,19 @@ ORACLE_SQL: dict[str, str] = {
     "mounts_inventory": _sql(("mounts",), (MOUNTS,), "SELECT * FROM mounts"),
     "udfs_inventory": _UDFS,
     "tables_inventory": _TABLES,
+    "stored_table_parts": _TABLES,
+    "combined_exports": _sql(
+        ("mounts", "old_mounts"), (MOUNTS,),
+        'SELECT * FROM mounts UNION ALL SELECT mount_point AS "mountPoint", CAST(NULL AS VARCHAR) AS source FROM fx_old_mounts',
+    ),
+    "partial_readiness": _sql(
+        TABLE_INPUTS,
+        (TABLES, TABLES_ASSESSED),
+        """, counted AS (SELECT 'tables' AS object_type, count(*) AS objects, count(*) FILTER (len(findings) = 0) AS ok FROM tables_assessed
+  UNION ALL VALUES ('clusters', 0, 0), ('jobs', 0, 0))
+SELECT object_type, 'objects' AS metric, CAST(objects AS DOUBLE) AS value FROM counted
+UNION ALL SELECT object_type, 'readiness', ((2000 * ok + objects) // nullif(2 * objects, 0)) / 10 FROM counted""",
+    ),
     "accessible_schemas": _sql(
         ("schemas",),
         ("one AS (SELECT 1)",),

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from checks.landed_sql import AS_OF_MS, LANDED, landed
 from estatescope.operators import inventory, metadata, rollups, rules, storage
 from estatescope.operators.kept import kept
-from estatescope.plans import build_inventories, run_assessment
+from estatescope.plans import assess, build_inventories, countable, run_assessment, store_table_parts, stored_tables
 from estatescope.sinks import REPORT_TABLES, SnapshotStore
 from estatescope.sinks.snapshots import STAMP
-from estatescope.sources import read_metadata, read_payloads, read_records, unreadable_records
+from estatescope.sources import combine_exports, read_metadata, read_payloads, read_records, unreadable_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,16 @@ def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def combined_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports of one workspace as files, one of them without sources; the workspace is in their paths."""
+    root = _shared_folder(spark, "combined_exports")
+    paths = [f"{root}/{crawl}/workspace=w1/mounts" for crawl in ("first", "second")]
+    for name, path in zip(("mounts", "old_mounts"), paths):
+        landed(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+    exports = read_metadata(spark, "mounts", paths[0]), spark.read.schema("mount_point string").parquet(paths[1])
+    return metadata.mounts_inventory(combine_exports(*exports))
+
+
 # Rules
 
 
@@ -131,8 +141,9 @@ def _tables_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _jobs_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = inventory.jobs_inventory(landed(spark, sf_dir, "jobs"), keep_tasks=True)
-    return rules.assess_jobs(jobs, _clusters_assessed(spark, sf_dir)).drop("tasks")
+    # The rules read an inventory as it is stored, here as in the whole assessment.
+    jobs = kept(inventory.jobs_inventory(landed(spark, sf_dir, "jobs"), keep_tasks=True), "jobs")
+    return rules.assess_jobs(jobs.rows, _clusters_assessed(spark, sf_dir)).drop("tasks")
 
 
 def _assessed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -205,8 +216,21 @@ def assessment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inventories = build_inventories({n: landed(spark, sf_dir, n) for n in LANDED}, AS_OF_MS)
-    return rollups.overview(spark, inventories)
+    return rollups.overview(spark, countable({n: landed(spark, sf_dir, n) for n in LANDED}))
+
+
+def partial_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only tables were landed: the other inventories are empty datasets, assessed like any."""
+    names = ("table_list", "table_types", "table_details")
+    inventories = build_inventories({n: landed(spark, sf_dir, n) for n in names}, AS_OF_MS)
+    assessed = assess(spark, inventories)
+    readiness = rollups.readiness_summary(spark, assessed).withColumnRenamed("readiness", "value")
+    sizes = (
+        df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("object_type"), "value")
+        for name, df in assessed.items()
+    )
+    parts = [readiness.withColumn("metric", F.lit("readiness"))]
+    return reduce(DataFrame.unionByName, [*parts, *(s.withColumn("metric", F.lit("objects")) for s in sizes)])
 
 
 # Stored tables and the report
@@ -241,6 +265,13 @@ def materialize_or_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.materialize_or_read("tables", unexpected).drop(STAMP)
 
 
+def stored_table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table inventory of parts that are stored in buckets."""
+    store = _store(spark, "stored_table_parts")
+    store_table_parts(store, {n: landed(spark, sf_dir, n) for n in ("table_list", "table_types", "table_details")})
+    return stored_tables(store)
+
+
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole assessment, stored and written, then read back.
 
@@ -288,6 +319,8 @@ QUERIES: dict[str, Query] = {
     "accessible_schemas": accessible_schemas,
     "unreadable_records": unreadable,
     "landed_files": landed_files,
+    "combined_exports": combined_exports,
+    "stored_table_parts": stored_table_parts,
     "unsupported_versions": unsupported_versions,
     "disallowed_access_modes": disallowed_access_modes,
     "clusters_assessed": clusters_assessed,
@@ -300,4 +333,5 @@ QUERIES: dict[str, Query] = {
     "readiness_summary": readiness_summary,
     "assessment_summary": assessment_summary,
     "overview": overview,
+    "partial_readiness": partial_readiness,
 }

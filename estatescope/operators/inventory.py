@@ -83,11 +83,20 @@ def pipelines_inventory(raw: DataFrame) -> DataFrame:
     )
 
 
+def possible_submit_runs(raw: DataFrame) -> DataFrame:
+    """Payloads whose text can be of that run type: it holds the name, or an escape that can
+    stand for a letter of it. The others need no parser."""
+    text = F.col("payload")
+    return raw.where(text.contains(SUBMIT_RUN) | text.contains("\\u"))
+
+
 def submit_runs_inventory(
     raw: DataFrame, as_of_ms: int, lookback_days: int = SUBMIT_RUN_LOOKBACK_DAYS
 ) -> DataFrame:
     """Submitted runs that started in the ``lookback_days`` before ``as_of_ms``."""
     earliest = as_of_ms - lookback_days * DAY_MS
+    if "payload" in raw.columns:
+        raw = possible_submit_runs(raw)
     runs = _records(raw, "submit_runs").select("r.*")
     return runs.where((F.col("run_type") == SUBMIT_RUN) & (F.col("start_time") >= earliest)).select(
         "run_id",

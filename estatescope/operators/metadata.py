@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from estatescope.functions.names import is_accessible_name, is_accessible_schema, qualified
 from estatescope.functions.text import as_json, non_empty_or, stripped
+from estatescope.sources.landed import no_rows
 from estatescope.sources.schemas import METADATA
 
 # What is recorded where the export says nothing.
@@ -61,9 +62,8 @@ def grants_inventory(grants: DataFrame) -> DataFrame:
     )
 
 
-def _udf_field(info_name: Column) -> Column:
-    """The field a description row sets: the first whose words occur in its key."""
-    key = F.lower(stripped(info_name))
+def _udf_field(key: Column) -> Column:
+    """The field a description row sets: the first whose words occur in its lower-case key."""
     field = F.lit(None).cast("string")
     for name, words in reversed(UDF_FIELD_WORDS):
         mentioned = F.lit(False)
@@ -82,7 +82,8 @@ def udfs_inventory(listed: DataFrame, info: DataFrame | None = None) -> DataFram
     before the shuffle, so a function with very many rows costs no more there than any
     other, and both sides are one row per function on the key of the join.
     """
-    key = ["schema", "function_name"]
+    # Names differ earlier than schemas do, so rows sort faster by them.
+    key = ["function_name", "schema"]
     functions = (
         listed.where(is_accessible_name(F.col("schema_name")))
         .select(F.col("schema_name").alias("schema"), "function_name")
@@ -90,26 +91,32 @@ def udfs_inventory(listed: DataFrame, info: DataFrame | None = None) -> DataFram
     )
     fields = ["input_types", "return_type", "deterministic", "body", "error"]
     if info is None:
-        return functions.select(*key, *(F.lit(None).cast("string").alias(f) for f in fields))
+        return functions.select("schema", "function_name", *(F.lit(None).cast("string").alias(f) for f in fields))
     described = _described(info)
     said = [F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields[:-1]]
-    return functions.join(described, key, "left").select(*key, *said, "error")
+    return functions.join(described, key, "left").select("schema", "function_name", *said, "error")
 
 
 def _described(info: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in info.columns else F.lit(None).cast("string")
-    rows = info.where(is_accessible_name(F.col("schema_name"))).select(
-        F.col("schema_name").alias("schema"),
-        "function_name",
-        _udf_field(F.col("info_name")).alias("field"),
-        F.struct("ordinal", stripped(F.col("info_value")).alias("value")).alias("entry"),
-        error.alias("error"),
+    # Each step of the rule looks at the key, so it is worked out before; values are stripped
+    # where they won. White space around a key has no say in which words occur in it.
+    rows = (
+        info.where(is_accessible_name(F.col("schema_name")))
+        .select(
+            F.col("schema_name").alias("schema"),
+            "function_name",
+            F.lower("info_name").alias("key"),
+            F.struct("ordinal", F.col("info_value").alias("value")).alias("entry"),
+            error.alias("error"),
+        )
+        .withColumn("field", _udf_field(F.col("key")))
     )
 
     def last(field: str) -> Column:
-        return F.max(F.when(F.col("field") == field, F.col("entry")))["value"].alias(field)
+        return stripped(F.max(F.when(F.col("field") == field, F.col("entry")))["value"]).alias(field)
 
-    return rows.groupBy("schema", "function_name").agg(
+    return rows.groupBy("function_name", "schema").agg(
         last("input_types"),
         last("return_type"),
         last("deterministic"),
@@ -126,37 +133,31 @@ def _partitions_json(details: DataFrame) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(NO_PARTITIONS))
 
 
-def tables_inventory(
-    listed: DataFrame, types: DataFrame | None = None, details: DataFrame | None = None
-) -> DataFrame:
-    """One row per listed table, with its type and storage details.
+# Names differ earlier than schemas do, so rows sort faster by them.
+TABLE_KEY = ("table", "catalog_schema")
 
-    Without ``types`` all types are unknown; without ``details`` nothing is described.
-    A schema lists a name once, so rows that landed twice are one table. All three
-    inputs are reduced to one row per table on the key of the joins: copies are
-    combined before the shuffle, and each input is shuffled once. The table name is
-    part of the key, which spreads a schema that holds a large share of the tables.
-    """
-    spark = listed.sparkSession
-    types = spark.createDataFrame([], METADATA["table_types"]) if types is None else types
-    details = spark.createDataFrame([], METADATA["table_details"]) if details is None else details
-    key = ["catalog_schema", "table"]
-    tables = (
-        listed.where(is_accessible_name(F.col("catalog_schema")))
-        .select("catalog_schema", F.col("table_name").alias("table"))
-        .distinct()
-    )
-    type_of = (
+
+def listed_tables(listed: DataFrame) -> DataFrame:
+    """One row per listed table: its key."""
+    names = listed.where(is_accessible_name(F.col("catalog_schema")))
+    return names.select(F.col("table_name").alias("table"), "catalog_schema").distinct()
+
+
+def table_types(types: DataFrame) -> DataFrame:
+    """One row per typed table: its key and known_type."""
+    schema = qualified(F.col("table_catalog"), F.col("table_schema"))
+    return (
         types.where(is_accessible_schema(F.col("table_catalog"), F.col("table_schema")))
-        .groupBy(
-            qualified(F.col("table_catalog"), F.col("table_schema")).alias("catalog_schema"),
-            F.col("table_name").alias("table"),
-        )
+        .groupBy(F.col("table_name").alias("table"), schema.alias("catalog_schema"))
         .agg(F.max("table_type").alias("known_type"))
     )
-    detail_of = (
+
+
+def table_details(details: DataFrame) -> DataFrame:
+    """One row per described table: its key and details d."""
+    return (
         details.where(is_accessible_name(F.col("catalog_schema")))
-        .groupBy("catalog_schema", F.col("table_name").alias("table"))
+        .groupBy(F.col("table_name").alias("table"), "catalog_schema")
         .agg(
             F.max(
                 F.struct(
@@ -169,6 +170,13 @@ def tables_inventory(
             ).alias("d")
         )
     )
+
+
+def joined_tables(tables: DataFrame, type_of: DataFrame, detail_of: DataFrame) -> DataFrame:
+    """The inventory of ``listed_tables``, ``table_types`` and ``table_details``: one row to one row.
+
+    Where the three are stored in buckets of their key, no row is moved.
+    """
     table_type = F.coalesce("known_type", F.lit(UNKNOWN_TYPE))
     physical = table_type != "VIEW"
     described = physical & F.col("d").isNotNull() & F.col("d.error").isNull()
@@ -176,11 +184,13 @@ def tables_inventory(
     def detail(name: str) -> Column:
         return F.when(described, F.col(f"d.{name}"))
 
+    key = list(TABLE_KEY)
     return (
         tables.join(type_of, key, "left")
         .join(detail_of, key, "left")
         .select(
-            *key,
+            "catalog_schema",
+            "table",
             table_type.alias("table_type"),
             detail("format").alias("format"),
             detail("location").alias("location"),
@@ -192,3 +202,20 @@ def tables_inventory(
             F.when(physical, F.col("d.error")).alias("error"),
         )
     )
+
+
+def tables_inventory(
+    listed: DataFrame, types: DataFrame | None = None, details: DataFrame | None = None
+) -> DataFrame:
+    """One row per listed table, with its type and storage details.
+
+    Without ``types`` all types are unknown; without ``details`` nothing is described.
+    A schema lists a name once, so rows that landed twice are one table. All three
+    inputs are reduced to one row per table on the key of the joins: copies are
+    combined before the shuffle, and each input is shuffled once. The table name is
+    part of the key, which spreads a schema that holds a large share of the tables.
+    """
+    spark = listed.sparkSession
+    types = no_rows(spark, METADATA["table_types"]) if types is None else types
+    details = no_rows(spark, METADATA["table_details"]) if details is None else details
+    return joined_tables(listed_tables(listed), table_types(types), table_details(details))

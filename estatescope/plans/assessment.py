@@ -15,7 +15,7 @@ from estatescope.settings import (
 )
 from estatescope.sinks import SnapshotStore, write_report
 from estatescope.sinks.together import run_together
-from estatescope.sources import empty_dataset
+from estatescope.sources import empty_dataset, readable_records
 
 # Inventory name -> landed inputs it is made of. The first is what it lists and is
 # needed; without one of the others the inventory has less to say.
@@ -59,6 +59,22 @@ def build_inventories(
     }
 
 
+def countable(landed: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """What the overview counts, straight from the exports: one field of each record that can be
+    read, tables with their types, the listed functions, and mounts."""
+    build: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "tables": lambda listed: metadata.tables_inventory(listed, landed.get("table_types")),
+        "udfs": metadata.udfs_inventory,
+        "mounts": metadata.mounts_inventory,
+    }
+    found = {name: make(landed[INPUTS[name][0]]) for name, make in build.items() if INPUTS[name][0] in landed}
+    for kind in ("clusters", "jobs", "pipelines", "external_locations"):
+        if kind in landed:
+            raw = landed[kind]
+            found[kind] = readable_records(raw, kind) if "payload" in raw.columns else raw
+    return found
+
+
 def store_inventories(
     store: SnapshotStore,
     inventories: Mapping[str, DataFrame | None],

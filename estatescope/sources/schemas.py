@@ -1,5 +1,19 @@
 """Declared schemas: what is landed, and what each inventory holds."""
 
+from __future__ import annotations
+
+
+def fields_of(ddl: str) -> dict[str, str]:
+    """Name and type of each field of a declared schema, in order."""
+    fields, depth, at = [], 0, 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            fields.append(ddl[at:i].split(maxsplit=1))
+            at = i + 1
+    return dict(fields)
+
+
 # Field names and types of the landed records.
 RECORDS = {
     "clusters": (

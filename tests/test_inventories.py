@@ -11,6 +11,8 @@ from estatescope.operators import inventory, metadata
 from estatescope.plans import build_inventories
 from estatescope.sources import (
     combine_exports,
+    origin_of,
+    readable_records,
     empty_dataset,
     read_metadata,
     read_payloads,
@@ -283,7 +285,7 @@ def test_metadata_reader_and_combined_exports(spark, tmp_path):
     first = spark.createDataFrame([("/mnt/a", "s")], METADATA["mounts"])
     first.write.parquet(str(tmp_path / "a"))
     one = read_metadata(spark, "mounts", str(tmp_path / "a"))
-    both = combine_exports(one, first.select("mount_point"))
+    both = combine_exports(one, first.select("mount_point"), origins=["w1", "w1"])
     assert set(rows(both)) == {("/mnt/a", "s"), ("/mnt/a", None)}
     assert both.schema["source"].dataType == T.StringType()
 
@@ -293,6 +295,47 @@ def test_exports_of_two_workspaces_are_refused(spark):
     assert combine_exports(one, one, origins=["w1", "w1"]).count() == 2
     with pytest.raises(ValueError, match="several workspaces"):
         combine_exports(one, one, origins=["w1", "w2"])
+    with pytest.raises(ValueError, match="is not known"):
+        combine_exports(one, one)
+    with pytest.raises(ValueError, match="is not known"):
+        combine_exports(one, one, origins=["w1", None])
+    with pytest.raises(ValueError, match="1 origins"):
+        combine_exports(one, one, origins=["w1"])
+    with pytest.raises(ValueError, match="no exports"):
+        combine_exports()
+    assert combine_exports(one).count() == 1
+
+
+def test_origins_are_read_from_paths(spark, tmp_path):
+    one = spark.createDataFrame([("/mnt/a", "s")], METADATA["mounts"])
+    for place in ("x/workspace=w1/mounts", "y/workspace=w1/mounts", "workspace=w2/mounts", "mounts"):
+        one.write.parquet(f"{tmp_path}/{place}")
+    read = lambda *places: read_metadata(spark, "mounts", *(f"{tmp_path}/{p}" for p in places))
+    first, again, other, none = map(read, ("x/workspace=w1/mounts", "y/workspace=w1/mounts", "workspace=w2/mounts", "mounts"))
+    assert origin_of(first) == "w1" and origin_of(none) is None
+    assert combine_exports(first, again).count() == 2
+    for refused in ([first, other], [first, none], [read("x/workspace=w1/mounts", "workspace=w2/mounts"), again]):
+        with pytest.raises(ValueError, match="workspace"):
+            combine_exports(*refused)
+
+
+def test_only_possible_submit_runs_are_parsed(spark):
+    """Text without the run type's name, or an escape that could spell it, never reaches the parser."""
+    run = {"run_id": 1, "run_type": "SUBMIT_RUN", "start_time": 5}
+    texts = [
+        json.dumps(run), json.dumps({**run, "run_id": 2, "run_type": "JOB_RUN"}), json.dumps({**run, "run_id": 3}).replace("SUBMIT_RUN", "SUBMIT\\u005fRUN"),
+        json.dumps({**run, "run_id": 4, "run_type": "JOB_RUN", "run_name": "SUBMIT_RUN"}), json.dumps({**run, "run_id": 5, "run_type": "WORKFLOW_RUN"}), None,
+    ]
+    raw = spark.createDataFrame([(t,) for t in texts], "payload string")
+    assert inventory.possible_submit_runs(raw).count() == 3
+    assert sorted(r.run_id for r in inventory.submit_runs_inventory(raw, 5).collect()) == [1, 3]
+
+
+def test_counting_parses_one_field(spark, tmp_path):
+    texts = ['{"job_id": 1, "settings": {"name": "n"}}', '{"settings": {"name": "n"}}', '{"job_id": "x", "creator_user_name": "u"}', "{}", '{"job_id": 2, "sett', "[1]", "", "null"]
+    raw = spark.createDataFrame([(t,) for t in texts], "payload string")
+    counted = readable_records(raw, "jobs")
+    assert counted.columns == ["job_id"] and counted.count() == inventory.jobs_inventory(raw).count() == 4
 
 
 def test_broken_and_blank_lines_are_no_objects(spark, tmp_path):
