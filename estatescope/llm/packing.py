@@ -10,7 +10,8 @@ fits no open one: opening by the sum as well, as is done where pieces arrive one
 one, took about 2 % more sequences. A group's work is bounded by its pieces and the sequence
 length, and only piece lengths take part in it.
 
-Null and empty texts are the end id alone. Repeated rows and ids are packed row by
+Texts of special tokens that stand in a document are those tokens. Null and empty texts
+are the end id alone. Repeated rows and ids are packed row by
 row; a null id stays null. Other columns are not looked at. An empty table gives no
 rows.
 """
@@ -33,22 +34,46 @@ SEQUENCE = 2048
 END_ID = 0
 GROUP = 16_384  # pieces that are packed together
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(path: str | None = None):
-    """Text to ids. The rank file holds the same vocabulary and merges as ``byte_bpe_50k.json``
-    and gives the same ids several times faster; the tests hold them against each other."""
+def special_tokens(path: str | None = None) -> dict[str, int]:
+    """Text and id of the special tokens that the tokenizer's file lists."""
+    import json
+
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def encoder(path: str | None = None, special: dict[str, int] | None = None):
+    """Text to ids. The rank file holds the same vocabulary and merges as the tokenizer's and
+    gives the same ids several times faster; the tests hold them against each other. The
+    text of a ``special`` token is that token; what lies between is encoded by itself."""
     import base64
+    import re
 
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path(RANKS), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding(
+    encode = tiktoken.Encoding(
         "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
+    if not special:
+        return encode
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def with_special(text: str) -> list[int]:
+        parts = marks.split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return [i for part in parts for i in ([special[part]] if part in special else encode(part))]
+
+    return with_special
 
 
 def cut(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -67,9 +92,10 @@ def token_pieces(
 ) -> DataFrame:
     """One row per piece; ``with_ids`` adds its ids as little-endian unsigned 32-bit bytes."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    special = special_tokens()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
