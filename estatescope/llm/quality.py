@@ -28,9 +28,7 @@ from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, word_co
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-LINE_SHARE = 0.0  # of the host's texts; above 0 the limit rises with the host
-LINE_FLOOR = 20  # texts
-SQL_LINE_SHARE = 0.1  # in OP7_SQL
+LINE_LIMIT = 20  # of a host's texts, however many it has
 DEPLETED = 0.5  # of the document's words
 
 
@@ -121,8 +119,7 @@ def _line(raw: Column) -> Column:
 
 def quality(
     docs: DataFrame,
-    line_share: float = LINE_SHARE,
-    line_floor: int = LINE_FLOOR,
+    line_limit: int = LINE_LIMIT,
     depleted: float = DEPLETED,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -135,7 +132,7 @@ def quality(
     measured = docs.select(
         F.col(id_col).alias("doc_id"), host.alias("host"), _body(text).alias("body"), text.alias("t"), F.col(text_col).alias("raw")
     ).select("doc_id", "host", "body", "raw", *(c.alias(n) for n, c in text_metrics(F.col("t")).items()))
-    lost = lost_words(docs, line_share, line_floor, text_col, host_col)
+    lost = lost_words(docs, line_limit, text_col, host_col)
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -161,11 +158,8 @@ def _body(text: Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
-def lost_words(
-    docs: DataFrame, line_share: float, line_floor: int, text_col: str = "text", host_col: str = "source"
-) -> DataFrame:
-    """(of_host, of_body, line_words, all_words, gone) of the texts with lines above their host's
-    limit; ``gone`` has the hashes of those lines, sorted."""
+def lost_words(docs: DataFrame, line_limit: int, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(of_host, of_body, line_words, all_words, gone) of the texts with lines above the limit; ``gone`` has the hashes of those lines, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(F.col(host_col).alias("host")).alias("host"), _body(text).alias("body"), text.alias("t"))
     copies = rows.groupBy("host", "body").agg(F.count("*").alias("copies"))
@@ -176,10 +170,7 @@ def lost_words(
     )
     # A copy of a text adds the same lines again; all of its rows stand for one text.
     held = written(lines.groupBy("host", "body", "line").agg(F.sum("words").alias("words")), "lines")
-    frequent = held.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_floor)
-    if line_share > 0:
-        limits = copies.groupBy("host").agg((F.count("*") * line_share).alias("limit"))
-        frequent = frequent.join(limits, "host").where("texts > limit")
+    frequent = held.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit)
     frequent = frequent.select("host", "line")
     hit = held.join(frequent, ["host", "line"]).groupBy("host", "body").agg(
         F.sum("words").alias("hit"), F.array_sort(F.collect_list("line")).alias("gone")
@@ -199,15 +190,13 @@ def lost_words(
     )
 
 
-def quality_documents(
-    docs: DataFrame, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted: float = DEPLETED
-) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, without the lines above their host's limit.
+def quality_documents(docs: DataFrame, line_limit: int = LINE_LIMIT, depleted: float = DEPLETED) -> DataFrame:
+    """Rows of ``docs`` that the rules keep, without the lines above the limit.
 
     Where lines went, text and n_chars are those of the clean text; all else is as it was.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lost = lost_words(docs, line_share, line_floor)
+    lost = lost_words(docs, line_limit)
     host = F.struct(F.col("source").alias("host"))
     words = words_of(text)
     good = (F.size(words) >= MIN_WORDS) & (100 * repeated_words(words) <= MAX_REPEAT_PERCENT * F.size(words))
@@ -220,8 +209,9 @@ def quality_documents(
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics and verdict of every document, with the limit of OP7_SQL: a tenth of a host's texts."""
-    return quality(read_table(spark, sf_dir, "documents"), SQL_LINE_SHARE).drop("line_words", "clean_text")
+    """Metrics and verdict of every document, its words on frequent lines, and its length without them."""
+    found = quality(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("clean_chars", F.length(F.coalesce("clean_text", F.lit(""))).cast("long")).drop("clean_text")
 
 
 OP7_SQL = r"""
@@ -231,24 +221,23 @@ windows AS (SELECT nr, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT nr, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
 twice AS (SELECT nr, i FROM windows QUALIFY count(*) OVER (PARTITION BY nr, g) > 1),
 repeats AS (SELECT nr, count(DISTINCT i + j) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) o(j) GROUP BY nr),
-lines AS (SELECT nr, source, t, unnest(string_split(t, chr(10))) AS raw FROM docs),
+lines AS (SELECT nr, source, t, unnest(string_split(t, chr(10))) AS raw, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM docs),
 worded AS (SELECT *, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n,
     regexp_replace(translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS line
   FROM lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dups AS (SELECT nr, count(*) - count(DISTINCT raw) AS n_dup_lines FROM worded GROUP BY nr),
-sizes AS (SELECT source, greatest(20, count(DISTINCT t) * 0.1::DOUBLE) AS line_limit FROM docs GROUP BY source),
-frequent AS (SELECT w.source, line FROM worded w JOIN sizes s ON w.source IS NOT DISTINCT FROM s.source
-  GROUP BY w.source, line, line_limit HAVING count(DISTINCT t) > line_limit),
-lost AS (SELECT nr, sum(n) AS line_words FROM worded w SEMI JOIN frequent f
+frequent AS (SELECT source, line FROM worded GROUP BY source, line HAVING count(DISTINCT t) > 20),
+lost AS (SELECT nr, sum(n) AS line_words, sum(length(raw)) + least(count(*), any_value(n_lines) - 1) AS gone FROM worded w SEMI JOIN frequent f
   ON w.source IS NOT DISTINCT FROM f.source AND w.line = f.line GROUP BY nr),
 base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    coalesce(line_words, 0) AS line_words
+    coalesce(line_words, 0) AS line_words, length(t) - coalesce(gone, 0) AS clean_chars
   FROM words LEFT JOIN repeats USING (nr) LEFT JOIN dups USING (nr) LEFT JOIN lost USING (nr))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  line_words::BIGINT AS line_words, clean_chars::BIGINT AS clean_chars,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_words <= 0.5 * n_words AS kept
 FROM base
