@@ -13,9 +13,13 @@ that many documents share from bringing them together). Equal sets are one class
 Then, over classes: (1) in every group of classes that share such a shingle each is
 paired with the smallest; pairs that the points do not rule out are verified on whole
 sets and links joined into components. (2) Groups that still hold several components
-build an R-tree over their points, cut by set size, and look up each point; pairs from
-different components that survive are verified, and the components are final. Large
-groups are dealt into blocks, large components into blocks of their own, and each pair
+build an R-tree over their points, cut by set size, and look up each point. Of the pairs that
+survive, a tree gives for any two components the few with the highest bounds; they are
+verified in rounds, the best first: what links is contracted, pairs that now lie inside a
+component are dropped, and more are verified in the next round, until no pair is left. Groups
+that had more pairs to give, and still hold those components apart, are searched again and
+give more. So one link joins a stray to a dense component, and its other pairs are
+neither listed nor compared. Large groups are dealt into blocks, large components into blocks of their own, and each pair
 of blocks that holds two components has a tree; so a tree's size is bounded. Pairs
 inside a component need no look: a dense group of n copies costs n comparisons. No
 links between different components are lost.
@@ -49,6 +53,7 @@ FREQUENT = 6  # documents of the sample
 MOST = 500_000  # frequent shingles that the order knows, 8 bytes each
 BANDED = 10_000  # members from which a group is cut by set size
 BLOCK = 4096  # members of a block, about, into which larger groups are cut
+BEST = 4  # pairs of any two components that a tree gives at first
 FIRST_KEYS = 8  # of a member's groups, that tell where a pair is reported
 LEAF = 32  # points of a leaf, and nodes of a node
 
@@ -247,14 +252,25 @@ def jaccard_components(
     stars = members.join(firsts, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = verified(_not_ruled_out(stars, points, percent, groups), rows, sets, words, percent)
     roots = connected_components(links)
-    # Groups with members of different components are looked at as a whole.
-    known = members.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn(
-        "root", F.coalesce("component_id", "node")
-    )
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = written(known.join(mixed, "key").select("key", "node", "root"), "mixed-groups")
-    more = _tree_pairs(mixed, points, percent, groups)
-    roots = connected_components(links.unionByName(verified(more, rows, sets, words, percent)))
+    best, before, open_keys = BEST, None, None
+    while True:
+        # Groups with members of different components are looked at as a whole.
+        known = members if open_keys is None else members.join(open_keys, "key", "left_semi")
+        known = known.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn(
+            "root", F.coalesce("component_id", "node")
+        )
+        mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        mixed = written(known.join(mixed, "key").select("key", "node", "root"), "mixed-groups")
+        found = written(_tree_pairs(mixed, points, percent, groups, best=best), "tree-pairs")
+        pairs = found.where("NOT more").drop("key", "more").distinct()
+        # All that a search before gave has been settled.
+        fresh = pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.unionByName(_in_rounds(fresh, rows, sets, words, percent))
+        roots = connected_components(links)
+        open_keys = found.where("more").select("key").distinct()
+        if open_keys.isEmpty():
+            break
+        before, best = pairs, best * 16
     rooted = classes.select("node", "least").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "least", F.coalesce("component_id", "node").alias("root")
     )
@@ -331,7 +347,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    whole = whole_sets(pairs, docs, sets, words)
+    return _compared(pairs, whole_sets(pairs, docs, sets, words), percent)
+
+
+def _compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets are linked; a written table."""
     of = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,9 +363,38 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
                 good[i] = 100 * both >= percent * (len(s) + len(t) - both)
             yield f.loc[good, ["a", "b"]]
 
+    pairs = pairs.select("a", "b")
     return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(linked, "a long, b long"), "links")
 
 
+def _in_rounds(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (a, b, score, root_a, root_b) that, with those that make the
+    roots, connect all that the linked ones of ``pairs`` connect.
+
+    In a round, one pair of any two components is verified, the one with the highest score;
+    then four, and so on.
+    """
+    left = written(pairs, "pairs")
+    links = left.select("a", "b").limit(0)
+    if left.isEmpty():
+        return links
+    whole, most = whole_sets(left, docs, sets, words), 1
+    while not left.isEmpty():
+        two = [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")]
+        nth = F.row_number().over(Window.partitionBy(*two).orderBy(F.desc("score"), "a", "b"))
+        tried = written(left.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "tried")
+        good = _compared(tried, whole, percent)
+        links = links.unionByName(good)
+        joined = tried.join(good, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        roots = connected_components(joined)
+        left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        for side in ("root_a", "root_b"):
+            of = roots.select(F.col("id").alias(side), F.col("component_id").alias("new"))
+            left = left.join(of, side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+        left, most = written(left.where("root_a <> root_b"), "pairs"), most * 4
+    return links
+
+
 def _in_blocks(placed: DataFrame, block: int) -> DataFrame:
     """Members of groups (key, band) as often as they meet a block of their group, with the two
     blocks that meet, lo and hi, and their own, side.
@@ -398,8 +447,15 @@ def _tree_groups(members: DataFrame, sizes: DataFrame, percent: int, block: int)
     return written(whole.unionByName(blocks).drop("big"), "tree-groups")
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int, block: int | None = None) -> DataFrame:
-    """Pairs of one group and different components that the group's R-tree does not rule out."""
+def _tree_pairs(
+    members: DataFrame, points: DataFrame, percent: int, groups: int, block: int | None = None, best: int | None = None
+) -> DataFrame:
+    """Pairs (a, b) of one group and different components (root_a, root_b) that the group's R-tree
+    does not rule out, with the Jaccard similarity that their points allow, score.
+
+    Of the pairs of two components a tree gives the ``best`` with the highest scores, or all. A row
+    with ``more`` has only the key of a group that had more.
+    """
     # A pair meets in every group that it shares. It is reported in the one with the smallest
     # key, as far as the first few of each member's keys tell; these hold the smallest
     # shared key if they share any.
@@ -422,7 +478,9 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
         keys = np.full((len(frame), FIRST_KEYS), NO_KEY)
         for i, mine in enumerate(frame["keys"]):
             keys[i, : len(mine)] = mine
-        a, b = [], []
+        kind = np.dtype([("i", np.int64), ("j", np.int64), ("score", np.float64)])
+        got: list[np.ndarray] = []
+        opened: list[np.ndarray] = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             fits = (own[i] | own[j]) & (roots[i] != roots[j]) & (alone[i] | (sides[i] != sides[j]))
@@ -432,34 +490,65 @@ def _tree_pairs(members: DataFrame, points: DataFrame, percent: int, groups: int
                 p, q = i[at : at + 4096], j[at : at + 4096]
                 bound = np.minimum(points[p], points[q]).sum(axis=1)
                 fits = bound >= needed_overlap(sizes[p], sizes[q], percent)
-                p, q = p[fits], q[fits]
+                p, q, bound = p[fits], q[fits], bound[fits]
                 shared = (keys[p][:, :, None] == keys[q][:, None, :]).any(axis=2)
                 least = np.where(shared, keys[p], NO_KEY).min(axis=1)
                 fits = (least == here[p]) | (least == NO_KEY)
-                a.append(nodes[p[fits]])
-                b.append(nodes[q[fits]])
+                score = (bound / (sizes[p] + sizes[q] - bound))[fits]
+                found = np.empty(len(score), kind)
+                found["i"], found["j"], found["score"] = p[fits], q[fits], score
+                got.append(found)
+
+        def chosen(first: int) -> None:
+            """Of the pairs since ``first``, the best of any two components in each unit."""
+            if best is None or len(got) == first:
+                return
+            some = np.concatenate(got[first:])
+            i, j = some["i"], some["j"]
+            unit = np.searchsorted(starts, i, side="right")
+            low, high = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
+            order = np.lexsort((nodes[j], nodes[i], -some["score"], high, low, unit))
+            some, two = some[order], np.stack([unit, low, high])[:, order]
+            new = np.append(True, (two[:, 1:] != two[:, :-1]).any(axis=0))[: len(some)]
+            at = np.arange(len(some))
+            nth = at - np.maximum.accumulate(np.where(new, at, 0))
+            opened.append(here[some["i"][nth >= best]])
+            got[first:] = [some[nth < best]]
 
         # A group that fits a leaf is a tree of one leaf; many of them are gone through at once.
         for m in np.unique(counts[counts <= LEAF]):
             i, j = np.triu_indices(m, 1)
             for some in np.array_split(starts[counts == m], max(1, (counts == m).sum() * len(i) // 1_000_000)):
+                first = len(got)
                 keep((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+                chosen(first)
         fold = FOLD if groups % FOLD == 0 else 1
         for start, m in zip(starts[counts > LEAF], counts[counts > LEAF]):
             mine = slice(start, start + m)
             tree = RTree(
                 points[mine].reshape(m, -1, fold).sum(axis=2), sizes[mine], roots[mine], None if alone[start] else sides[mine]
             )
+            first = len(got)
             for i, j in tree.pairs(percent):
                 keep(i + start, j + start)
-        empty = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+                if len(got) - first > 1000:
+                    chosen(first)
+            chosen(first)
+        pairs = np.concatenate([np.empty(0, kind), *got])
+        i, j = pairs["i"], pairs["j"]
+        i, j = np.where(nodes[i] < nodes[j], i, j), np.where(nodes[i] < nodes[j], j, i)
+        keys = np.unique(np.concatenate([np.empty(0, np.int64), *opened]))
+        # A row is a pair or the key of a group that had more; ids stay exact only without nulls.
+        told = {"a": nodes[i], "b": nodes[j], "root_a": roots[i], "root_b": roots[j], "key": np.zeros(len(i), np.int64)}
+        frame = pd.DataFrame({c: np.append(x, keys if c == "key" else np.zeros(len(keys), np.int64)) for c, x in told.items()})
+        return frame.assign(score=np.append(pairs["score"], np.zeros(len(keys))), more=np.arange(len(frame)) >= len(i))
 
     # A task takes several groups or pairs of blocks, each whole.
     parts = max(1, trees.count() // 20_000)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(parts)))
-    found = placed.groupBy("part").applyInPandas(searched, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed.groupBy("part").applyInPandas(
+        searched, "a long, b long, root_a long, root_b long, key long, score double, more boolean"
+    )
 
 
 def distinct_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -135,7 +135,7 @@ def test_trees_of_large_groups_are_bounded_and_lose_no_pair(spark, monkeypatch):
                     want.add((min(a, b), max(a, b)))
     for banded in (10_000, 100):
         monkeypatch.setattr(jaccard_join, "BANDED", banded)
-        got = [tuple(r) for r in jaccard_join._tree_pairs(members, sets, 75, groups, block=32).collect()]
+        got = [tuple(r)[:2] for r in jaccard_join._tree_pairs(members, sets, 75, groups, block=32).distinct().collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
@@ -166,6 +166,78 @@ def test_tree_rules_out_no_linked_pair():
     assert len(want) > 50 and sorted(tuple(sorted(p)) for p in found) == sorted(want)
 
 
+def near_copies(n, most):
+    """Copies of a text with up to ``most`` of its 400 words changed."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for _ in range(n):
+        text = list(base)
+        for at in rng.integers(0, 400, int(rng.integers(0, most + 1))):
+            text[at] = f"e{rng.integers(10**9)}"
+        rows.append(" ".join(text))
+    return rows
+
+
+def test_pairs_of_trees_grow_with_a_group_in_proportion(spark, monkeypatch):
+    plain, listed = jaccard_join._tree_pairs, []
+
+    def noted(*args, **how):
+        pairs = plain(*args, **how)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_tree_pairs", noted)
+    totals = []
+    for n in (150, 600):
+        listed.clear()
+        # A dense component and strays that resemble all of it.
+        check_components(spark, near_copies(n, 4) + near_copies(20, 40))
+        totals.append(sum(listed))
+    assert 0 < totals[1] <= 4 * totals[0] + 100
+
+
+def test_groups_with_more_pairs_are_searched_again(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BEST", 1)
+    plain, searches = jaccard_join._tree_pairs, []
+
+    def noted(*args, **how):
+        searches.append(how["best"])
+        return plain(*args, **how)
+
+    monkeypatch.setattr(jaccard_join, "_tree_pairs", noted)
+    check_components(spark, near_copies(200, 40))  # many lie just at the limit
+    assert len(searches) > 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_connect_what_all_links_do(spark, monkeypatch, seed):
+    """Random links among random pairs, with a component that most pairs touch."""
+    rng = np.random.default_rng(seed)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (500, 2)) if a != b}
+    good = {p for p in pairs if rng.random() < 0.15}
+    first = [(i, 0) for i in range(25)] + [(i, 30) for i in range(30, 35)]
+    root = dict(first)
+    rows = [(a, b, float(rng.random())) for a, b in pairs if root.get(a, a) != root.get(b, b)]
+    monkeypatch.setattr(jaccard_join, "whole_sets", lambda *_: None)
+    tried = []
+
+    def compared(some, _, __):
+        found = [tuple(r) for r in some.select("a", "b").collect()]
+        tried.extend(found)
+        return spark.createDataFrame([p for p in found if p in good], "a long, b long")
+
+    monkeypatch.setattr(jaccard_join, "_compared", compared)
+    rows = [(*r, root.get(r[0], r[0]), root.get(r[1], r[1])) for r in rows]
+    table = spark.createDataFrame(rows, "a long, b long, score double, root_a long, root_b long")
+    links = jaccard_join._in_rounds(table, None, None, 5, 75)
+    known = spark.createDataFrame(first, "a long, b long")
+    every = known.unionByName(spark.createDataFrame([p for p in good if root.get(p[0], p[0]) != root.get(p[1], p[1])], "a long, b long"))
+    of = lambda df: {tuple(r) for r in connected_components(df).collect()}
+    assert of(known.unionByName(links)) == of(every)
+    assert len(tried) == len(set(tried)) < len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     rng = np.random.default_rng(3)
     order = rng.permutation(300)
@@ -239,15 +311,28 @@ def test_ids_are_those_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing.encoder()
-    odd = ["<|endoftext|>", "a<|endoftext|>b", "  x \n\n\t y", "it's we'LL 12 ½ ¼³ é ẞ 中文 ​ 　 🤦🏽", "\x00\x1c\x85", "a" * 500]
+    special = packing.special_tokens()
+    assert special == {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} and special
+    encode = packing.encoder(special=special)
+    odd = ["  x \n\n\t y", "it's we'LL 12 ½ ¼³ é ẞ 中文 ​ 　 🤦🏽", "\x00\x1c\x85", "a" * 500, "<|endof", "<|ENDOFTEXT|>"]
+    for mark in special:
+        odd += [mark, f"a{mark}b", f"a {mark} b", f"{mark}{mark}\n", f"{mark} x", f" {mark}", f"<|{mark}|>", f"é{mark}'s"]
     for text in [*table()["text"], *odd]:
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    ordinary = packing.encoder()
+    tokenizer.encode_special_tokens = True
+    for text in odd:
+        assert ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_have_the_special_token(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    ids = [np.frombuffer(r["ids"], "<u4").tolist() for r in packing.token_pieces(docs, with_ids=True).collect()]
+    assert ids == [[64, 50256, 65, 0]]
 
 
 def test_pieces_of_awkward_rows(spark):
-    encode = packing.encoder()
+    encode = packing.encoder(special=packing.special_tokens())
     pieces = packing.token_pieces(documents(spark), sequence=64, with_ids=True)
     rows = pieces.collect()
     by_doc = {}
