@@ -49,6 +49,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def whole_row(names: list[str]) -> Column:
+    """Columns, whatever their names are, as one struct."""
+    return F.struct(*(F.col(f"`{name.replace('`', '``')}`") for name in names))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import WORD, read_table, small_batches, written
+from estatescope.llm.common import WORD, read_table, small_batches, whole_row, written
 from estatescope.llm.components import connected_components
 from estatescope.llm.repeats import BLOCK_KEYS, BLOCKS, block_row, repeated_entries
 
@@ -563,11 +563,11 @@ def distinct_documents(docs: DataFrame, **settings) -> DataFrame:
         F.col("at.doc_id").alias("of_doc"), F.col("at.body").alias("of_body")
     )
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), "doc_id", F.xxhash64("text").alias("body"), "text")
+    rows = docs.select(whole_row(names).alias("row"), "doc_id", F.xxhash64("text").alias("body"), "text")
     kept = rows.where(F.col("text").rlike(WORD)).join(
         chosen, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body"))
     )
-    nth = F.row_number().over(Window.partitionBy("of_doc", "of_body").orderBy(F.xxhash64("row")))
+    nth = F.row_number().over(Window.partitionBy("of_doc", "of_body").orderBy(F.xxhash64(F.col("row").cast("string"))))
     kept = kept.withColumn("nth", nth).where("nth = 1").select("row.*")
     return kept.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)))
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import read_table, word_count, written
+from estatescope.llm.common import read_table, whole_row, word_count, written
 
 WEIGHTS = (3, 1, 2)  # by the sources' order, repeating
 SHARE = 1.5  # of all words
@@ -182,11 +182,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     shares = mix_sources(docs, **settings).groupBy("draw").agg(F.sum("copies").alias("mix_copies"))
     names = docs.columns
-    marked = docs.select(F.struct(*names).alias("row"), drawn(F.col("doc_id"), F.col("text")).alias("draw"))
+    marked = docs.select(whole_row(names).alias("row"), drawn(F.col("doc_id"), F.col("text")).alias("draw"))
     joined = marked.join(shares.withColumnRenamed("draw", "of_draw"), F.col("draw") == F.col("of_draw"))
     twin = Window.partitionBy("of_draw")
     n = F.count("*").over(twin)
-    nth = F.row_number().over(twin.orderBy(F.xxhash64("row")))
+    nth = F.row_number().over(twin.orderBy(F.xxhash64(F.col("row").cast("string"))))
     joined = joined.withColumn(
         "mine",
         F.floor(F.col("mix_copies") / n).cast("int") + F.when(nth <= F.col("mix_copies") % n, 1).otherwise(0),

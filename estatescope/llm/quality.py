@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, word_count, written
+from estatescope.llm.common import SPACE, WORD, lower_ascii, read_table, whole_row, word_count, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -200,12 +200,13 @@ def quality_documents(docs: DataFrame, line_limit: int = LINE_LIMIT, depleted: f
     host = F.struct(F.col("source").alias("host"))
     words = words_of(text)
     good = (F.size(words) >= MIN_WORDS) & (100 * repeated_words(words) <= MAX_REPEAT_PERCENT * F.size(words))
-    found = docs.where(good).select(F.struct(*docs.columns).alias("row"), host.alias("host"), _body(text).alias("body"))
+    found = docs.where(good).select(whole_row(docs.columns).alias("row"), host.alias("host"), _body(text).alias("body"))
     found = found.join(lost, (F.col("host") == F.col("of_host")) & (F.col("body") == F.col("of_body")), "left")
     kept = found.where(F.col("gone").isNull() | (F.col("line_words") <= depleted * F.col("all_words")))
     kept = kept.select("row", "gone", clean_text(F.col("row.text"), F.col("gone")).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return kept.select(*(F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(new.get(c, F.col("row")[c])).alias(c) for c in docs.columns))
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    return kept.select(*(F.when(F.col("gone").isNull(), old[c]).otherwise(new.get(c, old[c])).alias(c) for c in docs.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

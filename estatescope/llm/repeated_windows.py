@@ -31,7 +31,6 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator
 from math import ceil
@@ -39,10 +38,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from estatescope.llm.common import read_table, shared_folder, small_batches, written
+from estatescope.llm.common import read_table, shared_folder, small_batches, whole_row, written
 from estatescope.llm.repeats import QUESTIONS, REPLIES, heard, packed, questions, replies, unpacked
 
 DEPTH = 100
@@ -146,6 +146,30 @@ def _rolling(base: int, depth: int) -> Rolling:
     return Rolling(base, PIECE + 2 * depth)
 
 
+def _stream(arrays: list[pa.Array]) -> bytes:
+    """Arrow arrays of one type, one after the other, as bytes."""
+    if not arrays:
+        return b""
+    column = pa.concat_arrays(arrays)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("extra", column.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column], names=["extra"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _in_utc(kind: pa.DataType) -> pa.DataType:
+    """An Arrow type with its times in the zone in which Spark takes them back."""
+    if pa.types.is_timestamp(kind) and kind.tz:
+        return pa.timestamp(kind.unit, "UTC")
+    if pa.types.is_struct(kind):
+        return pa.struct([f.with_type(_in_utc(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(kind.value_field.with_type(_in_utc(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_field.with_type(_in_utc(kind.key_type)), kind.item_field.with_type(_in_utc(kind.item_type)))
+    return kind
+
+
 def text_blocks(docs: DataFrame, extras: list[str], depth: int, block_bytes: int) -> DataFrame:
     """Blocks of documents with their texts and seed records."""
 
@@ -177,17 +201,20 @@ def text_blocks(docs: DataFrame, extras: list[str], depth: int, block_bytes: int
                 packed(np.frombuffer(b"".join(texts), np.uint8)),
                 packed(np.array([len(t) for t in texts], np.int64)),
                 packed(known),
-                packed(np.frombuffer(json.dumps(more).encode(), np.uint8)),
+                packed(np.frombuffer(_stream(more), np.uint8)),
             )
             texts, ids, more, size, made = [], [], [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for doc_id, text, extra in zip(*(batch.column(i) for i in range(3))):
+            rest = batch.column(2)
+            for i, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1))):
+                extra = rest.slice(i, 1)
                 data = (text.as_py() or "").encode()
                 texts.append(data)
                 ids.append(doc_id.as_py())
-                more.append(extra.as_py())
+                if extras:
+                    more.append(extra)
                 size += len(data) + 64
                 if size >= block_bytes:
                     yield flushed()
@@ -196,7 +223,7 @@ def text_blocks(docs: DataFrame, extras: list[str], depth: int, block_bytes: int
 
     names = [f.split(" ")[0] for f in BLOCKS.split(", ")]
     kinds = [pa.string(), pa.int64()] + [pa.binary()] * 8
-    rest = F.to_json(F.struct(*extras)) if extras else F.lit(None).cast("string")
+    rest = whole_row(extras) if extras else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long"), "text", rest.alias("extra")).mapInArrow(blocks, BLOCKS)
 
 
@@ -382,23 +409,23 @@ def remove_repeats(
     buckets: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left),
-    spans (removed [start, end) one after the other), ``extras``, columns of the input, as
-    ``extra``, JSON, and if asked for the text that is left. Characters that are cut go whole."""
+    spans (removed [start, end) one after the other), text (that is left, if asked for; characters
+    that are cut go whole), and ``extras``, columns of the input, as the struct ``extra``."""
     small_batches(docs.sparkSession)
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _bucketed(text_blocks(docs, list(extras), depth, block_bytes), "texts", "block", buckets)
     answers, parts = _passes(blocks, depth)
-    schema = (
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "spans array<long>, extra string, text string"
+    schema = StructType.fromDDL(
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, text string"
     )
+    if extras:
+        schema.add("extra", docs.select(whole_row(list(extras))).schema[0].dataType)
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.string()]
 
-    def cut(block: pd.DataFrame, heard_so_far: pd.DataFrame) -> pd.DataFrame:
-        names = [f.split(" ")[0] for f in schema.split(", ")]
-        row = block.iloc[0]
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pandas().iloc[0]
         texts, ids = _texts(row), unpacked(row["doc_ids"], np.int64).reshape(2, -1)
-        more = json.loads(unpacked(row["extras"], np.uint8).tobytes())
-        number, starts, ends = _Block(row, heard_so_far, depth, parts).spans()
+        number, starts, ends = _Block(row, right.to_pandas(), depth, parts).spans()
         order = np.argsort(number, kind="stable")
         bounds = np.searchsorted(number[order], np.arange(len(texts) + 1))
         starts, ends = starts[order], ends[order]
@@ -408,25 +435,27 @@ def remove_repeats(
             a, b = merged(starts[mine], ends[mine]) if mine.start < mine.stop else (number[:0], number[:0])
             edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(text)]
             kept = b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2]))
-            digest, left = hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
-            out.append((len(text), len(text) - len(kept), len(a), digest, edges[1:-1], more[i], left))
-        frame = pd.DataFrame(out, columns=names[1:])
-        frame.insert(0, "doc_id", pd.arrays.IntegerArray(ids[0].copy(), ids[1] == 0))
-        return frame
+            digest, rest = hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
+            doc_id = int(ids[0, i]) if ids[1, i] else None
+            out.append((doc_id, len(text), len(text) - len(kept), len(a), digest, edges[1:-1], rest))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
+        if extras:
+            with pa.ipc.open_stream(unpacked(row["extras"], np.uint8).tobytes()) as stream:
+                extra = stream.read_all().column(0)
+            columns.append(extra.cast(_in_utc(extra.type)))
+        return pa.Table.from_arrays(columns, names=schema.names)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
 def unrepeated_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``docs`` with what is left of their texts; n_chars follows. Documents that lose
-    everything go; those that were empty stay."""
+    everything go; those that were empty stay. Other columns are as they were."""
     names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
+    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
     cut = remove_repeats(docs, depth, with_text=True, extras=tuple(rest)).where("n_removed < n_bytes OR n_bytes = 0")
-    if rest:
-        cut = cut.withColumn("row", F.from_json("extra", docs.select(*rest).schema))
-    of = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
-    return cut.select(*(of.get(c, F.col(f"row.`{c}`")) for c in names))
+    of = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*((of[c] if c in of else F.col("extra").getField(c)).alias(c) for c in names))
 
 
 def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

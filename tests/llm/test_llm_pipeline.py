@@ -3,8 +3,10 @@ from llm_cases import DOCUMENTS, TABLES, documents, duck, jaccard, without_repea
 import corpus_pipeline
 from estatescope.llm import packing
 from estatescope.llm.common import read_table
-from estatescope.llm.mixing import OP3_SQL
-from estatescope.llm.quality import OP7_SQL
+from estatescope.llm.jaccard_join import distinct_documents
+from estatescope.llm.mixing import OP3_SQL, mixed_documents
+from estatescope.llm.quality import OP7_SQL, quality_documents
+from estatescope.llm.repeated_windows import unrepeated_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,3 +58,26 @@ def test_stages_take_awkward_and_empty_tables(spark):
             out = corpus_pipeline.written(stage(spark, docs, TABLES), "test")
             docs = out if out.columns == COLUMNS else docs
         assert out.count() == 0 or rows
+
+
+def test_stages_leave_other_columns_as_they_were(spark):
+    """Times, maps, binary, nested and dotted names; also in a session that is not in UTC."""
+    long = " ".join(f"w{k}" for k in range(120))
+    rows = [(i, f"{long} own{i} " + " ".join(f"v{i}x{k}" for k in range(300)) if i < 4 else None, "en", "a", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "timestamp_micros(1700000000123456 + doc_id) AS at", "map(doc_id, named_struct('t', timestamp_micros(doc_id))) AS `a.b`",
+        "binary(lang) AS raw", "CAST(doc_id AS decimal(20,3)) AS `d``e`", "array(date '2024-01-01', null) AS days", "CAST(null AS double) AS none",
+    )
+    others = [f"`{c.replace('`', '``')}`" for c in docs.columns if c not in ("text", "n_chars")]
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            kept = docs.where("doc_id < 4")
+            for stage, want in ((quality_documents, kept), (distinct_documents, docs), (unrepeated_documents, docs), (mixed_documents, None)):
+                got = stage(docs)
+                assert got.schema.simpleString() == docs.schema.simpleString()
+                found = sorted(map(repr, got.select(*others).collect()))
+                # The mix takes documents more or less than once.
+                assert found == sorted(map(repr, want.select(*others).collect())) if want else set(found) <= set(map(repr, docs.select(*others).collect()))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
