@@ -210,9 +210,8 @@ def quality_documents(docs: DataFrame, line_limit: int = LINE_LIMIT, depleted: f
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics and verdict of every document, its words on frequent lines, and its length without them."""
-    found = quality(read_table(spark, sf_dir, "documents"))
-    return found.withColumn("clean_chars", F.length(F.coalesce("clean_text", F.lit(""))).cast("long")).drop("clean_text")
+    """Metrics and verdict of every document, and its words on frequent lines; texts stay where they are."""
+    return quality(read_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 OP7_SQL = r"""
@@ -222,23 +221,23 @@ windows AS (SELECT nr, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT nr, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
 twice AS (SELECT nr, i FROM windows QUALIFY count(*) OVER (PARTITION BY nr, g) > 1),
 repeats AS (SELECT nr, count(DISTINCT i + j) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) o(j) GROUP BY nr),
-lines AS (SELECT nr, source, t, unnest(string_split(t, chr(10))) AS raw, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines FROM docs),
+lines AS (SELECT nr, source, t, unnest(string_split(t, chr(10))) AS raw FROM docs),
 worded AS (SELECT *, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n,
     regexp_replace(translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS line
   FROM lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dups AS (SELECT nr, count(*) - count(DISTINCT raw) AS n_dup_lines FROM worded GROUP BY nr),
 frequent AS (SELECT source, line FROM worded GROUP BY source, line HAVING count(DISTINCT t) > 20),
-lost AS (SELECT nr, sum(n) AS line_words, sum(length(raw)) + least(count(*), any_value(n_lines) - 1) AS gone FROM worded w SEMI JOIN frequent f
+lost AS (SELECT nr, sum(n) AS line_words FROM worded w SEMI JOIN frequent f
   ON w.source IS NOT DISTINCT FROM f.source AND w.line = f.line GROUP BY nr),
 base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    coalesce(line_words, 0) AS line_words, length(t) - coalesce(gone, 0) AS clean_chars
+    coalesce(line_words, 0) AS line_words
   FROM words LEFT JOIN repeats USING (nr) LEFT JOIN dups USING (nr) LEFT JOIN lost USING (nr))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  line_words::BIGINT AS line_words, clean_chars::BIGINT AS clean_chars,
+  line_words::BIGINT AS line_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_words <= 0.5 * n_words AS kept
 FROM base
