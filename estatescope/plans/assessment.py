@@ -16,6 +16,8 @@ from estatescope.settings import (
 from estatescope.sinks import SnapshotStore, write_report
 from estatescope.sinks.together import run_together
 from estatescope.sources import empty_dataset, readable_records
+from estatescope.sources.landed import no_rows
+from estatescope.sources.schemas import INVENTORIES
 
 # Inventory name -> landed inputs it is made of. The first is what it lists and is
 # needed; without one of the others the inventory has less to say.
@@ -107,9 +109,14 @@ def assess(
         return df if df is not None else empty_dataset(spark, name)
 
     clusters = rules.assess_clusters(rows_of("clusters"), min_version, disallowed)
+    jobs = inventories.get("jobs")
+    if jobs is None:
+        assessed_jobs = no_rows(spark, f"{INVENTORIES['jobs']}, findings array<string>")
+    else:
+        assessed_jobs = rules.assess_jobs(jobs, clusters, min_version)
     return {
         "clusters": clusters,
-        "jobs": rules.assess_jobs(rows_of("jobs"), clusters, min_version),
+        "jobs": assessed_jobs,
         "tables": rules.assess_tables(rows_of("tables")),
     }
 
