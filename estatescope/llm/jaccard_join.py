@@ -383,7 +383,9 @@ def _in_rounds(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, p
         two = [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")]
         nth = F.row_number().over(Window.partitionBy(*two).orderBy(F.desc("score"), "a", "b"))
         tried = written(left.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "tried")
-        good = _compared(tried, whole, percent)
+        # Later rounds look at few of the sets; only these are moved.
+        nodes = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
+        good = _compared(tried, whole.join(nodes, "node", "left_semi"), percent)
         links = links.unionByName(good)
         joined = tried.join(good, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         roots = connected_components(joined)
