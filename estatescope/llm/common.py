@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +43,40 @@ def small_batches(spark: SparkSession, most: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run inside go when it has run, not when the driver
+    happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
-    df.write.parquet(folder)
+    with shuffles_removed(spark):
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``written`` made and that no plan reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_row(names: list[str]) -> Column:
     """Columns, whatever their names are, as one struct."""
     return F.struct(*(F.col(f"`{name.replace('`', '``')}`") for name in names))

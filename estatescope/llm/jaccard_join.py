@@ -22,7 +22,8 @@ give more. So one link joins a stray to a dense component, and its other pairs a
 neither listed nor compared. Large groups are dealt into blocks, large components into blocks of their own, and each pair
 of blocks that holds two components has a tree; so a tree's size is bounded. Pairs
 inside a component need no look: a dense group of n copies costs n comparisons. No
-links between different components are lost.
+links between different components are lost. Tables in between go as soon as nothing reads
+them, and so do the shuffle files of what made them.
 
 Null texts and texts without words have the empty set and link with nothing; with fewer
 words than a shingle the whole sequence is the one element. Repeated rows belong to one
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatescope.llm.common import WORD, read_table, small_batches, whole_row, written
+from estatescope.llm.common import WORD, discard, read_table, shuffles_removed, small_batches, whole_row, written
 from estatescope.llm.components import connected_components
 from estatescope.llm.repeats import BLOCK_KEYS, BLOCKS, block_row, repeated_entries
 
@@ -107,7 +108,8 @@ def frequent_shingles(docs: DataFrame, words: int, sample: int, least: int, most
 
     Rows of equal id and text are one document.
     """
-    every = max(1, docs.count() // sample)
+    with shuffles_removed(docs.sparkSession):
+        every = max(1, docs.count() // sample)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -118,8 +120,10 @@ def frequent_shingles(docs: DataFrame, words: int, sample: int, least: int, most
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
     some = some.select("doc_id", "text").dropDuplicates().select("text")
     counted = some.mapInPandas(listed, "s long").groupBy("s").count().where(F.col("count") >= least)
-    counted = counted.orderBy(F.desc("count"), "s").limit(most)
-    return np.sort(counted.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+    counted = written(counted.orderBy(F.desc("count"), "s").limit(most), "frequent")
+    found = np.sort(counted.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+    discard(counted)
+    return found
 
 
 def _in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -247,12 +251,13 @@ def jaccard_components(
     )
     entries = repeated_entries(both.where("block IS NOT NULL").select(*(c.split(" ")[0] for c in BLOCKS.split(", "))), ["node"])
     members = _members(entries)
+    discard(entries)
     points = classes.select("node", "n", "point")
     firsts = members.groupBy("key").agg(F.min("node").alias("a"))
     stars = members.join(firsts, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = verified(_not_ruled_out(stars, points, percent, groups), rows, sets, words, percent)
     roots = connected_components(links)
-    best, before, open_keys = BEST, None, None
+    best, before, open_keys = BEST, None, None  # before: what the search before found
     while True:
         # Groups with members of different components are looked at as a whole.
         known = members if open_keys is None else members.join(open_keys, "key", "left_semi")
@@ -261,16 +266,23 @@ def jaccard_components(
         )
         mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         mixed = written(known.join(mixed, "key").select("key", "node", "root"), "mixed-groups")
-        found = written(_tree_pairs(mixed, points, percent, groups, best=best), "tree-pairs")
-        pairs = found.where("NOT more").drop("key", "more").distinct()
-        # All that a search before gave has been settled.
-        fresh = pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        found = _tree_pairs(mixed, points, percent, groups, best=best)
+        discard(mixed, roots)
+        fresh = found.where("NOT more").drop("key", "more").distinct()
+        if before is not None:
+            # All that a search before gave has been settled.
+            fresh = fresh.join(before.where("NOT more").select("a", "b"), ["a", "b"], "left_anti")
         links = links.unionByName(_in_rounds(fresh, rows, sets, words, percent))
         roots = connected_components(links)
-        open_keys = found.where("more").select("key").distinct()
-        if open_keys.isEmpty():
+        if before is not None:
+            discard(before)
+        with shuffles_removed(docs.sparkSession):
+            open_keys = found.where("more").select("key").distinct()
+            last = open_keys.isEmpty()
+        if last:
+            discard(found, links, members)
             break
-        before, best = pairs, best * 16
+        before, best = found, best * 16
     rooted = classes.select("node", "least").join(roots.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "least", F.coalesce("component_id", "node").alias("root")
     )
@@ -347,7 +359,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, per
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    return _compared(pairs, whole_sets(pairs, docs, sets, words), percent)
+    whole = whole_sets(pairs, docs, sets, words)
+    good = _compared(pairs, whole, percent)
+    discard(pairs, whole)
+    return good
 
 
 def _compared(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -374,9 +389,10 @@ def _in_rounds(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, p
     In a round, one pair of any two components is verified, the one with the highest score;
     then four, and so on.
     """
+    links = pairs.sparkSession.createDataFrame([], "a long, b long")
     left = written(pairs, "pairs")
-    links = left.select("a", "b").limit(0)
     if left.isEmpty():
+        discard(left)
         return links
     whole, most = whole_sets(left, docs, sets, words), 1
     while not left.isEmpty():
@@ -389,11 +405,13 @@ def _in_rounds(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, p
         links = links.unionByName(good)
         joined = tried.join(good, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         roots = connected_components(joined)
-        left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        former, left = left, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         for side in ("root_a", "root_b"):
             of = roots.select(F.col("id").alias(side), F.col("component_id").alias("new"))
             left = left.join(of, side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
         left, most = written(left.where("root_a <> root_b"), "pairs"), most * 4
+        discard(former, tried, roots)
+    discard(left, whole)
     return links
 
 
@@ -428,7 +446,7 @@ def _in_blocks(placed: DataFrame, block: int) -> DataFrame:
 
 
 def _tree_groups(members: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Members of the groups of which each has a tree, told by key, band, lo and hi."""
+    """Members of the groups of which each has a tree, told by key, band, lo and hi; a written table."""
     # Sizes of linked sets differ by a ratio at most, so each is put into its band and the next.
     step = -np.log(percent / 100)
     band = F.floor(F.log(F.col("n").cast("double")) / step - 1e-9)
@@ -446,14 +464,16 @@ def _tree_groups(members: DataFrame, sizes: DataFrame, percent: int, block: int)
     for c in ("side", "lo", "hi"):
         whole = whole.withColumn(c, F.lit(0).cast("long"))
     blocks = _in_blocks(placed.where("big"), block)
-    return written(whole.unionByName(blocks).drop("big"), "tree-groups")
+    trees = written(whole.unionByName(blocks).drop("big"), "tree-groups")
+    discard(blocks)
+    return trees
 
 
 def _tree_pairs(
     members: DataFrame, points: DataFrame, percent: int, groups: int, block: int | None = None, best: int | None = None
 ) -> DataFrame:
     """Pairs (a, b) of one group and different components (root_a, root_b) that the group's R-tree
-    does not rule out, with the Jaccard similarity that their points allow, score.
+    does not rule out, with the Jaccard similarity that their points allow, score; a written table.
 
     Of the pairs of two components a tree gives the ``best`` with the highest scores, or all. A row
     with ``more`` has only the key of a group that had more.
@@ -546,11 +566,15 @@ def _tree_pairs(
         return frame.assign(score=np.append(pairs["score"], np.zeros(len(keys))), more=np.arange(len(frame)) >= len(i))
 
     # A task takes several groups or pairs of blocks, each whole.
-    parts = max(1, trees.count() // 20_000)
+    with shuffles_removed(trees.sparkSession):
+        parts = max(1, trees.count() // 20_000)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(parts)))
-    return placed.groupBy("part").applyInPandas(
+    pairs = placed.groupBy("part").applyInPandas(
         searched, "a long, b long, root_a long, root_b long, key long, score double, more boolean"
     )
+    pairs = written(pairs, "tree-pairs")
+    discard(trees)
+    return pairs
 
 
 def distinct_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
+import time
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -9,6 +12,7 @@ from llm_cases import (
 )
 
 from estatescope.llm import jaccard_join, lm_scoring, packing, repeated_windows
+from estatescope.llm.common import shared_folder
 from estatescope.llm.components import connected_components
 
 
@@ -238,6 +242,29 @@ def test_rounds_connect_what_all_links_do(spark, monkeypatch, seed):
     assert len(tried) == len(set(tried)) < len(rows)
 
 
+def test_tables_in_between_go(spark):
+    """F of round 3 (disk): what nothing reads any more is removed, files of shuffles too."""
+    folder = Path(shared_folder(spark, "x").removeprefix("file:")).parent
+    held = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {name for i in range(blocks.length()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    before, files = held(), shuffles()
+    docs = spark.createDataFrame(list(enumerate(near_copies(60, 40))), "doc_id long, text string")
+    found = jaccard_join.jaccard_components(docs)
+    until = time.time() + 20
+    while len(left := shuffles() - files) > 20 and time.time() < until:
+        time.sleep(0.2)  # they go in the background
+    kinds = Counter(name.rpartition("-")[0] for name in held() - before)
+    assert kinds == {"shingle-sets": 1, "links": 1}
+    assert len(left) <= 20
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert found.count() == 60 and found.count() == 60
+
+
 def test_components_of_a_long_chain(spark):
     rng = np.random.default_rng(3)
     order = rng.permutation(300)
