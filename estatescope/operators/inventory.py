@@ -16,6 +16,9 @@ from estatescope.sources.landed import parsed
 SUBMIT_RUN = "SUBMIT_RUN"
 DAY_MS = 86_400_000
 
+# The column of a kept list of a job's clusters, for rules that read a stored inventory.
+TASK_CLUSTER_IDS = "task_cluster_ids"
+
 
 def _records(raw: DataFrame, kind: str) -> DataFrame:
     """Landed records as one struct column ``r``: typed columns, or a JSON ``payload``.
@@ -72,6 +75,19 @@ def jobs_inventory(raw: DataFrame, keep_tasks: bool = False) -> DataFrame:
     return jobs if keep_tasks else jobs.drop("tasks")
 
 
+def task_cluster_ids(tasks: Column) -> Column:
+    """Existing clusters of a list of tasks, each once in task order; empty if there are none."""
+    ids = F.array_except(tasks["existing_cluster_id"], F.array(F.lit(None).cast("string")))
+    return F.coalesce(ids, F.array().cast("array<string>"))
+
+
+def jobs_with_task_clusters(raw: DataFrame) -> DataFrame:
+    """The inventory of jobs with the clusters of each, for a store: rules that read them there
+    need not parse the task list's text again."""
+    jobs = jobs_inventory(raw, keep_tasks=True)
+    return jobs.withColumn(TASK_CLUSTER_IDS, task_cluster_ids(F.col("tasks"))).drop("tasks")
+
+
 def pipelines_inventory(raw: DataFrame) -> DataFrame:
     return _records(raw, "pipelines").select(
         "r.pipeline_id",

@@ -80,13 +80,15 @@ def udfs_inventory(listed: DataFrame, info: DataFrame | None = None) -> DataFram
     optionally the text of a failed description in ``error``, which then is all there
     is. The last row that sets a field wins. The maximum of (ordinal, value) is combined
     before the shuffle, so a function with very many rows costs no more there than any
-    other, and both sides are one row per function on the key of the join.
+    other, and both sides are one row per function on the key of the join, dealt and sorted
+    once.
     """
     # Names differ earlier than schemas do, so rows sort faster by them.
     key = ["function_name", "schema"]
     functions = (
         listed.where(is_accessible_name(F.col("schema_name")))
-        .select(F.col("schema_name").alias("schema"), "function_name")
+        # In the order of the key: else the join deals the described functions once more.
+        .select("function_name", F.col("schema_name").alias("schema"))
         .distinct()
     )
     fields = ["input_types", "return_type", "deterministic", "body", "error"]
@@ -111,6 +113,8 @@ def _described(info: DataFrame) -> DataFrame:
             error.alias("error"),
         )
         .withColumn("field", _udf_field(F.col("key")))
+        # Rows that set nothing need not be sorted.
+        .where(F.col("field").isNotNull() | F.col("error").isNotNull())
     )
 
     def last(field: str) -> Column:

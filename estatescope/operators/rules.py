@@ -20,6 +20,7 @@ from estatescope.functions.findings import (
     location_finding,
     version_finding,
 )
+from estatescope.operators.inventory import TASK_CLUSTER_IDS, task_cluster_ids
 from estatescope.operators.kept import kept
 from estatescope.operators.skew import inner_join_hot_apart, left_join_hot_apart
 from estatescope.settings import DISALLOWED_ACCESS_MODES, MIN_RUNTIME_VERSION
@@ -76,14 +77,16 @@ def assess_tables(tables: DataFrame) -> DataFrame:
 def _with_task_clusters(jobs: DataFrame, column: str) -> DataFrame:
     """Existing clusters of a job's tasks, each once in task order; empty if there are none.
 
-    Taken from the typed ``tasks`` if the inventory kept them, else from the JSON text.
+    As the inventory kept them (``task_cluster_ids``), or taken from the typed ``tasks`` if it
+    kept those, else from the JSON text.
     Never null, so that no null test of it is pushed down to run the parser again.
     """
+    if TASK_CLUSTER_IDS in jobs.columns:
+        return jobs.withColumn(column, F.coalesce(TASK_CLUSTER_IDS, F.array().cast("array<string>")))
     tasks = F.from_json("task_clusters", "array<struct<existing_cluster_id: string>>")
     if "tasks" in jobs.columns:
         tasks = F.col("tasks")
-    ids = F.array_except(tasks["existing_cluster_id"], F.array(F.lit(None).cast("string")))
-    return jobs.withColumn(column, F.coalesce(ids, F.array().cast("array<string>")))
+    return jobs.withColumn(column, task_cluster_ids(tasks))
 
 
 def _findings_by_cluster(clusters_assessed: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def assess_jobs(
     return (
         left_join_hot_apart(
             listed,
-            known.rows,
+            known,
             key="_clusters",
             value="_inherited",
             weight="_jobs",

@@ -25,7 +25,7 @@ def _partitions(df: DataFrame) -> int:
 
 def left_join_hot_apart(
     facts: DataFrame,
-    known: DataFrame,
+    known: DataFrame | Kept,
     key: str,
     value: str,
     weight: str,
@@ -39,8 +39,13 @@ def left_join_hot_apart(
     of facts, and its ``value``, null where there is no match; ``total`` is the sum of the
     weights, and is worked out if it is not given. Facts that are ``unkeyed``, or settled
     by a heavy key, are spread; the others go through a normal join with the values that
-    there are.
+    there are. A written ``known`` that Spark broadcasts is joined as it is.
     """
+    if isinstance(known, Kept):
+        if known.broadcasts:
+            looked_up = known.rows.select(F.col(key).alias("_known_key"), value)
+            return facts.join(looked_up, F.col(key) == F.col("_known_key"), "left").drop("_known_key")
+        known = known.rows
     partitions = partitions or _partitions(facts)
     every = known.agg(F.sum(weight)).scalar() if total is None else F.lit(total)
     hot = known.where(F.col(weight) * partitions > every).select(

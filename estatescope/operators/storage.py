@@ -66,7 +66,9 @@ def _mounted(locations: DataFrame, mounts: DataFrame | None) -> DataFrame:
     if mounts is None or "mountPoint" not in mounts.columns:
         return locations.where(F.lit(False))
     index, lengths = mount_index(mounts)
-    probes = locations.select("location", "n", F.explode(_grams(F.col("location"), lengths)).alias("gram"))
+    # A small table in few files, of which each row makes many: spread by what makes them differ.
+    spread = int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = locations.repartition(spread, "location").select("location", "n", F.explode(_grams(F.col("location"), lengths)).alias("gram"))
     found = inner_join_hot_apart(probes, index, "gram")
     held = F.exists("points", lambda p: F.col("location").contains(p))
     return found.where(held).select("location", "n").distinct()
@@ -88,7 +90,7 @@ def storage_classes(tables: DataFrame, mounts: DataFrame | None) -> DataFrame:
     known = kept(known, "mounted-locations", total=F.sum("n"))
     joined = left_join_hot_apart(
         tables.withColumn("_lookup", F.when(undecided, location)),
-        known.rows,
+        known,
         key="_lookup",
         value="_mounted",
         weight="n",

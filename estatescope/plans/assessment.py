@@ -121,20 +121,26 @@ def assess(
     }
 
 
+def summarized_storage(inventories: Mapping[str, DataFrame | None]) -> DataFrame | None:
+    """The storage summary; there is none without tables. What it counts is written when this is called."""
+    tables = inventories.get("tables")
+    return None if tables is None else storage.storage_summary(tables, inventories.get("mounts"))
+
+
 def roll_up(
     spark: SparkSession,
     inventories: Mapping[str, DataFrame | None],
     assessed: Mapping[str, DataFrame],
     tallies: Mapping[str, Mapping[str, int]] | None = None,
+    summarize_storage: bool = True,
 ) -> dict[str, DataFrame | None]:
     """The five rollups; there is no storage summary without tables.
 
     ``tallies`` are those that were measured while assessed inventories were stored.
+    Without ``summarize_storage`` the storage summary is left to the caller.
     """
     tables = assessed["tables"]
-    storage_summary = None
-    if inventories.get("tables") is not None:
-        storage_summary = storage.storage_summary(tables, inventories.get("mounts"))
+    storage_summary = summarized_storage(inventories) if summarize_storage else None
     return {
         "readiness_summary": rollups.readiness_summary(spark, assessed, tallies),
         "assessment_summary": rollups.assessment_summary(spark, assessed),
@@ -174,14 +180,25 @@ def run_assessment(
 
     Findings of clusters and tables are projections of what is stored and are not stored
     again. Those of jobs take a join and feed several rollups, so they are stored as well, and
-    their tally is measured on the way.
+    their tally is measured on the way; the storage summary, many small steps that leave most
+    of the cluster idle, is made meanwhile. Stored jobs also have the ids of their tasks' clusters
+    (``task_cluster_ids``), which the rules need; findings and report are without them.
     Returns the folder of each report table.
     """
-    stored = store_inventories(
-        store, build_inventories(landed, as_of_ms, lookback_days), force_refresh, stamped_at
+    inventories = build_inventories(landed, as_of_ms, lookback_days)
+    if "jobs" in landed:
+        inventories["jobs"] = inventory.jobs_with_task_clusters(landed["jobs"])
+    stored = store_inventories(store, inventories, force_refresh, stamped_at)
+
+    def assess_stored() -> tuple[dict[str, DataFrame], dict]:
+        found = assess(spark, stored, min_version, disallowed)
+        assessed_jobs = found["jobs"].drop(inventory.TASK_CLUSTER_IDS)
+        jobs, tally = store.measured("jobs_assessed", assessed_jobs, **rollups.tally())
+        return {**found, "jobs": jobs}, {"jobs": tally}
+
+    (assessed, tallies), storage_summary = run_together(
+        spark, [assess_stored, partial(summarized_storage, stored)]
     )
-    found = assess(spark, stored, min_version, disallowed)
-    jobs, jobs_tally = store.measured("jobs_assessed", found["jobs"], **rollups.tally())
-    assessed = {**found, "jobs": jobs}
-    results = {**stored, **assessed, **roll_up(spark, stored, assessed, {"jobs": jobs_tally})}
+    rolled_up = roll_up(spark, stored, assessed, tallies, summarize_storage=False)
+    results = {**stored, **assessed, **rolled_up, "storage_summary": storage_summary}
     return write_report(spark, results, report_root, fmt)

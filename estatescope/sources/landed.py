@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatescope.functions.text import WHITESPACE
 from estatescope.sources.schemas import INVENTORIES, METADATA, RECORDS, fields_of
 
 CORRUPT = "_unreadable"
+# A text that is no record: ASCII whitespace, and at most a null in it.
+BLANK = r"\A[ \t\n\r\x0b\x0c]*+(?:null[ \t\n\r\x0b\x0c]*+)?\z"
 # The part of a landed path that names the workspace.
 ORIGIN = "workspace"
 
@@ -36,20 +37,22 @@ def read_payloads(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _is_record_text() -> Column:
-    return ~F.trim(F.col("payload"), F.lit(WHITESPACE)).isin("", "null")
+    # One look at the start decides for almost every text; trimming goes over all of it.
+    return ~F.col("payload").rlike(BLANK)
 
 
 def _parsed(payloads: DataFrame, kind: str, fields: Sequence[str] | None) -> tuple[DataFrame, Column]:
     """Typed columns, the text where it was not read in full, and whether nothing was read.
 
     Only ``fields`` are parsed, if they are given. The columns are generated, so filters on
-    them run on what was parsed and do not parse again.
+    them run on what was parsed and do not parse again. The test for a record is part of that
+    step: as a filter it would go below whatever makes the payload, and make it once more.
     """
     wanted = [f for f in _FIELDS[kind] if fields is None or f in fields]
     schema = ", ".join(f"{f} {_FIELDS[kind][f]}" for f in wanted)
     kept = {"columnNameOfCorruptRecord": CORRUPT}
     r = F.from_json("payload", f"{schema}, {CORRUPT} string", kept)
-    rows = payloads.where(_is_record_text()).select(F.inline(F.array(r)))
+    rows = payloads.select(F.inline(F.when(_is_record_text(), F.array(r))))
     # A field of another type is null beside others; a broken text leaves nothing. The other
     # fields are looked at only in texts that could not be read in full.
     nothing = F.col(CORRUPT).isNotNull() & F.coalesce(*(F.col(c).cast("string") for c in wanted)).isNull()

@@ -368,3 +368,13 @@ def test_json_is_taken_whole(spark):
              "": False, " ": False, "1, 2": False, '{"a":1}],[{"b":2}': False, "1} x": False, "a": False, None: False}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.ok for r in df.select("t", is_json(F.col("t")).alias("ok")).collect()} == texts
+
+
+def test_only_whitespace_and_null_are_no_records(spark):
+    white = " \t\n\r\x0b\x0c"
+    blank = ["", " ", white, "null", f"{white}null{white}", white * 500, f"null{white * 500}", None]
+    others = ["nul", "null null", "Null", "null\u00a0", "\u2028", "null\u0085", '{"job_id": 1}', f"{white}[1]", "x"]
+    raw = spark.createDataFrame([(t,) for t in blank + others], "payload string")
+    texts = [r.text for r in unreadable_records(raw, "jobs").collect()]
+    assert sorted(texts) == sorted(t for t in others if t != '{"job_id": 1}')
+    assert [r.job_id for r in inventory.jobs_inventory(raw).collect()] == [1]

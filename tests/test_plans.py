@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import queries
 from checks.queries import QUERIES
-from estatescope.operators import kept, metadata, rules, skew, storage
+from estatescope.operators import inventory, kept, metadata, rules, skew, storage
+from estatescope.plans import run_assessment
+from estatescope.sinks import SnapshotStore
 from estatescope.sources.schemas import INVENTORIES, METADATA
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -152,3 +156,56 @@ def test_the_overview_parses_one_field_per_record(spark):
     for kind, field in (("clusters", "cluster_id"), ("jobs", "job_id"), ("pipelines", "pipeline_id"), ("external_locations", "name")):
         assert f"from_json(StructField({field}," in text, kind
     assert "inline" in text and "/lineitem.parquet" not in text
+
+
+def test_described_functions_are_dealt_once(spark, shuffled, tmp_path):
+    parts = [stored(spark, tmp_path, k, METADATA) for k in ("udf_list", "udf_info")]
+    text = plan(metadata.udfs_inventory(*parts), "simple")
+    assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_a_payload_that_is_worked_out_is_made_once(spark):
+    raw = spark.range(3).select(F.concat(F.lit('{"job_id":'), "id", F.lit("}")).alias("payload"))
+    df = inventory.jobs_inventory(raw)
+    assert plan(df, "simple").count("concat(") == 1
+    assert sorted(r.job_id for r in df.collect()) == [0, 1, 2]
+
+
+def test_stored_jobs_are_assessed_without_parsing(spark, shuffled, written, tmp_path):
+    records = (
+        '{"job_id": 1, "settings": {"tasks": [{"existing_cluster_id": "b"}, {"task_key": "t"}, {"existing_cluster_id": "a"}]}}',
+        '{"job_id": 2, "settings": {"tasks": []}}',
+        '{"job_id": 3}',
+    )
+    clusters = [('{"cluster_id": "a", "spark_version": "9.1"}',), ('{"cluster_id": "b", "spark_version": "10.0"}',)]
+    landed = {
+        "jobs": spark.createDataFrame([(r,) for r in records], "payload string"),
+        "clusters": spark.createDataFrame(clusters, "payload string"),
+    }
+    spark.sql(f"CREATE DATABASE stored_jobs LOCATION '{tmp_path}/db'")
+    store = SnapshotStore(spark, schema="stored_jobs", root=f"{tmp_path}/db")
+    folders = run_assessment(spark, landed, store, f"{tmp_path}/report", 0, stamped_at="now")
+    assert written and not any("from_json" in text for text in written)
+    ids = {r.job_id: r.task_cluster_ids for r in store.read("jobs").collect()}
+    assert ids == {1: ["b", "a"], 2: [], 3: []}
+    rows = spark.read.parquet(folders["jobs"])
+    assert "task_cluster_ids" not in rows.columns and "task_cluster_ids" not in store.read("jobs_assessed").columns
+    found = {r.job_id: json.loads(r.findings) for r in rows.collect()}
+    assert found == {1: ["not supported DBR: 10.0", "not supported DBR: 9.1"], 2: [], 3: []}
+    spark.sql("DROP DATABASE stored_jobs CASCADE")
+
+
+def test_a_small_lookup_is_joined_as_it_is(spark, tmp_path):
+    facts = stored(spark, tmp_path, "jobs", INVENTORIES)
+    lookup = kept.kept(spark.createDataFrame([(1, "v", 3)], "job_id bigint, found string, n bigint"), "small")
+    df = skew.left_join_hot_apart(facts, lookup, "job_id", "found", "n", 3)
+    assert plan(df, "simple").count("Join") == 1 and df.columns == [*facts.columns, "found"]
+
+
+def test_locations_are_spread_before_they_are_cut(spark, shuffled, tmp_path):
+    locations = spark.createDataFrame([(f"dbfs:/vol/n{i}/t", 1) for i in range(50)], "location string, n bigint")
+    locations.coalesce(1).write.parquet(str(tmp_path / "locations"))
+    mounts = spark.createDataFrame([(f"/vol/n{i}/", "s") for i in range(0, 50, 2)], "mountPoint string, source string")
+    mounted = storage._mounted(spark.read.parquet(str(tmp_path / "locations")), mounts)
+    assert "REPARTITION_BY_NUM" in plan(mounted)
+    assert {r.location for r in mounted.collect()} == {f"dbfs:/vol/n{i}/t" for i in range(0, 50, 2)}
